@@ -1,5 +1,7 @@
 """DuckDB SQL with the rows of those queries that SQL can express."""
 
+from .licenses import ANCHORS, BREAK, RULES, SENTENCES
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -22,6 +24,29 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+
+
+def _license_sql() -> str:
+    known = ", ".join(f"'{sentence}': '{name}'" for name, sentence in SENTENCES)
+    anchored = " OR ".join(f"contains(s, '{a}')" for a in ANCHORS)
+    sql = f"""
+SELECT doc_id, regexp_replace(' ' || array_to_string(list_transform(
+  string_split_regex(lower(coalesce(text, '')), '{BREAK}'),
+  lambda s: CASE WHEN {anchored} THEN coalesce(MAP {{{known}}}[trim(regexp_replace(s, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))], '-') ELSE '-' END
+), '  ') || ' ', '(?: - )+', ' - ', 'g') AS r0 FROM documents"""
+    for i, (_, ids) in enumerate(RULES):
+        run = "".join(f" {x} " for x in ids)
+        sql = f"SELECT *, replace(r{i}, '{run}', ' + ') AS r{i + 1} FROM ({sql})"
+    times = [f"(length(r{i}) - length(r{i + 1})) // {3 * len(ids) + 2 * len(ids) - 3}" for i, (_, ids) in enumerate(RULES)]
+    names = ", ".join(f"CASE WHEN {n} > 0 THEN '{name}' END" for n, (name, _) in zip(times, RULES, strict=True))
+    return f"""
+SELECT doc_id, trim(r0) AS sentence_ids, n_matches,
+       array_to_string(list_filter(hits, lambda x, i: list_position(hits, x) = i), ', ') AS licenses
+FROM (SELECT doc_id, r0, CAST({" + ".join(times)} AS BIGINT) AS n_matches,
+             list_filter([{names}], lambda x: x IS NOT NULL) AS hits FROM ({sql}))"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_license_scan": _license_sql(),
     "op8_line_dedup": LINE_DEDUP,
 }
