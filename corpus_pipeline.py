@@ -1,10 +1,73 @@
-"""Corpus pipeline: placeholder until its stages exist."""
+"""The corpus pipeline: quality, lines, near duplicates, substrings, packing.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; run() writes every
+stage's result as Parquet into the shared folder and reads it as the next one's
+docs. All stages but the last keep the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from locusflow.llm.common import materialise
+from locusflow.llm.line_dedup import line_dedup
+from locusflow.llm.ngram_join import first_of_component
+from locusflow.llm.packing import pack
+from locusflow.llm.quality import score_quality
+from locusflow.llm.queries import tokenizer_file
+from locusflow.llm.substring_dedup import substring_dedup
+
+
+def _with_text(done: DataFrame, docs: DataFrame) -> DataFrame:
+    """done in the columns of docs, n_chars (where there is one) being that of the new text."""
+    columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return done.select(*columns)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that three or more documents hold, but for one document."""
+    return _with_text(line_dedup(docs), docs)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    return first_of_component(docs, width=5, num=80, den=100)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without runs of sentences that occurred before."""
+    return _with_text(substring_dedup(docs), docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids with their places in sequences of 2048 ids."""
+    return pack(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", keep_good),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard_join", keep_one_of_each_group),
+    ("substring_dedup", drop_repeated_passages),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: A trained model and a tokenizer decide on rows: SQL can't express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, from the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
