@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bm25 import search
 from .fingerprints import edited_fingerprints
+from .langid import identify_language
 from .licenses import scan_licenses
 from .line_dedup import line_dedup
 from .ngram_join import jaccard_components
@@ -31,6 +33,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search(docs, docs.where("doc_id % 100 = 0"), k=10)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return identify_language(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -62,6 +75,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_bm25_topk": op2_bm25_topk,
+    "op3_language_id": op3_language_id,
     "op4_license_scan": op4_license_scan,
     "op5_packing": op5_packing,
     "op6_quality_classifier": op6_quality_classifier,
