@@ -15,6 +15,7 @@ from .line_dedup import line_dedup
 from .ngram_join import jaccard_components
 from .packing import pack
 from .quality import score_quality
+from .sp_nbest import segmentation_digests
 from .substring_dedup import substring_dedup
 
 
@@ -68,6 +69,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return segmentation_digests(docs, tokenizer_file("piece_bpe_32k.model"), n=4)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = edited_fingerprints(table(spark, sf_dir, "documents"))
     return done.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -82,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
+    "op9_sentencepiece_nbest": op9_sentencepiece_nbest,
     "op10_fingerprints": op10_fingerprints,
 }
