@@ -108,3 +108,71 @@ cands AS (
          list(bases ORDER BY type, bases) AS alts, min(dp)::INT AS dp,
          list_prepend(min(ref_count)::INT, list(n::INT ORDER BY type, bases)) AS ad, list(n / dp::DOUBLE ORDER BY type, bases) AS vaf
   FROM passing GROUP BY contig, c, pos)"""
+
+#: Model outputs over parts: one or two alternates a site, one output each and at some sites one for both.
+_OUTPUTS = """
+SELECT 'chr' || cast(p_partkey % 3 + 1 as {s}) AS contig, p_partkey * 7 AS start, p_partkey * 7 + 1 AS e,
+  substring('ACGT', cast(1 + p_partkey % 4 as int), 1) AS ref, substring('CGTA', cast(1 + p_partkey % 4 as int), 1) AS alt1, substring('GTAC', cast(1 + p_partkey % 4 as int), 1) AS alt2,
+  p_partkey % 5 = 0 AS multi, p_partkey AS k, cast(p_partkey % 11 as int) AS ref_n, cast(p_partkey % 7 as int) AS n1, cast(p_partkey % 3 as int) AS n2,
+  i, 1 + (p_partkey * 31 + i * 17) % 97 * (1 + 50 * (p_partkey % 4)) AS w0, 1 + (p_partkey * 57 + i * 29) % 89 AS w1, 1 + (p_partkey * 13 + i * 71) % 83 AS w2
+FROM part CROSS JOIN {gen} WHERE i = 0 OR (p_partkey % 5 = 0 AND (i = 1 OR p_partkey % 2 = 0))"""
+
+
+def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "part").createOrReplaceTempView("lf_part")
+    rows = spark.sql(_OUTPUTS.format(s="string", gen="(SELECT explode(array(0, 1, 2)) AS i)").replace("FROM part", "FROM lf_part"))
+    multi, n2 = F.col("multi"), F.col("n2")
+    dp = F.col("ref_n") + F.col("n1") + F.when(multi, n2).otherwise(0)
+    share = lambda n: n / F.greatest(dp, F.lit(1)).cast("double")
+    total = F.col("w0") + F.col("w1") + F.col("w2")
+    return rows.select(
+        "contig", "start", F.col("e").alias("end"), "ref",
+        F.when(multi, F.array("alt1", "alt2")).otherwise(F.array("alt1")).alias("alts"),
+        dp.alias("dp"),
+        F.when(multi, F.array("ref_n", "n1", "n2")).otherwise(F.array("ref_n", "n1")).alias("ad"),
+        F.when(multi, F.array(share(F.col("n1")), share(n2))).otherwise(F.array(share(F.col("n1")))).alias("vaf"),
+        F.when(F.col("i") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.col("i"))).alias("alt_idx"),
+        F.array(*(F.col(w) / total for w in ("w0", "w1", "w2"))).alias("probs"),
+    )
+
+
+#: Probabilities and calls as SQL of its own: per site, then per genotype.
+CALLS_SQL = f"""raw AS ({_OUTPUTS.format(s="varchar", gen="(SELECT unnest([0, 1, 2]) AS i)")}),
+outs AS (SELECT *, w0 / (w0 + w1 + w2) AS p0, w1 / (w0 + w1 + w2) AS p1, w2 / (w0 + w1 + w2) AS p2 FROM raw),
+altq AS (SELECT k, i, round(-10 * log10(1 - least(least(p1 + p2, 1), 1 - 1.25e-10)), 7) AS q FROM outs WHERE i < 2),
+site AS (
+  SELECT k, contig, start, e, ref, alt1, alt2, multi, ref_n, n1, n2, count(*) AS m FROM outs GROUP BY ALL),
+pruned AS (
+  SELECT s.*, multi AND (SELECT q FROM altq a WHERE a.k = s.k AND a.i = 0) < 1 AS low1, multi AND (SELECT q FROM altq a WHERE a.k = s.k AND a.i = 1) < 1 AS low2,
+         coalesce((SELECT q FROM altq a WHERE a.k = s.k AND a.i = 0) >= (SELECT q FROM altq a WHERE a.k = s.k AND a.i = 1), true) AS first_best FROM site s),
+kept AS (
+  SELECT *, CASE WHEN low1 AND low2 THEN first_best ELSE NOT low1 END AS keep1, multi AND CASE WHEN low1 AND low2 THEN NOT first_best ELSE NOT low2 END AS keep2 FROM pruned),
+names AS (
+  SELECT *, CASE WHEN keep1 AND keep2 THEN [alt1, alt2] WHEN keep1 THEN [alt1] ELSE [alt2] END AS alts,
+         CASE WHEN keep1 AND keep2 THEN [ref_n, n1, n2] WHEN keep1 THEN [ref_n, n1] ELSE [ref_n, n2] END AS ad,
+         ref_n + n1 + CASE WHEN multi THEN n2 ELSE 0 END AS dp FROM kept),
+genos AS (
+  SELECT n.*, g.ix, list_prepend(ref, alts)[g.a + 1] AS x, list_prepend(ref, alts)[g.b + 1] AS y
+  FROM names n JOIN (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 0, 2), (4, 1, 2), (5, 2, 2)) g(ix, a, b) ON g.b <= length(alts)),
+subsets AS (
+  SELECT o.k, o.i, o.p0, o.p1, o.p2, CASE o.i WHEN 0 THEN [o.alt1] WHEN 1 THEN [o.alt2] ELSE [o.alt1, o.alt2] END AS sub
+  FROM outs o JOIN kept t ON t.k = o.k WHERE NOT (o.i IN (0, 2) AND NOT keep1) AND NOT (o.i IN (1, 2) AND NOT keep2)),
+shared AS (
+  SELECT g.k, g.ix, u.i, CASE list_contains(u.sub, g.x)::INT + list_contains(u.sub, g.y)::INT WHEN 0 THEN u.p0 WHEN 1 THEN u.p1 ELSE u.p2 END AS p
+  FROM genos g JOIN subsets u ON u.k = g.k),
+products AS (SELECT k, ix, product(p) AS p FROM shared GROUP BY ALL),
+fused AS (
+  SELECT n.k, CASE WHEN n.m = 1 THEN [o.p0, o.p1, o.p2] ELSE (SELECT list(q.p / t.s ORDER BY q.ix) FROM products q, (SELECT sum(p) AS s FROM products z WHERE z.k = n.k) t WHERE q.k = n.k) END AS probs
+  FROM names n JOIN outs o ON o.k = n.k AND o.i = 0),
+called AS (
+  SELECT n.contig, n.start, n.e AS "end", n.ref, n.alts, n.dp, n.ad, f.probs, list_position(f.probs, list_max(f.probs)) - 1 AS ix,
+         [[0, 0], [0, 1], [1, 1], [0, 2], [1, 2], [2, 2]][list_position(f.probs, list_max(f.probs))] AS gt0,
+         round(-10 * log10(1 - least(list_max(f.probs), 1 - 1.25e-10)))::INT AS gq0,
+         round(-10 * log10(1 - least(least(list_sum(f.probs[2:]), 1), 1 - 1.25e-10)), 7) AS qual,
+         list_transform(f.probs, lambda p: trunc(-10 * (log10(greatest(p, 1.25e-10)) - log10(greatest(list_max(f.probs), 1.25e-10))))::INT) AS pl,
+         list_sum(n.ad) = 0 AS bare
+  FROM names n JOIN fused f USING (k)),
+calls AS (
+  SELECT *, CASE WHEN bare THEN 0 ELSE gq0 END AS gq,
+         CASE WHEN bare THEN 'NoCall' WHEN gt0 = [0, 0] THEN 'RefCall' WHEN qual < 1 THEN 'LowQual' ELSE 'PASS' END AS filter,
+         CASE WHEN bare OR (gt0 = [0, 0] AND gq0 < 20) THEN [-1, -1] ELSE gt0 END AS gt FROM called)"""

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import alleles, cigar, genotype, phred, ranges
-from ..operators import intervals, pileup
+from ..functions import alleles, cigar, genotype, phred, ranges, vcf_text
+from ..operators import genotyping, intervals, pileup
 from . import fixtures as fx
-from .fixtures import base, table
+from .fixtures import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,3 +168,131 @@ def q_vaf_context(spark, sf_dir):
     """A9, J5."""
     at = _sites(spark, sf_dir)
     return pileup.vaf_context(pileup.allele_counts(at), pileup.candidates(at).select("contig", F.col("start").alias("pos")))
+
+
+@query(f'WITH {fx.CALLS_SQL} SELECT contig, start, "end", ref, alts, list_transform(probs, lambda p: round(p, 9)) AS probs FROM called')
+def q_fuse_outputs(spark, sf_dir):
+    """Groups, pruning and fusion."""
+    fused = genotyping.fuse_outputs(genotyping.group_outputs(fx.outputs(spark, sf_dir)))
+    return fused.select("contig", "start", "end", "ref", "alts", F.transform("probs", lambda p: F.round(p, 9)).alias("probs"))
+
+
+@query(f'WITH {fx.CALLS_SQL} SELECT contig, start, gt, gq, qual, pl, filter FROM calls')
+def q_calls(spark, sf_dir):
+    """Calls and filters."""
+    return genotyping.call_variants(fx.outputs(spark, sf_dir)).select("contig", "start", "gt", "gq", "qual", "pl", F.col("filter")[0].alias("filter"))
+
+
+_GT_TEXT = "array_to_string(list_transform(gt, lambda g: CASE WHEN g < 0 THEN '.' ELSE g::VARCHAR END), '/')"
+_QUAL_TEXT = "regexp_replace(printf('%.1f', round(qual, 1)), '\\.0$', '')"
+
+
+@query(f"""WITH {fx.CALLS_SQL} SELECT contig || chr(9) || start + 1 || chr(9) || '.' || chr(9) || ref || chr(9) || array_to_string(alts, ',') || chr(9) || {_QUAL_TEXT} || chr(9) || filter || chr(9) || '.' || chr(9) || 'GT:GQ:DP:AD:MID:PL' || chr(9)
+ || {_GT_TEXT} || ':' || gq || ':' || dp || ':' || array_to_string(ad, ',') || ':cnn:' || array_to_string(pl, ',') AS line FROM calls""")
+def q_vcf_lines(spark, sf_dir):
+    """K4, K6 to K8: record lines."""
+    called = genotyping.call_variants(fx.outputs(spark, sf_dir))
+    return called.select(vcf_text.record_text(("GT", "GQ", "DP", "AD", "MID", "PL"), set(called.columns)).alias("line"))
+
+
+_BLOCKS_SQL = """blocks AS (SELECT 'chr' || (event_id % 3 + 1)::VARCHAR AS contig, event_id * 20 AS start, event_id * 20 + 20 - event_id % 3 AS "end", (10 + event_id % 30)::INT AS min_dp FROM events WHERE event_id % 2 = 0)"""
+
+
+def _blocks(spark, sf_dir):
+    e = F.col("event_id")
+    made = table(spark, sf_dir, "events").where("event_id % 2 = 0")
+    return made.select(F.concat(F.lit("chr"), (e % 3 + 1).cast("string")).alias("contig"), (e * 20).alias("start"), (e * 20 + 20 - e % 3).alias("end"), (10 + e % 30).cast("int").alias("min_dp"), e.alias("block"))
+
+
+_SUBTRACT_SQL = f"""{fx.CALLS_SQL}, {_BLOCKS_SQL},
+taken AS (SELECT contig, start, max("end") AS "end" FROM calls GROUP BY ALL),
+cut AS (SELECT b.contig, b.start, b."end", b.min_dp, v.start AS vs, v."end" AS ve, lag(v."end") OVER w AS prev, lead(v.start) OVER w AS nxt
+  FROM blocks b JOIN taken v ON v.contig = b.contig AND v.start < b."end" AND b.start < v."end" WINDOW w AS (PARTITION BY b.contig, b.start ORDER BY v.start)),
+rests AS (
+  SELECT contig, coalesce(prev, start) AS start, vs AS "end", min_dp FROM cut WHERE coalesce(prev, start) < vs
+  UNION ALL SELECT contig, ve, "end", min_dp FROM cut WHERE nxt IS NULL AND ve < "end"
+  UNION ALL SELECT contig, start, "end", min_dp FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM taken v WHERE v.contig = b.contig AND v.start < b."end" AND b.start < v."end"))"""
+
+
+@query(f'WITH {_SUBTRACT_SQL} SELECT contig, start, "end", min_dp FROM rests')
+def q_interval_subtract(spark, sf_dir):
+    """U3, J9's subtraction."""
+    called = genotyping.call_variants(fx.outputs(spark, sf_dir))
+    return intervals.subtract_intervals(_blocks(spark, sf_dir), called.select("contig", "start", "end"), bin_width=64).drop("block")
+
+
+@query(f"""WITH {_SUBTRACT_SQL} SELECT contig || chr(9) || start + 1 || chr(9) || '.' || chr(9) || 'N' || chr(9) || '<*>' || chr(9) || '0' || chr(9) || '.' || chr(9) || 'END=' || "end" || chr(9) || 'GT:GQ:MIN_DP:PL' || chr(9) || '0/0:50:' || min_dp || ':0,30,90' AS line FROM rests
+ UNION ALL SELECT contig || chr(9) || start + 1 || chr(9) || '.' || chr(9) || ref || chr(9) || array_to_string(alts, ',') || ',<*>' || chr(9) || {_QUAL_TEXT} || chr(9) || filter || chr(9) || '.' || chr(9) || 'GT:GQ:DP:AD:VAF:MID:PL' || chr(9)
+ || {_GT_TEXT} || ':' || gq || ':' || dp || ':' || array_to_string(ad, ',') || ',0:' || array_to_string(list_transform(ad[2:], lambda n: regexp_replace(printf('%.6f', n / greatest(dp, 1)), '\\.?0+$', '')), ',') || ',0:cnn:'
+ || CASE WHEN bare THEN '0,0' ELSE array_to_string(list_transform(probs, lambda p: trunc(-10 * (log10(greatest(p, 1.25e-10)) - log10(greatest(list_max(probs), 1.25e-10))))::INT), ',') END
+ || repeat(',990', length(alts) + 2) AS line FROM calls""")
+def q_gvcf_lines(spark, sf_dir):
+    """gVCF records of variants and of what they leave of blocks."""
+    called = genotyping.call_variants(fx.outputs(spark, sf_dir))
+    blocks = _blocks(spark, sf_dir).drop("block").withColumn("ref", F.lit("N")).withColumn("gt", F.array(F.lit(0), F.lit(0))).withColumn("gq", F.lit(50)).withColumn("gl", F.array(F.lit(0.0), F.lit(-3.0), F.lit(-9.0))).withColumn("qual", F.lit(0.0))
+    merged = genotyping.merge_gvcf(called, blocks, bin_width=64)
+    merged = merged.withColumn("filter", F.coalesce("filter", F.array().cast("array<string>")))
+    return merged.select(vcf_text.gvcf_text(set(merged.columns)).alias("line"))
+
+
+
+
+@query("""WITH v AS (SELECT p_partkey AS k, substring('ACGTTGCA', 1 + (p_partkey % 4)::INT, 1 + (p_partkey % 5)::INT) AS ref, substring('ACGTCGCA', 1 + (p_partkey % 3)::INT, 1 + (p_partkey % 4)::INT) AS alt FROM part),
+ s AS (SELECT *, least(length(ref), length(alt)) - 1 AS m FROM v),
+ suf AS (SELECT *, coalesce(list_min(list_filter(range(1, m + 1), lambda i: ref[-i:][1:1] <> alt[-i:][1:1])) - 1, m) AS sx FROM s),
+ cut AS (SELECT *, substring(ref, 1, length(ref) - sx) AS r, substring(alt, 1, length(alt) - sx) AS a FROM suf),
+ pre AS (SELECT *, least(length(r), length(a)) - 1 AS m2 FROM cut),
+ px AS (SELECT *, coalesce(list_min(list_filter(range(1, m2 + 1), lambda i: r[i:i] <> a[i:i])) - 1, m2) AS p FROM pre)
+ SELECT k, substring(r, p + 1) AS sref, substring(a, p + 1) AS salt, r || '->' || a AS arrow,
+  CASE WHEN length(ref) = length(alt) THEN 2 WHEN length(ref) < length(alt) THEN 3 ELSE 4 END AS kind,
+  CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN 1 WHEN length(ref) > 1 OR length(alt) > 1 THEN 2 ELSE 0 END AS vclass,
+  length(alt) > length(ref) AS ins, length(alt) < length(ref) AS del, reverse(translate(ref, 'ACGT', 'TGCA')) AS rc FROM px""")
+def q_simplify_alleles(spark, sf_dir):
+    """F13, F16, F18 to F20, F22."""
+    table(spark, sf_dir, "part").createOrReplaceTempView("lf_part")
+    v = spark.sql("SELECT p_partkey AS k, substring('ACGTTGCA', cast(1 + p_partkey % 4 as int), cast(1 + p_partkey % 5 as int)) AS ref, substring('ACGTCGCA', cast(1 + p_partkey % 3 as int), cast(1 + p_partkey % 4 as int)) AS alt FROM lf_part")
+    r, a, alts = F.col("ref"), F.col("alt"), F.array("alt")
+    s = v.withColumn("s", alleles.simplify_alleles(r, a))
+    return s.select(
+        "k", F.col("s.ref").alias("sref"), F.col("s.alt").alias("salt"), alleles.simplify_ref_alt(r, a).alias("arrow"), alleles.allele_type(r, a).alias("kind"), alleles.encoded_variant_type(r, alts).alias("vclass"),
+        alleles.has_insertion(r, alts).alias("ins"), alleles.has_deletion(r, alts).alias("del"), alleles.reverse_complement(r).alias("rc"),
+    )
+
+
+@query("""WITH n AS (SELECT DISTINCT (p_size % 4 + 1)::INT AS n FROM part) SELECT n, ((n + 1) * (n + 2) // 2)::INT AS genotypes,
+ (SELECT list(b * 10 + a ORDER BY b, a) FROM (SELECT unnest(range(0, n.n + 1)) AS b), LATERAL (SELECT unnest(range(0, b + 1)) AS a)) AS pairs, (n + n * (n - 1) // 2)::INT AS combos FROM n""")
+def q_genotype_order(spark, sf_dir):
+    """F23, F24, G1, G2."""
+    n = table(spark, sf_dir, "part").select((F.col("p_size") % 4 + 1).cast("int").alias("n")).distinct()
+    pairs = F.transform(genotype.genotype_order(F.col("n")), lambda p: (p["second"] * 10 + p["first"]).cast("long"))
+    return n.select("n", genotype.num_genotypes(F.col("n")).alias("genotypes"), pairs.alias("pairs"), F.size(genotype.alt_combinations(F.col("n"), True)).alias("combos"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, least(greatest(l_discount + l_tax, 0.0), 1.0) AS p FROM lineitem)
+ SELECT l_orderkey, l_linenumber, round(pow(10, -q / 10), 9) AS perror, round(-10 * log10(1 - least(p, 1 - 1.25e-10)), 6) AS ptrue, round(log10(greatest(p, 1.25e-10)), 6) AS logp,
+  abs(round(-10 * log10(greatest(p, 1.25e-10))))::INT AS rounded, round(-10 * log10(1 - greatest(least(p, 1 - 1e-7), 1e-7)), 6) AS small FROM v""")
+def q_phred(spark, sf_dir):
+    """F25 to F28, F46."""
+    p, q = F.least(F.greatest(F.col("l_discount") + F.col("l_tax"), F.lit(0.0)), F.lit(1.0)), F.col("l_quantity")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.round(phred.phred_to_error(q), 9).alias("perror"), F.round(phred.true_to_phred(p), 6).alias("ptrue"), F.round(phred.bounded_log10(p), 6).alias("logp"),
+        phred.log10_error_to_rounded_phred(phred.bounded_log10(p)).alias("rounded"), F.round(phred.small_model_quality(p), 6).alias("small"),
+    )
+
+
+@query("""WITH v AS (SELECT o_orderkey AS k, o_custkey AS a, o_custkey + o_orderkey % 50 AS b, o_custkey + 20 AS c, o_custkey + 20 + o_orderkey % 30 AS d FROM orders)
+ SELECT k, greatest(least(b, d) - greatest(a, c), 0) AS n, a < d AND c < b AS hit, a <= c AND c < b AS inside, 'c:' || (a + 1) || '-' || b AS literal, b > a AS valid FROM v""")
+def q_ranges(spark, sf_dir):
+    """F10, F14, S13."""
+    k, a = F.col("o_orderkey"), F.col("o_custkey")
+    v = table(spark, sf_dir, "orders").select(k.alias("k"), a.alias("a"), (a + k % 50).alias("b"), (a + 20).alias("c"), (a + 20 + k % 30).alias("d"))
+    literal = ranges.to_literal(F.lit("c"), F.col("a"), F.col("b"))
+    return v.select("k", ranges.overlap_length(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("n"), ranges.overlaps(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("hit"), ranges.contains(F.col("a"), F.col("b"), F.col("c")).alias("inside"), literal.alias("literal"), ranges.literal_range(literal).isNotNull().alias("valid"))
+
+
+@query("""SELECT l_suppkey AS g, CASE WHEN min(l_returnflag) = max(l_returnflag) THEN min(l_returnflag) END AS contig, CASE WHEN min(l_returnflag) = max(l_returnflag) THEN min(l_orderkey) END AS start,
+ CASE WHEN min(l_returnflag) = max(l_returnflag) THEN max(l_orderkey + l_linenumber) END AS "end" FROM lineitem GROUP BY l_suppkey""")
+def q_range_span(spark, sf_dir):
+    """F15."""
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_returnflag").alias("contig"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("end"))
+    return intervals.spans(r, "g")
