@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alleles, cigar, genotype, phred, ranges, vcf_text
-from ..operators import genotyping, intervals, pileup
+from ..operators import assembly, genotyping, images, inference, intervals, methylation, phasing, pileup, shard_phases, small_model
+from ..operators import channels as ch
 from . import fixtures as fx
 from .fixtures import table
 
@@ -296,3 +297,251 @@ def q_range_span(spark, sf_dir):
     """F15."""
     r = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_returnflag").alias("contig"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("end"))
     return intervals.spans(r, "g")
+
+
+@query(f"""WITH {fx.FACTS_SQL}, sites AS (SELECT contig, c, pos, ref_base AS ref, translate(ref_base, 'ACGT', 'CGTA') AS alt FROM counts WHERE pos % 11 = 0),
+ seen AS (SELECT s.contig, s.pos AS start, s.ref, s.alt, a.base, a.q, a.mapq, a.is_rev, a.base = s.ref AS r, a.base = s.alt AS t FROM sites s LEFT JOIN aligned a ON a.contig = s.contig AND a.pos = s.pos)
+ SELECT contig, start, ref, alt, count(*) FILTER (WHERE r)::INT AS n_ref, count(*) FILTER (WHERE t)::INT AS n_alt, count(base)::INT AS depth,
+  coalesce(sum(mapq) FILTER (WHERE r) // nullif(count(*) FILTER (WHERE r), 0), 0)::INT AS mapq_ref, coalesce(sum(q) FILTER (WHERE r) // nullif(count(*) FILTER (WHERE r), 0), 0)::INT AS bq_ref, coalesce(100 * count(*) FILTER (WHERE r AND is_rev) // nullif(count(*) FILTER (WHERE r), 0), 0)::INT AS rev_ref,
+  coalesce(sum(mapq) FILTER (WHERE t) // nullif(count(*) FILTER (WHERE t), 0), 0)::INT AS mapq_alt, coalesce(sum(q) FILTER (WHERE t) // nullif(count(*) FILTER (WHERE t), 0), 0)::INT AS bq_alt, coalesce(100 * count(*) FILTER (WHERE t AND is_rev) // nullif(count(*) FILTER (WHERE t), 0), 0)::INT AS rev_alt
+ FROM seen GROUP BY ALL""")
+def q_read_classes(spark, sf_dir):
+    """Reads of the reference and of the alternate at sites."""
+    counts = pileup.allele_counts(_sites(spark, sf_dir)).where("pos % 11 = 0")
+    sites = counts.select("contig", F.col("pos").alias("start"), F.col("ref_base").alias("ref"), F.translate("ref_base", "ACGT", "CGTA").alias("alt"))
+    return small_model.classify_reads(sites, fx.reads(spark, sf_dir).where("mapq >= 10"))
+
+
+@query()
+def q_small_model_features(spark, sf_dir):
+    """Vectors of 70."""
+    at = _sites(spark, sf_dir)
+    sites = pileup.candidates(at).select("contig", "start", "ref", "alts", F.array(F.lit(0)).alias("alt_idx"))
+    return small_model.features(sites, fx.reads(spark, sf_dir).where("mapq >= 10"), pileup.allele_counts(at))
+
+
+_F32 = lambda x: f"CAST({x} AS FLOAT)::DOUBLE"
+_PIXEL = lambda x: f"trunc({_F32(f'({_F32(x)}) * 254')})::INT"
+_SCALE = lambda v, cap: _PIXEL(f"greatest(least({v}, {cap}), 0) / {cap}.0::DOUBLE")
+_PCT = lambda k, n: f"trunc({_F32(f'({_F32(f"{k} / ({n})::DOUBLE")}) * 100')})::INT"
+
+
+@query(f"""WITH {fx.READS_SQL}, s AS (SELECT name, mapq, is_rev, tlen, hp, cigar_text, read_len, k0.seq, k0.total FROM reads r JOIN (SELECT rid, string_agg(base, '' ORDER BY k) AS seq, sum(q) AS total FROM read_bases GROUP BY rid) k0 USING (rid))
+ SELECT name, {_SCALE('mapq', 60)} AS mapping_quality, CASE WHEN is_rev THEN 240 ELSE 70 END AS strand, {_SCALE('abs(tlen)', 1000)} AS insert_size, CASE hp WHEN 1 THEN 254 WHEN 2 THEN 127 ELSE 70 END AS haplotype,
+  {_SCALE('total // read_len', 93)} AS mean_quality, {_SCALE(_PCT("CASE cigar_text WHEN '3S17M' THEN 17 WHEN '20M' THEN 20 ELSE 18 END", 'read_len'), 100)} AS identity,
+  {_SCALE(_PCT("CASE cigar_text WHEN '3S17M' THEN 17 WHEN '20M' THEN 20 ELSE 18 END", "CASE cigar_text WHEN '3S17M' THEN 17 WHEN '20M' THEN 20 ELSE 19 END"), 100)} AS gap_identity,
+  {_SCALE(_PCT("length(regexp_replace(seq, '[^GC]', '', 'g'))", 'length(seq)'), 100)} AS gc FROM s""")
+def q_read_channels(spark, sf_dir):
+    """Channels of whole reads."""
+    c = F.col
+    return fx.reads(spark, sf_dir).select(
+        "name", ch.mapping_quality(c("mapq")).alias("mapping_quality"), ch.strand(c("is_rev")).alias("strand"), ch.insert_size(c("tlen")).alias("insert_size"), ch.haplotype_tag(c("hp")).alias("haplotype"),
+        ch.mean_base_quality(c("bq")).alias("mean_quality"), ch.identity(c("cigar"), F.length("seq")).alias("identity"), ch.gap_compressed_identity(c("cigar")).alias("gap_identity"), ch.gc_content(c("seq")).alias("gc"),
+    )
+
+
+@query(f"""WITH {fx.FACTS_SQL} SELECT contig, pos, read_key, CASE base WHEN 'A' THEN 250 WHEN 'G' THEN 180 WHEN 'T' THEN 100 WHEN 'C' THEN 30 ELSE 0 END AS read_base, {_SCALE('q', 40)} AS base_quality,
+ CASE WHEN base = {fx.base('c', 'pos')} THEN 50 ELSE 254 END AS differs, CASE WHEN base = translate({fx.base('c', 'pos')}, 'ACGT', 'CGTA') THEN 254 ELSE 152 END AS supports FROM aligned""")
+def q_pileup_pixels(spark, sf_dir):
+    """Pixels of aligned bases."""
+    bases = pileup.with_reference(pileup.aligned_bases(fx.reads(spark, sf_dir).where("mapq >= 10")), fx.reference(spark, sf_dir))
+    c = F.col
+    return bases.select(
+        "contig", "pos", "read_key", ch.read_base(c("base")).alias("read_base"), ch.base_quality(c("bq")).alias("base_quality"), ch.differs_from_ref(c("base"), c("ref_base")).alias("differs"),
+        ch.supports_variant(c("base") == F.translate("ref_base", "ACGT", "CGTA")).alias("supports"),
+    )
+
+
+@query(f"""WITH {fx.READS_SQL}, marked AS (SELECT rid, k, base, CASE WHEN base = lag(base) OVER w THEN 0 ELSE 1 END AS fresh FROM read_bases WINDOW w AS (PARTITION BY rid ORDER BY k)),
+ runs AS (SELECT rid, k, sum(fresh) OVER (PARTITION BY rid ORDER BY k) AS run FROM marked), w AS (SELECT rid, k, count(*) OVER (PARTITION BY rid, run) AS n FROM runs)
+ SELECT 'r' || rid AS name, list(n::INT ORDER BY k) AS weights, list(CASE WHEN n >= 3 THEN 254 ELSE 0 END ORDER BY k) AS runs, list({_SCALE('n', 30)} ORDER BY k) AS weighted FROM w GROUP BY rid""")
+def q_homopolymers(spark, sf_dir):
+    """W3, C15, C16."""
+    w = fx.reads(spark, sf_dir).select("name", ch.homopolymer_weights(F.col("seq")).alias("weights"))
+    return w.select("name", "weights", F.transform("weights", ch.is_homopolymer).alias("runs"), F.transform("weights", ch.homopolymer_weighted).alias("weighted"))
+
+
+@query(f"""WITH v AS (SELECT o_orderkey AS k, (o_orderkey % 101)::INT AS a, (1 + o_custkey % 100)::INT AS b, (o_orderkey % 256)::INT AS m FROM orders)
+ SELECT k, CASE WHEN a / 100.0::DOUBLE <= 0.01 THEN 0 ELSE trunc(least(greatest((log10(0.01) - log10(a / 100.0::DOUBLE)) / log10(0.01) * 254, 0), 254))::INT END AS frequency,
+  {_SCALE(_PCT('least(a, b)', 'b'), 100)} AS mapped, {_SCALE('a', 60)} AS coverage, {_SCALE('m', 255)} AS methylation, CASE m % 12 WHEN 0 THEN 152 WHEN 1 THEN 254 WHEN 10 THEN 228 WHEN 9 THEN 203 WHEN 8 THEN 177 ELSE 152 END AS fuzzy,
+  CASE WHEN m % 2 = 1 THEN 254 ELSE 152 END AS supplementary, {_PIXEL(f"sqrt({_F32('least(a, b) / b::DOUBLE')})")} AS sample_probability FROM v""")
+def q_value_channels(spark, sf_dir):
+    """C8, C10, C17, C19 to C23."""
+    k, c = F.col("o_orderkey"), F.col
+    v = table(spark, sf_dir, "orders").select(k.alias("k"), (k % 101).cast("int").alias("a"), (1 + F.col("o_custkey") % 100).cast("int").alias("b"), (k % 256).cast("int").alias("m"))
+    return v.select(
+        "k", ch.allele_frequency(c("a") / 100.0, 0.01).alias("frequency"), ch.mapping_percent(F.least("a", "b"), c("b")).alias("mapped"), ch.mean_coverage(c("a"), 60).alias("coverage"), ch.methylation(c("m")).alias("methylation"),
+        ch.fuzzy_support(c("m") % 12).alias("fuzzy"), ch.supplementary(c("m") % 2 == 1).alias("supplementary"), ch.allele_sample_probability(F.least("a", "b"), c("b")).alias("sample_probability"),
+    )
+
+
+_LEVELS_SQL = """levels AS (SELECT o_custkey % 40 AS site, 'r' || (o_orderkey % 31)::VARCHAR AS read, max((CASE WHEN o_orderkey % 31 % 2 = 0 THEN 200 ELSE 60 END + (o_orderkey * 7) % 50) * (o_orderkey % 9 > 0)::INT)::INT AS level FROM orders GROUP BY ALL),
+ phases AS (SELECT 'r' || i::VARCHAR AS read, CASE WHEN i < 20 THEN 1 + i % 2 ELSE 0 END AS phase FROM range(31) t(i)),
+ own AS (SELECT l.site, l.read, p.phase AS hap, l.level / 255.0::DOUBLE AS m FROM levels l JOIN phases p USING (read) WHERE l.level > 0 AND p.phase > 0),
+ ranked AS (SELECT site, hap, rank() OVER (PARTITION BY site ORDER BY m) + (count(*) OVER (PARTITION BY site, m) - 1) / 2.0 AS r FROM own),
+ sums AS (SELECT site, sum(r) FILTER (WHERE hap = 1)::DOUBLE AS s, count(*) FILTER (WHERE hap = 1)::DOUBLE AS a, count(*) FILTER (WHERE hap = 2)::DOUBLE AS b FROM ranked GROUP BY site),
+ zs AS (SELECT site, abs((least(s - a * (a + 1) / 2, a * b - (s - a * (a + 1) / 2)) - a * b / 2) / sqrt(a * b * (a + b + 1) / 12)) / sqrt(2.0) AS z, a, b FROM sums),
+ ps AS (SELECT site, CASE WHEN a = 0 OR b = 0 THEN -1 ELSE 2 * (1 - (2 - ((((1.061405429 / (1 + 0.3275911 * z) - 1.453152027) / (1 + 0.3275911 * z) + 1.421413741) / (1 + 0.3275911 * z) - 0.284496736) / (1 + 0.3275911 * z) + 0.254829592) / (1 + 0.3275911 * z) * exp(-z * z)) / 2) END AS p FROM zs)"""
+
+
+def _levels(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    level = (F.when(k % 31 % 2 == 0, 200).otherwise(60) + (k * 7) % 50) * (k % 9 > 0).cast("int")
+    levels = table(spark, sf_dir, "orders").groupBy((c % 40).alias("site"), F.concat(F.lit("r"), (k % 31).cast("string")).alias("read")).agg(F.max(level).cast("int").alias("level"))
+    i = F.col("id")
+    return levels, spark.range(31).select(F.concat(F.lit("r"), i.cast("string")).alias("read"), F.when(i < 20, 1 + i % 2).otherwise(0).cast("int").alias("phase"))
+
+
+@query(f"WITH {_LEVELS_SQL} SELECT site, round(p, 8) AS p FROM ps")
+def q_rank_sum(spark, sf_dir):
+    """A24, F49, F50."""
+    levels, phases = _levels(spark, sf_dir)
+    own = methylation.known_levels(levels).join(phases.where("phase > 0").withColumnRenamed("phase", "hap"), "read")
+    return methylation.rank_sums(own).select("site", F.round("p", 8).alias("p"))
+
+
+_INFORMATIVE_SQL = f"""{_LEVELS_SQL}, info AS (SELECT o.site, avg(m) FILTER (WHERE hap = 1) AS mean_1, avg(m) FILTER (WHERE hap = 2) AS mean_2, min(p) AS p FROM own o JOIN ps USING (site) GROUP BY o.site
+ HAVING count(*) FILTER (WHERE hap = 1) >= 2 AND count(*) FILTER (WHERE hap = 2) >= 2 AND count(*) >= 6 AND abs(mean_1 - mean_2) >= 0.25 AND stddev_pop(m) FILTER (WHERE hap = 1) <= 0.2 AND stddev_pop(m) FILTER (WHERE hap = 2) <= 0.2 AND min(p) >= 0 AND min(p) < 0.05)"""
+
+
+@query(f"WITH {_INFORMATIVE_SQL} SELECT site, round(mean_1, 9) AS mean_1, round(mean_2, 9) AS mean_2, round(p, 8) AS p FROM info")
+def q_methyl_sites(spark, sf_dir):
+    """P12."""
+    return methylation.informative_sites(*_levels(spark, sf_dir)).select("site", F.round("mean_1", 9).alias("mean_1"), F.round("mean_2", 9).alias("mean_2"), F.round("p", 8).alias("p"))
+
+
+@query(f"""WITH {_INFORMATIVE_SQL}, v AS (SELECT l.read, count(*) FILTER (WHERE abs(l.level / 255.0 - mean_1) < abs(l.level / 255.0 - mean_2)) AS one, count(*) FILTER (WHERE NOT abs(l.level / 255.0 - mean_1) < abs(l.level / 255.0 - mean_2)) AS two
+ FROM levels l JOIN phases p USING (read) JOIN info i USING (site) WHERE p.phase = 0 AND l.level > 0 GROUP BY l.read)
+ SELECT read, CASE WHEN one > two THEN 1 ELSE 2 END AS vote FROM v WHERE greatest(one, two) >= 3 AND one <> two""")
+def q_methyl_votes(spark, sf_dir):
+    """A23, F39, J15."""
+    levels, phases = _levels(spark, sf_dir)
+    return methylation.methylation_votes(levels, phases, methylation.informative_sites(levels, phases))
+
+
+@query()
+def q_methyl_phasing(spark, sf_dir):
+    """Rounds of sites and votes."""
+    return methylation.phase_by_methylation(*_levels(spark, sf_dir))
+
+
+_GROUPS_SQL = """rows AS (SELECT (l_suppkey % 3)::INT AS shard, (1 + l_suppkey % 20 // 3)::INT AS region, 'f' || (l_partkey % 60)::VARCHAR AS fragment, max((l_partkey % 2 + 1 + l_suppkey % 2) % 3)::INT AS phase FROM lineitem GROUP BY ALL),
+ gs AS (SELECT shard, region, row_number() OVER (ORDER BY region, shard) AS g FROM (SELECT DISTINCT shard, region FROM rows)), n AS (SELECT r.*, g FROM rows r JOIN gs USING (shard, region)),
+ margins AS (SELECT b.g, sum(CASE WHEN a.phase = b.phase THEN 1 ELSE -1 END) AS m FROM n a JOIN n b ON b.g = a.g + 1 AND a.fragment = b.fragment WHERE a.phase > 0 AND b.phase > 0 GROUP BY b.g),
+ verdicts AS (SELECT gs.*, CASE WHEN abs(coalesce(m, 0)) < 2 THEN 'apart' WHEN m < 0 THEN 'switch' ELSE 'match' END AS verdict FROM gs LEFT JOIN margins USING (g)),
+ chains AS (SELECT *, sum((verdict = 'apart')::INT) OVER (ORDER BY g) AS chain FROM verdicts),
+ turned AS (SELECT *, sum((verdict = 'switch')::INT) OVER (PARTITION BY chain ORDER BY g) % 2 = 1 AS flip FROM chains)"""
+
+
+def _group_rows(spark, sf_dir):
+    s, p = F.col("l_suppkey"), F.col("l_partkey")
+    return table(spark, sf_dir, "lineitem").groupBy((s % 3).cast("int").alias("shard"), F.floor(1 + F.floor(s % 20 / 3)).cast("int").alias("region"), F.concat(F.lit("f"), (p % 60).cast("string")).alias("fragment")).agg(F.max((p % 2 + 1 + s % 2) % 3).cast("int").alias("phase"))
+
+
+@query(f"WITH {_GROUPS_SQL} SELECT g, shard, region, verdict, flip FROM turned")
+def q_phase_groups(spark, sf_dir):
+    """J12, W7, A27."""
+    return shard_phases.flips(shard_phases.compare_neighbours(_group_rows(spark, sf_dir)))
+
+
+@query(f"""WITH {_GROUPS_SQL}, fixed AS (SELECT n.fragment, n.g, CASE WHEN flip AND phase > 0 THEN 3 - phase ELSE phase END AS phase FROM n JOIN turned t USING (g)),
+ v AS (SELECT fragment, coalesce(min_by(phase, g) FILTER (WHERE phase > 0), 0) AS first_phase, count(*) FILTER (WHERE phase = 1) AS ones, count(*) FILTER (WHERE phase = 2) AS twos FROM fixed GROUP BY fragment)
+ SELECT *, CASE WHEN ones > twos THEN 1 WHEN ones < twos THEN 2 ELSE 0 END AS phase, first_phase <> CASE WHEN ones > twos THEN 1 WHEN ones < twos THEN 2 ELSE 0 END AS corrected FROM v""")
+def q_phase_merge(spark, sf_dir):
+    """A25, A26."""
+    return shard_phases.merge_phases(_group_rows(spark, sf_dir))
+
+
+def _support(spark, sf_dir):
+    at = _sites(spark, sf_dir)
+    bases = pileup.aligned_bases(fx.reads(spark, sf_dir).where("mapq >= 10 AND flag NOT IN (4, 1024)"))
+    return phasing.phasing_support(pileup.candidates(at), bases)
+
+
+@query()
+def q_phased_positions(spark, sf_dir):
+    """X9 to X13, P11, P13, W5, W6, J10, J11, with W4's phase sets; a contig is cut into regions of 400 bases."""
+    support = _support(spark, sf_dir).withColumn("region", F.concat_ws(":", "contig", F.floor(F.col("start") / 400).cast("string")))
+    return phasing.phase_sets(phasing.phase_regions(support))
+
+
+@query()
+def q_phased_reads(spark, sf_dir):
+    """Phases of reads."""
+    support = _support(spark, sf_dir).withColumn("region", F.concat_ws(":", "contig", F.floor(F.col("start") / 400).cast("string")))
+    return phasing.phase_reads(support)
+
+
+@query("""WITH c AS (SELECT p_partkey AS start, substring('ACGT', 1 + (p_partkey % 4)::INT, 1) AS ref, [substring('CGTA', 1 + (p_partkey % 4)::INT, 1), substring('GTAC', 1 + (p_partkey % 4)::INT, 1)] AS alts, p_partkey % 3 AS kind FROM part),
+ p AS (SELECT *, CASE WHEN kind = 0 THEN 'REF' ELSE alts[1] END AS phase_1, alts[2] AS phase_2, CASE WHEN start % 7 = 0 THEN start END AS fresh FROM c),
+ s AS (SELECT *, coalesce(last_value(fresh IGNORE NULLS) OVER (ORDER BY start), 0)::INT AS set FROM p)
+ SELECT start, CASE WHEN kind = 0 THEN [0, 0] ELSE [1, 2] END AS gt, kind <> 0 AS phased, CASE WHEN kind <> 0 THEN set END AS ps FROM s""")
+def q_apply_phasing(spark, sf_dir):
+    """Phases and phase sets on calls; sites phased against the reference stay as they are."""
+    table(spark, sf_dir, "part").createOrReplaceTempView("lf_part")
+    c = spark.sql("SELECT 'chr1' AS contig, p_partkey AS start, substring('ACGT', cast(1 + p_partkey % 4 as int), 1) AS ref, array(substring('CGTA', cast(1 + p_partkey % 4 as int), 1), substring('GTAC', cast(1 + p_partkey % 4 as int), 1)) AS alts, array(0, 0) AS gt FROM lf_part")
+    p = c.select("contig", "start", F.when(F.col("start") % 3 == 0, phasing.REF).otherwise(F.col("alts")[0]).alias("phase_1"), F.col("alts")[1].alias("phase_2"), (F.col("start") % 7 == 0).alias("is_first"))
+    return phasing.apply_phasing(c, phasing.phase_sets(p, "contig")).select("start", "gt", "phased", "ps")
+
+
+@query("""WITH v AS (SELECT l_orderkey AS k, l_linenumber AS n, repeat('A', 1 + l_partkey % 4) AS a1, repeat('C', 1 + l_suppkey % 4) AS a2, (l_orderkey % 5)::INT AS s FROM lineitem)
+ SELECT k, n, CASE s WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN CASE abs(length(a2) - length(a1)) WHEN 1 THEN 10 WHEN 2 THEN 9 ELSE 2 END WHEN 3 THEN 1 ELSE 0 END AS code, [CASE WHEN s > 0 THEN s ELSE 0 END, 0] AS phases FROM v""")
+def q_fuzzy_support(spark, sf_dir):
+    """support codes; reads carry nothing, the first, the second, both, or another allele."""
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lf_lineitem")
+    v = spark.sql("SELECT l_orderkey AS k, l_linenumber AS n, repeat('A', cast(1 + l_partkey % 4 as int)) AS a1, repeat('C', cast(1 + l_suppkey % 4 as int)) AS a2, cast(l_orderkey % 5 as int) AS s FROM lf_lineitem")
+    a1, a2, s = F.col("a1"), F.col("a2"), F.col("s")
+    held = F.when(s == 1, F.array(a1)).when(s == 2, F.array(a2)).when(s == 3, F.array(a2, a1)).when(s == 4, F.array(F.lit("G"))).otherwise(F.array().cast("array<string>"))
+    return v.select("k", "n", ch.fuzzy_code(held, F.array(a1, a2), a1).alias("code"), genotype.allele_phases(F.array(F.lit(0), s), F.lit(2)).alias("phases"))
+
+
+@query()
+def q_pileup_images(spark, sf_dir):
+    """Images of candidates, by digest."""
+    opts = images.ImageOptions(width=41, height=30)
+    cands = pileup.candidates(_sites(spark, sf_dir)).where("start % 37 = 0").select("contig", "start", (F.col("start") - 20).alias("image_start")).where("image_start >= 0")
+    reads = fx.reads(spark, sf_dir).where("mapq >= 10").select("contig", F.col("ref_start").alias("start"), F.col("ref_end").alias("end"), "cigar", "seq", "bq", "mapq", "is_rev", "tlen", "hp", "name", "mate", "rid")
+    near = intervals.interval_join(cands.withColumn("end", F.col("start") + 1), reads, bin_width=64, buffer=5)
+    windows = pileup.with_reference(cands, fx.reference(spark, sf_dir), "image_start").select(F.col("contig").alias("w_contig"), F.col("start").alias("w_start"), F.substring("ref_after", 1, opts.width).alias("bases"))
+    joined = near.join(windows, (F.col("contig") == F.col("w_contig")) & (F.col("start") == F.col("w_start")))
+    rows = joined.select(
+        F.concat_ws(":", "contig", F.col("start").cast("string")).alias("candidate"), "image_start", "bases", F.col("start").alias("variant_pos"), F.col("r_rid").alias("ordinal"), F.col("r_start").alias("ref_start"), F.col("r_cigar").alias("cigar"), F.col("r_seq").alias("seq"),
+        F.col("r_bq").alias("bq"), F.col("r_mapq").alias("mapq"), F.col("r_is_rev").alias("is_rev"), (F.col("r_rid") % 2 == 0).alias("supports"), F.col("r_tlen").alias("tlen"), F.col("r_hp").alias("hp"), F.col("r_name").alias("name"), (F.col("r_mate") - 1).alias("number"),
+    )
+    drawn = images.render(rows, opts)
+    return drawn.select("candidate", F.length("image").alias("n_bytes"), F.sha2("image", 256).alias("digest"))
+
+
+@query()
+def q_assembled(spark, sf_dir):
+    """Variants assembled in windows, added to the candidates."""
+    at = _sites(spark, sf_dir)
+    windows = intervals.merge_intervals(intervals.islands(pileup.window_scores(at), 3)).where("end - start < 60").select("contig", F.greatest(F.col("start") - 30, F.lit(0)).alias("start"), (F.col("end") + 30).alias("end"))
+    windows = windows.where("start % 5 = 0")
+    bases = pileup.with_reference(windows, fx.reference(spark, sf_dir), "start").select("contig", "start", F.expr("substring(ref_after, 1, cast(end - start as int))").alias("bases"))
+    reads = fx.reads(spark, sf_dir).select("contig", F.col("ref_start").alias("start"), F.col("ref_end").alias("end"), "seq", "bq", "mapq", "name")
+    made = assembly.assemble_windows(windows, reads, bases, bin_width=64)
+    return assembly.add_assembled(pileup.candidates(at).select("contig", "start", "end", "ref", "alts"), made)
+
+
+def _toy_model():
+    """A fixed linear model with a softmax, for tests and benches."""
+    import numpy as np
+
+    def predict(x):
+        flat = x.reshape(len(x), -1).astype(np.float64)
+        z = np.stack([flat[:, k::3].mean(axis=1) for k in range(3)], axis=1)
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    return predict
+
+
+@query()
+def q_small_model_calls(spark, sf_dir):
+    """Vectors scored, and the gate."""
+    at = _sites(spark, sf_dir)
+    sites = pileup.candidates(at).where(F.size("alts") == 1).select("contig", "start", "ref", "alts", F.array(F.lit(0)).alias("alt_idx"))
+    vectors = small_model.features(sites, fx.reads(spark, sf_dir).where("mapq >= 10"), pileup.allele_counts(at))
+    scaled = vectors.withColumn("features", F.transform("features", lambda x: x / 100.0))
+    return small_model.gate(inference.predict_features(scaled, _toy_model)).select("contig", "start", F.round("gq", 6).alias("gq"), "passes")
