@@ -160,10 +160,15 @@ class Scorer:
             at += c * WINDOW
         classes = self.network.classes[flat]
         pairs = classes[:-1] * CLASSES + classes[1:]
+        # no filter sees the text behind: zero bytes follow each text
+        ends = np.cumsum(counts) * WINDOW
+        pairs[ends - 1] = classes[ends - 1] * CLASSES
+        later = pairs[2:].copy()
+        later[ends - 1] = later[ends - 2] = 0
         probs = np.empty((sum(counts), len(self.network.languages)))
         for w in range(0, len(probs), block):
-            lo, hi = w * WINDOW, min(w + block, len(probs)) * WINDOW
-            probs[w : w + block] = self.network.head(self.pooled(pairs[lo:hi], pairs[lo + 2 : hi + 2]))
+            at = slice(w * WINDOW, min(w + block, len(probs)) * WINDOW)
+            probs[w : w + block] = self.network.head(self.pooled(pairs[at], later[at]))
         starts = np.cumsum([0, *counts[:-1]])
         return np.add.reduceat(probs, starts, axis=0) / np.array(counts)[:, None]
 
