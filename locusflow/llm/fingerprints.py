@@ -88,29 +88,29 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_key(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key: __lf_id never null, __lf_hash of the text and of whether doc_id is null."""
+    """text and a key: __lf_id never null, __lf_hash of the text and of whether doc_id is null (none)."""
     doc_id = F.col("doc_id").cast("long")
     text = text_of()
-    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(_NO_ID)).alias("__lf_id"), F.xxhash64(text, doc_id.isNull()).alias("__lf_hash"))
+    return docs.select(text.alias("text"), F.coalesce(doc_id, F.lit(_NO_ID)).alias("__lf_id"), F.xxhash64(text, doc_id.isNull()).alias("__lf_hash"), doc_id.isNull().alias("none"))
 
 
 def next_documents(keyed: DataFrame) -> DataFrame:
-    """(id, hash, chars, next_id, next_hash) of each distinct key, in descending order, the last one's next being the first.
+    """(id, hash, none, chars, next_id, next_hash) of each distinct key, in descending order, the last one's next being the first.
 
     The order is found within range partitions; only the partitions' first keys,
     one row each, are ordered in one place.
     """
-    keys = keyed.select(F.col("__lf_id").alias("id"), F.col("__lf_hash").alias("hash"), F.length("text").alias("chars"), F.col("doc_id").isNull().alias("none")).distinct()
+    keys = keyed.select(F.col("__lf_id").alias("id"), F.col("__lf_hash").alias("hash"), F.length("text").alias("chars"), "none").distinct()
     order = [F.asc("none"), F.desc("id"), F.asc("hash")]
     ranged = materialise(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "fingerprint-order")
-    head = F.min(F.struct("none", (-F.col("id") - 1).alias("down"), "hash", "id")).alias("head")  # -id - 1 can't overflow
+    head = F.min(F.struct("none", F.bitwise_not("id").alias("down"), "hash", "id")).alias("head")
     heads = ranged.groupBy("part").agg(head)
     ends = Window.orderBy("part")
     first = F.first("head").over(ends.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select(F.col("part"), F.coalesce(F.lead("head").over(ends), first).alias("after"))
     within = Window.partitionBy("part").orderBy(*order)
     after = ranged.withColumn("next", F.lead(F.struct("id", "hash")).over(within)).join(F.broadcast(heads), "part")
-    return after.select("id", "hash", "chars", F.coalesce("next.id", "after.id").alias("next_id"), F.coalesce("next.hash", "after.hash").alias("next_hash"))
+    return after.select("id", "hash", "none", "chars", F.coalesce("next.id", "after.id").alias("next_id"), F.coalesce("next.hash", "after.hash").alias("next_hash"))
 
 
 def edited_fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -120,15 +120,20 @@ def edited_fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """
     keyed = with_key(docs)
     nexts = next_documents(keyed)
-    once = keyed.withColumn("__lf_nth", F.row_number().over(Window.partitionBy("__lf_id", "__lf_hash").orderBy("__lf_id"))).where("__lf_nth = 1")
-    asked = nexts.join(once, (F.col("next_id") == F.col("__lf_id")) & (F.col("next_hash") == F.col("__lf_hash")))
-    third = F.floor(F.col("chars") / 3).cast("int")
-    given = asked.select(F.col("id"), F.col("hash"), F.expr("substring(text, 1, cast(chars div 3 as int))").alias("__lf_put"), fingerprint(F.col("text"), width).alias("__lf_next"), third.alias("__lf_third"))
-    both = keyed.join(given, (F.col("__lf_id") == F.col("id")) & (F.col("__lf_hash") == F.col("hash")))
+    # both joins read the same columns by the same key, so texts are shuffled once
+    texts = keyed.select("text", "__lf_id", "__lf_hash")
+    asked = nexts.join(texts, (F.col("next_id") == F.col("__lf_id")) & (F.col("next_hash") == F.col("__lf_hash")))
+    third = F.floor(F.col("chars") / 3).cast("int").alias("__lf_third")
+    put = F.expr("substring(text, 1, cast(chars div 3 as int))").alias("__lf_put")
+    given = asked.select("id", "hash", "none", put, third, fingerprint(F.col("text"), width).alias("__lf_next"))
+    # the next document may stand in several equal rows
+    nth = F.row_number().over(Window.partitionBy("id", "hash").orderBy("none"))
+    given = given.withColumn("__lf_nth", nth).where("__lf_nth = 1")
+    both = texts.join(given, (F.col("__lf_id") == F.col("id")) & (F.col("__lf_hash") == F.col("hash")))
     both = both.withColumn("edited_text", F.concat(F.expr("substring(text, 1, length(text) - __lf_third)"), F.col("__lf_put")))
     both = both.withColumn("__lf_own", fingerprint(F.col("text"), width)).withColumn("__lf_edited", fingerprint(F.col("edited_text"), width))
     return both.select(
-        "doc_id",
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"),
         "text",
         "edited_text",
         packed(F.col("__lf_own")).alias("fingerprint"),
