@@ -1,0 +1,423 @@
+"""Operators against brute force, exact round trips and held-out accuracy."""
+
+import itertools
+import math
+import random
+import re
+import struct
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from locusflow.llm import bm25, components, fingerprints, langid, licenses, line_dedup, ngram_join, packing, quality, sp_nbest, substring_dedup
+
+DATA = "/root/testdata/sf0.01"
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def documents(spark, sf=DATA):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+# line dedup
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(1)
+    pool = [" ".join(rng.choices(WORDS, k=6)) for _ in range(30)] + ["short", ""]
+    docs = [(i, "\n".join(rng.choice((str.upper, str.lower, lambda s: f"  {s}\t"))(rng.choice(pool)) for _ in range(rng.randint(0, 6)))) for i in range(80)]
+    holders = {}
+    for i, text in docs:
+        for line in text.split("\n"):
+            key = line_dedup.line_key(line)
+            if len(key) >= 20:
+                holders.setdefault(key, set()).add(i)
+    want = {}
+    for i, text in docs:
+        lines = text.split("\n")
+        kept = [x for x in lines if not (len(h := holders.get(line_dedup.line_key(x), ())) >= 3 and i != max(h))]
+        want[i] = ("\n".join(kept), len(lines), len(lines) - len(kept))
+    got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in got} == want
+
+
+def test_filters_have_no_false_negative():
+    hashes = np.random.default_rng(0).integers(0, 1 << 63, 5000).astype(np.uint64)
+    bits = np.zeros(1 << 9, np.uint8)  # far too small: full, and still right
+    pos = line_dedup._positions(hashes, 12)
+    line_dedup._set(bits, pos)
+    assert line_dedup._has(bits, pos).all()
+    assert line_dedup.filter_bits(10**15, 16, 64) == 29
+
+
+# packing
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 31), st.integers(1, 3), min_size=1, max_size=6))
+def test_fullest_window(counts):
+    found = packing.fullest(dict(counts), 32)
+    longest = max(counts)
+    items = [n for n, c in counts.items() for _ in range(c)]
+    items.remove(longest)
+    best = max(longest + sum(c) for k in range(len(items) + 1) for c in itertools.combinations(items, k) if longest + sum(c) <= 32)
+    assert sum(n * c for n, c in found) == best
+    assert all(c <= counts[n] for n, c in found) and dict(found)[longest] >= 1
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 63), st.integers(1, 50), min_size=1, max_size=20))
+def test_plan_uses_every_piece(counts):
+    used = Counter()
+    for p in packing.plan(dict(counts), 64):
+        assert sum(n * c for n, c in p.lengths) <= 64
+        for n, c in p.lengths:
+            used[n] += c * p.windows
+    assert dict(used) == counts
+
+
+def test_packing_round_trip(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    rows = packing.pack(documents(spark), path).collect()
+    texts = {r.doc_id: r.text for r in documents(spark).collect()}
+    pieces, used = {}, {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert len(r.ids) == 4 * r.length
+    for doc_id, text in texts.items():
+        ids = np.frombuffer(b"".join(b for _, b in sorted(pieces[doc_id])), "<u4").tolist()
+        assert ids == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+    total = sum(r.length for r in rows)
+    for own in used.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(used) == math.ceil(total / 2048) or len(used) * 2048 / total < 1.01
+
+
+def test_chunks_are_the_tokenizer():
+    tokens = packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ("It's we'll I'd!!! 12,5 Straße ÀÉ", "naïvé ﬁ 漢字 🙂", "tab\tnew\n line nbsp", "don't'S '''s", "İstanbul ŉ", ""):
+        assert np.frombuffer(tokens.ids(text), "<u4").tolist() == tokens.whole.encode(text, add_special_tokens=False).ids
+
+
+# near duplicates
+
+
+def brute_components(docs, width, num):
+    sets = {}
+    for i, text in docs:
+        words = (text or "").encode().lower().split()
+        sets[i] = frozenset(tuple(words[j : j + width]) for j in range(max(1, len(words) - width + 1))) if words else frozenset()
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        if sets[a] and sets[b]:
+            common = len(sets[a] & sets[b])
+            if 100 * common >= num * (len(sets[a]) + len(sets[b]) - common):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80)])
+def test_jaccard_join_against_brute_force(spark, width, num):
+    rng = random.Random(width)
+    docs, texts = [], []
+    for _ in range(12):
+        texts.append(rng.choices(WORDS, k=rng.choice((2, 9, 20, 60, 150))))
+    for i in range(150):
+        words = list(rng.choice(texts))
+        for _ in range(rng.choice((0, 0, 1, 1, 2, 4))):
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+        docs.append((i, " ".join(words[: len(words) - rng.choice((0, 0, 1))])))
+    got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), width, num, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs, width, num)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.integers(30, 300), st.sampled_from([(80, 100), (90, 100)]))
+def test_similar_sets_share_a_part(seed, size, threshold):
+    rng = np.random.default_rng(seed)
+    bands = ngram_join.Bands(*threshold)
+    a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+    most = bands.differences(2 * len(a)) // 2
+    drop = rng.integers(0, most + 1)
+    b = np.union1d(a[drop:], rng.integers(0, 1 << 62, most - drop).astype(np.uint64))
+    common = len(np.intersect1d(a, b))
+    if common * threshold[1] >= threshold[0] * (len(a) + len(b) - common):
+        assert np.array_equal(a, b) or len(np.intersect1d(ngram_join.part_keys(a, bands), ngram_join.part_keys(b, bands)))
+        apart = np.bitwise_count(ngram_join.small_sketch(a) ^ ngram_join.small_sketch(b)).sum()
+        assert apart <= len(a) + len(b) - 2 * common
+
+
+def test_components_against_union_find(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(200 + i, 201 + i) for i in range(40)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in parent if find(x) != x}
+
+
+# substrings
+
+
+def test_substrings_against_brute_force(spark):
+    rng = random.Random(2)
+    passage = " ".join(" ".join(rng.choices(WORDS, k=9)) + "." for _ in range(7))
+    docs = []
+    for i in range(30):
+        own = [" ".join(rng.choices(WORDS, k=rng.randint(1, 12))) + rng.choice(".!?") for _ in range(rng.randint(0, 8))]
+        if i % 3 == 0:
+            own.insert(rng.randint(0, len(own)), passage)
+        docs.append((i, rng.choice((" ", "\n")).join(own)))
+    occurrences, spans = {}, {}
+    for i, text in docs:
+        parts, places = substring_dedup.sentences(text)
+        kept = [parts[p].strip() for p in places]
+        spans[i] = substring_dedup.runs([len(s.split()) for s in kept], 16, 40)
+        for a, b in spans[i]:
+            occurrences.setdefault(tuple(kept[a : b + 1]), []).append((i, a, b))
+    gone = {i: set() for i, _ in docs}
+    for places in occurrences.values():
+        for i, a, b in sorted(places)[1:]:
+            gone[i].update(range(a, b + 1))
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, text in docs:
+        assert got[i].n_removed == len(gone[i])
+        if not gone[i]:
+            assert got[i].text == text and got[i].first_doc_ids == []
+        if i and i % 3 == 0:
+            assert passage.split(". ")[3] not in got[i].text and 0 in got[i].first_doc_ids
+    assert passage in got[0].text.replace("\n", " ")
+
+
+# fingerprints
+
+
+def brute_fingerprint(text):
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
+    hashed = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    if not hashed:
+        return []
+    shingles = []
+    for i in range(len(hashed) - 4):
+        h = 42
+        for k in range(5):
+            h = xxhash.xxh64_intdigest(struct.pack("<Q", hashed[i + k]), h)
+        shingles.append(h >> 1)
+    if not shingles:
+        shingles = [xxhash.xxh64_intdigest(" ".join(str(signed(h)) for h in hashed).encode(), 42) >> 1]
+    least = {}
+    for x in shingles:
+        least[x >> 56] = min(least.get(x >> 56, 1 << 70), x)
+    out = []
+    for e in range(128):
+        if e in least:
+            out.append(least[e] & 255)
+        else:
+            probe = lambda b: xxhash.xxh64_intdigest(struct.pack("<i", b), xxhash.xxh64_intdigest(struct.pack("<i", e), 42))  # noqa: B023, E731
+            out.append(min(signed(probe(b) & ~255 | x & 255) for b, x in least.items()) & 255)
+    return out
+
+
+def test_fingerprints_against_brute_force(spark):
+    docs = [(i, t) for i, t in enumerate(["a b c d e f g h i j", "", "x", "a b c d e f g h i j k l m " * 9, "Über straße foo BAR baz qux quux " * 3])] + [(7, None), (9, "dup one"), (9, "dup one")]
+    got = fingerprints.edited_fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    order = sorted({(-i, t or "") for i, t in docs})
+    after = {key: order[(n + 1) % len(order)][1] for n, key in enumerate(order)}
+    hexed = lambda v: "".join(f"{x:02X}" for x in v)
+    want = []
+    for i, t in docs:
+        t, nxt = t or "", after[-i, t or ""]
+        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        want.append((i, edited, hexed(brute_fingerprint(t)), hexed(brute_fingerprint(edited))))
+    assert sorted((r.doc_id, r.edited_text, r.fingerprint, r.edited_fingerprint) for r in got) == sorted(want)
+
+
+def test_likeness_estimates_jaccard(spark):
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(20):
+        a = rng.choices(WORDS, k=300)
+        b = list(a)
+        for _ in range(rng.randint(0, 30)):
+            b[rng.randrange(300)] = rng.choice(WORDS)
+        shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        x, y = shingles(a), shingles(b)
+        pairs.append((" ".join(a), " ".join(b), len(x & y) / len(x | y)))
+    df = spark.createDataFrame(pairs, "a string, b string, j double")
+    prints = df.select(fingerprints.fingerprint(F.col("a")).alias("fa"), fingerprints.fingerprint(F.col("b")).alias("fb"), "j")
+    errors = [r.e for r in prints.select((fingerprints.likeness(F.col("fa"), F.col("fb")) - F.col("j")).alias("e")).collect()]
+    assert max(map(abs, errors)) < 0.2 and abs(sum(errors) / len(errors)) < 0.05
+
+
+# licences
+
+
+def test_licences(spark):
+    mit = ". ".join(s for name, s in licenses.SENTENCES if name in ("MI2", "MI3", "MI4"))
+    docs = [
+        (1, "Licensed under the Apache License, Version 2.0.\ntext follows."),
+        (2, f"Intro.\n{mit}.\nReleased under the MIT License."),
+        (3, "You may not use this file except in compliance with the License."),
+        (4, "A line.\nLicensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0.\n"),
+        (5, "nothing about licensing here"),
+    ]
+    got = {r.doc_id: (r.sentence_ids, r.licenses, r.n_matches) for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == ("AP1  -", "Apache-2.0", 1)
+    assert got[2] == ("-  MI2  MI3  MI4  MI1", "MIT", 2)
+    assert got[3][1:] == ("", 0)  # one sentence of a rule of three
+    assert got[4][1:] == ("CC-BY-NC-4.0", 2)
+    assert got[5] == ("-", "", 0)
+    assert all(any(a in s for a in licenses.ANCHORS) for _, s in licenses.SENTENCES)
+
+
+# classifiers
+
+
+def test_quality_on_held_out_rows(spark):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    scored = quality.score_quality(documents(spark), labels).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+    rows = scored.select("score", "quality").collect()
+    good, bad = [r.score for r in rows if r.quality], [r.score for r in rows if not r.quality]
+    assert np.mean([g > b for g in good for b in bad]) > 0.95
+
+
+def test_language_on_held_out_rows(spark):
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    done = langid.identify_language(documents(spark), ~held_out).where(held_out)
+    assert done.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.96
+
+
+def test_scorer_is_the_network():
+    rng = np.random.default_rng(0)
+    windows = [bytes(rng.integers(97, 97 + 3 + 9 * (i % 2), langid.WINDOW + 3).tolist()) for i in range(80)]
+    net = langid.fit(windows, ["a", "b"] * 40, epochs=2)
+    text = windows[0][:100]
+    got = langid.Scorer(net).texts([text, windows[1] * 3])
+    padded = np.zeros(langid.WINDOW + 3, np.int64)
+    padded[:100] = net.classes[np.frombuffer(text, np.uint8)]
+    pooled = []
+    for w in langid.WIDTHS:
+        for f in range(langid.FILTERS):
+            pooled.append(max(sum(net.tables[w, k][f, padded[i + k]] for k in range(w)) for i in range(langid.WINDOW)))
+    assert np.allclose(net.head(np.array([pooled]))[0], got[0], atol=1e-5)
+    assert got.shape == (2, 2) and np.allclose(got.sum(axis=1), 1)
+
+
+# search
+
+
+def brute_search(docs, queries, k, terms):
+    tf = {i: bm25.terms_of(t) for i, t in docs.items()}
+    size = {i: sum(c.values()) for i, c in tf.items()}
+    average = sum(size.values()) / len(size)
+    df = Counter(t for c in tf.values() for t in c)
+    idf = {t: math.log1p((len(docs) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    out = {}
+    for q in queries:
+        own = sorted(tf[q], key=lambda t: (-tf[q][t] * idf[t], t))[:terms]
+        scores = []
+        for i, c in tf.items():
+            s = sum(idf[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * size[i] / average)) for t in own if t in c)
+            if s > 0:
+                scores.append((-s, i))
+        out[q] = [(i, -s) for s, i in sorted(scores)[:k]]
+    return out
+
+
+def test_search_against_brute_force(spark):
+    docs = {r.doc_id: r.text for r in documents(spark).collect()}
+    df = documents(spark)
+    found = bm25.search(df, df.where("doc_id % 100 = 0"), k=7, query_terms=12, shard_docs=90).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    want = brute_search(docs, [i for i in docs if i % 100 == 0], 7, 12)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert all(abs(a - b) < 1e-9 for q in want for (_, a), (_, b) in zip(got[q], want[q], strict=True))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6))
+def test_wand_is_exhaustive(seed):
+    rng = np.random.default_rng(seed)
+    lists, scores = [], Counter()
+    for _ in range(rng.integers(1, 6)):
+        docs = np.sort(rng.choice(2000, rng.integers(1, 900), replace=False))
+        own = np.zeros(len(docs), bm25._POSTING)
+        own["doc"], own["tf"], own["length"] = docs, rng.integers(1, 4, len(docs)), rng.integers(1, 4, len(docs)) * 50
+        lists.append((float(rng.uniform(0.1, 5)), bm25.Postings(own.tobytes(), 60.0, 8)))
+    for w, p in lists:
+        for d, x in zip(p.docs.tolist(), p.impacts.tolist(), strict=True):
+            scores[d] += w * x
+    want = sorted((-s, d) for d, s in scores.items())[:10]
+    best, where = bm25.block_max_wand(lists, 10)
+    assert where.tolist() == [d for _, d in want] and np.allclose(best, [-s for s, _ in want])
+
+
+# segmentation
+
+
+@pytest.fixture(scope="module")
+def segmenter():
+    return sp_nbest.Segmenter(public_tokenizers.path("piece_bpe_32k.model"), 4)
+
+
+@settings(max_examples=120, deadline=None)
+@given(text=st.lists(st.sampled_from(["a", "b", " ", "th", "é", "\n", "the", "梦", "☃", ".", "*"]), min_size=1, max_size=6).map("".join))
+def test_nbest_against_enumeration(segmenter, text):
+    m, marked, every = segmenter, sp_nbest.BLANK + text.replace(" ", sp_nbest.BLANK), []
+
+    def go(i, score, ids):
+        if i == len(marked):
+            every.append((score, ids))
+            return
+        if marked[i] not in m.pieces:
+            go(i + 1, score + m.spelled, ids + m.spell(marked[i]))
+        for j in range(i + 1, len(marked) + 1):
+            if marked[i:j] in m.pieces:
+                go(j, score + m.pieces[marked[i:j]][0], ids + m.pieces[marked[i:j]][1])
+
+    go(0, 0.0, b"")
+    every.sort(key=lambda x: -x[0])
+    got = m.encode(text)
+    assert [round(s, 6) for s, _ in got] == [round(s, 6) for s, _ in every[:4]]
+    assert len({i for _, i in got}) == len(got) and {i for _, i in got} <= {i for _, i in every}
+    assert m.decode(got[0][1]) == text
+
+
+def test_segmentation_round_trip(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    done = sp_nbest.segmentation_digests(documents(spark, "/root/testdata/sf0.001"), path)
+    assert done.where("NOT decoded_ok OR size(scores) = 0").count() == 0
+    best = sp_nbest.encode_nbest(documents(spark, "/root/testdata/sf0.001"), path, 2).select("text", F.col("nbest")[0]["ids"].alias("ids"))
+    assert sp_nbest.decode_ids(best, path).where("decoded <> text").count() == 0
