@@ -3,15 +3,16 @@
 A document is the set of its word shingles. Jaccard similarity of num/den at
 least means a symmetric difference of at most (den - num) / (den + num) of both
 sizes' sum. Sets of like size (a band) are hashed into the same number of parts;
-in each part the tokens toggle bits of a 64-bit word, the part's parity sketch.
-The Hamming distance of two sketches is at most the symmetric difference, which
-therefore touches fewer parts than there are: some part is equal in both
-(pigeonhole), and equal parts are what documents are joined by.
+in each part every token toggles a bit of a wide parity sketch, of which the XOR
+of the tokens' 64-bit hashes is kept. Two sketches differ in no more bits, and so
+in no more parts, than the symmetric difference has tokens, which are fewer than
+there are parts: some part is equal in both (pigeonhole), and equal parts are
+what documents are joined by.
 
-Parts with at most one bit set say little and are shared by strangers. A band
-has so many more parts than differences that a document may leave such parts out
-(a pair then still agrees in another one); if it has more of them than that, it
-keeps them all, so no pair is ever lost.
+Empty parts are shared by strangers. A band has so many more parts than
+differences that a document may leave its empty parts out (a pair then still
+agrees in another one); if it has more of them than that, it keeps them all, so
+no pair is ever lost.
 
 Identical sets are one node. Within the documents that share a part, every node
 is first compared with the least one; what this links is contracted, and only
@@ -72,11 +73,11 @@ class Bands:
         return (self.den - self.num) * total // (self.den + self.num)
 
     def parts(self, band: int) -> tuple[int, int]:
-        """Parts of a band, and how many uninformative ones a set may leave out."""
+        """Parts of a band, and how many empty ones a set may leave out."""
         least, most = self.starts[band], self.starts[band + 1] - 1
         needed = self.differences(2 * most) + 1
         mean = least / needed
-        spare = int(needed * min(0.25, 1.5 * math.exp(-mean) * (1 + mean)))
+        spare = math.ceil(needed * min(0.25, 1.5 * math.exp(-mean))) if needed > 1 else 0
         return needed + spare, spare
 
     def of(self, size: int) -> list[int]:
@@ -89,17 +90,17 @@ def part_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
     """A key for each part's parity sketch, in each of the set's bands."""
     keys = []
     dealt = mix64(tokens + np.uint64(0xD1B54A32D192ED03))
-    bit = np.uint64(1) << (dealt & np.uint64(63))
+    hashed = mix64(tokens ^ np.uint64(0x8EBC6AF09C88C6E3))
     for band in bands.of(len(tokens)):
         parts, spare = bands.parts(band)
         if parts == 1:  # no difference is allowed, and equal sets are one node
             continue
         words = np.zeros(parts, np.uint64)
-        np.bitwise_xor.at(words, ((dealt >> np.uint64(6)) % np.uint64(parts)).astype(np.int64), bit)
-        poor = (words & (words - np.uint64(1))) == 0
+        np.bitwise_xor.at(words, (dealt % np.uint64(parts)).astype(np.int64), hashed)
+        empty = words == 0
         at = np.arange(parts, dtype=np.uint64)
-        if poor.sum() <= spare:
-            at, words = at[~poor], words[~poor]
+        if empty.sum() <= spare:
+            at, words = at[~empty], words[~empty]
         keys.append(mix64(mix64(at + np.uint64(band << 40)) + words))
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
