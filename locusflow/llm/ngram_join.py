@@ -17,7 +17,7 @@ no pair is ever lost.
 Identical sets are one node. Within the documents that share a part, every node
 is first compared with the least one; what this links is contracted, and only
 then pairs that are still in different components are compared. All candidates
-pass a 256-bit parity sketch and an exact count on the texts. No bucket is ever
+pass a 1024-bit parity sketch and an exact count on the texts. No bucket is ever
 held in memory and no pair within a component is made twice.
 
 Defined cases: null or empty texts (and ones without words) are linked with
@@ -42,7 +42,7 @@ from .common import materialise, mix64
 from .components import components
 
 _GROWTH = 1.5
-_SKETCH = ("s0", "s1", "s2", "s3")
+_SKETCH = tuple(f"s{k}" for k in range(16))
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -106,10 +106,10 @@ def part_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def small_sketch(tokens: np.ndarray) -> np.ndarray:
-    """256 parity bits as four words."""
-    words = np.zeros(4, np.uint64)
+    """1024 parity bits as sixteen words."""
+    words = np.zeros(len(_SKETCH), np.uint64)
     dealt = mix64(tokens ^ np.uint64(0xA0761D6478BD642F))
-    np.bitwise_xor.at(words, ((dealt >> np.uint64(6)) & np.uint64(3)).astype(np.int64), np.uint64(1) << (dealt & np.uint64(63)))
+    np.bitwise_xor.at(words, ((dealt >> np.uint64(6)) & np.uint64(len(_SKETCH) - 1)).astype(np.int64), np.uint64(1) << (dealt & np.uint64(63)))
     return words
 
 
@@ -127,7 +127,7 @@ def _prints(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
                     keys.append(part_keys(tokens, bands))
                     ends.append(ends[-1] + len(keys[-1]))
                 words = np.stack(sketches).view(np.int64)
-                arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(words[:, k]) for k in range(4))]
+                arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(words[:, k]) for k in range(len(_SKETCH)))]
                 arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64))))
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "digest", *_SKETCH, "keys"])
 
