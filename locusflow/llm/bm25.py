@@ -3,14 +3,16 @@
 Every input split is cut into shards of documents; each shard's task builds its
 own inverted index, a term's postings in document order. Only document
 frequencies, counts and total length are gathered globally, so shards score with
-global statistics. Postings fall into blocks of document numbers, and a term's
-greatest addition in a block bounds what the block's documents can score. A query
-goes to those shards that hold one of its terms and is evaluated there with
-dynamic pruning: only blocks whose bounds add up to the k-th best score so far
-are scored. Shards' top k are merged exactly.
+global statistics. Every query goes to every shard, as one row of term numbers.
+Postings fall into blocks of document numbers, and a term's greatest addition in
+a block bounds what the block's documents can score. A query with few terms is
+evaluated with dynamic pruning: only blocks whose bounds add up to the k-th best
+score so far are scored. One with many terms scores the whole shard. Shards' top
+k are merged exactly.
 
-Queries are documents ("more like this"): a query's terms are its text's
-query_terms terms of greatest tf * idf, over the whole text.
+Queries are documents ("more like this"): a query's terms are all distinct terms
+of its whole text, each once. A caller may ask for the query_terms terms of
+greatest tf * idf only.
 
 Scores: sum over the query's terms of idf * tf * (k1 + 1) / (tf + k1 * (1 - b +
 b * length / average length)), idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
@@ -38,6 +40,7 @@ from .common import materialise, spread
 
 K1, B = 1.2, 0.75
 BLOCK = 256
+FEW_TERMS = 32
 _WORD = re.compile(r"[^\W_]+").findall
 INDEX = "shard long, term string, df int, doc_id long, length long, postings binary"
 _POSTING = np.dtype([("doc", "<u4"), ("tf", "<u4"), ("length", "<u4")])
@@ -100,6 +103,12 @@ def build_index(docs: DataFrame, shard_docs: int = 16384, shard_postings: int =
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, INDEX)
 
 
+def _impacts(own: np.ndarray, average: float) -> np.ndarray:
+    """What each posting adds to a score at weight 1."""
+    tf = own["tf"].astype(float)
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * own["length"] / average))
+
+
 class Postings:
     """One term's postings in a shard: what each adds to a score at weight 1, and the most that any adds in each block.
 
@@ -110,9 +119,8 @@ class Postings:
 
     def __init__(self, packed: bytes, average: float, blocks: int):
         own = np.frombuffer(packed, _POSTING)
-        tf = own["tf"].astype(float)
         self.docs = own["doc"].astype(np.int64)
-        self.impacts = tf * (K1 + 1) / (tf + K1 * (1 - B + B * own["length"] / average))
+        self.impacts = _impacts(own, average)
         self.starts = np.searchsorted(self.docs, np.arange(blocks + 1) * BLOCK)
         self.most = np.zeros(blocks)
         filled = np.flatnonzero(np.diff(self.starts))
@@ -153,8 +161,58 @@ def block_max_wand(lists: list[tuple[float, Postings]], k: int, step: int = 4) -
     return best, where
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int = 32, shard_docs: int = 16384) -> DataFrame:
-    """query_id, rank (from 1), doc_id, score: the k best documents of each query (doc_id, text)."""
+class Shard:
+    """A shard's postings of the terms that are asked for, and what each adds to a score."""
+
+    def __init__(self, numbers: list[int], weights: list[float], packed: list[bytes], average: float, blocks: int):
+        order = np.argsort(np.array(numbers, np.int64), kind="stable")
+        self.numbers, self.weights = np.array(numbers, np.int64)[order], np.array(weights)[order]
+        self.packed, self.average, self.blocks = [packed[i] for i in order], average, blocks
+        own = np.frombuffer(b"".join(self.packed), _POSTING)
+        self.ends = np.cumsum([0, *(len(p) // _POSTING.itemsize for p in self.packed)])
+        self.docs = own["doc"].astype(np.int64)
+        self.adds = np.repeat(self.weights, np.diff(self.ends)) * _impacts(own, average)
+        self.lists: dict[int, Postings] = {}
+
+    def best(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and numbers of the k best documents for the term numbers, as block_max_wand gives them.
+
+        Many terms leave hardly a block below the threshold: the shard is then scored at once.
+        """
+        here = terms[np.isin(terms, self.numbers, assume_unique=True)]
+        at = np.searchsorted(self.numbers, here).tolist()
+        if not at:
+            return np.empty(0), np.empty(0, np.int64)
+        if len(at) <= FEW_TERMS:
+            for i in at:
+                if i not in self.lists:
+                    self.lists[i] = Postings(self.packed[i], self.average, self.blocks)
+            return block_max_wand([(self.weights[i], self.lists[i]) for i in at], k)
+        parts = [slice(self.ends[i], self.ends[i + 1]) for i in at]
+        scores = np.bincount(np.concatenate([self.docs[p] for p in parts]), np.concatenate([self.adds[p] for p in parts]))
+        hit = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if k < len(scores) else np.arange(len(scores))
+        hit = hit[scores[hit] > 0]
+        hit = hit[np.lexsort((hit, -scores[hit]))[:k]]
+        return scores[hit], hit
+
+
+def _numbered(terms: DataFrame) -> DataFrame:
+    """terms with number, from 0 without gaps."""
+    terms = materialise(terms.withColumn("at", F.monotonically_increasing_id()), "bm25-terms")
+    sizes = sorted(tuple(r) for r in terms.groupBy(F.shiftright("at", 33).alias("part")).count().collect())
+    first, pairs = 0, []
+    for part, size in sizes:
+        pairs += [F.lit(part), F.lit(first)]
+        first += size
+    offset = F.try_element_at(F.create_map(*pairs), F.shiftright("at", 33)) if pairs else F.lit(0)
+    return terms.withColumn("number", (offset + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int")).drop("at")
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int | None = None, shard_docs: int = 16384) -> DataFrame:
+    """query_id, rank (from 1), doc_id, score: the k best documents of each query (doc_id, text).
+
+    All distinct terms of a query's text count, unless query_terms is given.
+    """
     index = materialise(build_index(docs, shard_docs), "bm25-index")
     members = index.where("term = ''").select("shard", F.col("df").alias("number"), "doc_id", "length")
     whole = members.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length")).first()
@@ -176,55 +234,44 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int =
     terms = index.where("term <> ''")
     frequency = terms.select("term", "df").where(may_hold(asked.select("term"), "term")).groupBy("term").agg(F.sum("df").alias("df"))
     idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.col("tf") * F.col("idf")), "term")
-    weighted = asked.join(frequency, "term").withColumn("idf", idf).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= query_terms)
-    weighted = materialise(weighted.select("query_id", "term", "idf", "nth"), "bm25-weighted")
-    held = terms.select("shard", "term", "postings").where(may_hold(weighted.select("term"), "term"))
-    held = materialise(held.join(weighted.select("term").distinct(), "term", "left_semi"), "bm25-held")
-
-    # a shard's postings come first, each once, then its queries' terms
-    postings = held.select("shard", F.lit(None).cast("long").alias("query_id"), F.lit(0).alias("nth"), "term", F.lit(0.0).alias("idf"), "postings")
-    routed = held.select("shard", "term").join(weighted, "term").select("shard", "query_id", "nth", "term", "idf", F.lit(None).cast("binary").alias("postings"))
-    dealt = spread(postings.unionByName(routed), "shard").sortWithinPartitions("shard", F.col("postings").isNull(), "query_id", "nth")
+    # the filter lets some other terms pass
+    frequency = frequency.join(asked.select("term").distinct(), "term", "left_semi")
+    known = _numbered(frequency.select("term", idf.alias("idf")))
+    weighted = asked.join(known, "term")
+    if query_terms is not None:
+        best = Window.partitionBy("query_id").orderBy(F.desc(F.col("tf") * F.col("idf")), "term")
+        weighted = weighted.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= query_terms)
+    asking = materialise(weighted.groupBy("query_id").agg(F.sort_array(F.collect_list("number")).alias("terms")), "bm25-queries")
+    held = terms.select("shard", "term", "postings").where(may_hold(asked.select("term"), "term")).join(known, "term")
+
+    # a shard's postings come first, each once, then every query as one row of term numbers
+    postings = held.select("shard", F.lit(None).cast("long").alias("query_id"), "number", "idf", "postings", F.lit(None).cast("array<int>").alias("terms"))
+    routed = asking.crossJoin(F.broadcast(members.select("shard").distinct()))
+    routed = routed.select("shard", "query_id", F.lit(None).cast("int").alias("number"), F.lit(None).cast("double").alias("idf"), F.lit(None).cast("binary").alias("postings"), "terms")
+    dealt = spread(postings.unionByName(routed), "shard").sortWithinPartitions("shard", F.col("postings").isNull())
 
     blocks = -(-shard_docs // BLOCK)
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One shard's postings of terms that are asked for are in memory, as much as a shard has at most."""
-        shard, query = None, None
-        packed: dict[str, bytes | Postings] = {}
-        lists: list[tuple[float, Postings]] = []
-        out: list[tuple[int, int, int, float]] = []
-
-        def done() -> None:
-            if lists:
-                out.extend((query, shard, int(doc), float(score)) for score, doc in zip(*block_max_wand(lists, k), strict=True))
-                lists.clear()
-
-        def rows() -> pa.RecordBatch:
-            q, s, d, v = zip(*out, strict=True) if out else ((), (), (), ())
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(s, pa.int64()), pa.array(d, pa.int32()), pa.array(v, pa.float64())], names=["query_id", "shard", "number", "score"])
-
+        shard, whole = None, None
+        held: tuple[list, list, list] = ([], [], [])
         for batch in batches:
-            for at, query_id, term, weight, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "query_id", "term", "idf", "postings")), strict=True):
+            out: list[tuple[int, int, int, float]] = []
+            lists = batch.column(5)
+            for row, (at, query_id, number, weight, blob) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
                 if at != shard:
-                    done()
-                    shard, query = at, None
-                    packed.clear()
+                    shard, whole, held = at, None, ([], [], [])
                 if blob is not None:
-                    packed[term] = blob
+                    for column, value in zip(held, (number, weight, blob), strict=True):
+                        column.append(value)
                     continue
-                if query_id != query:
-                    done()
-                    query = query_id
-                own = packed[term]
-                if isinstance(own, bytes):
-                    own = packed[term] = Postings(own, average, blocks)
-                lists.append((weight, own))
-            yield rows()
-        done()
-        yield rows()
+                if whole is None:
+                    whole, held = Shard(*held, average, blocks), ([], [], [])
+                scores, docs = whole.best(lists[row].values.to_numpy(), k)
+                out.extend((query_id, shard, doc, score) for doc, score in zip(docs.tolist(), scores.tolist(), strict=True))
+            q, s, d, v = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(s, pa.int64()), pa.array(d, pa.int32()), pa.array(v, pa.float64())], names=["query_id", "shard", "number", "score"])
 
     found = dealt.mapInArrow(evaluate, "query_id long, shard long, number int, score double").join(members, ["shard", "number"])
     ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")

@@ -366,6 +366,18 @@ def test_search_against_brute_force(spark):
     assert all(abs(a - b) < 1e-9 for q in want for (_, a), (_, b) in zip(got[q], want[q], strict=True))
 
 
+def test_search_takes_every_term_of_a_query(spark):
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choices(WORDS, k=rng.randint(60, 400))) for i in range(120)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {}
+    for r in sorted(bm25.search(df, df.where("doc_id % 10 = 0"), k=7, shard_docs=50).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    want = brute_search(texts, range(0, 120, 10), 7, None)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert all(abs(a - b) < 1e-9 for q in want for (_, a), (_, b) in zip(got[q], want[q], strict=True))
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10**6))
 def test_wand_is_exhaustive(seed):
