@@ -499,7 +499,7 @@ def q_fuzzy_support(spark, sf_dir):
 def q_pileup_images(spark, sf_dir):
     """Images of candidates, by digest."""
     opts = images.ImageOptions(width=41, height=30)
-    cands = pileup.candidates(_sites(spark, sf_dir)).where("start % 37 = 0").select("contig", "start", (F.col("start") - 20).alias("image_start")).where("image_start >= 0")
+    cands = pileup.candidates(_sites(spark, sf_dir)).select("contig", "start", (F.col("start") - 20).alias("image_start")).where("image_start >= 0")
     reads = fx.reads(spark, sf_dir).where("mapq >= 10").select("contig", F.col("ref_start").alias("start"), F.col("ref_end").alias("end"), "cigar", "seq", "bq", "mapq", "is_rev", "tlen", "hp", "name", "mate", "rid")
     near = intervals.interval_join(cands.withColumn("end", F.col("start") + 1), reads, bin_width=64, buffer=5)
     windows = pileup.with_reference(cands, fx.reference(spark, sf_dir), "image_start").select(F.col("contig").alias("w_contig"), F.col("start").alias("w_start"), F.substring("ref_after", 1, opts.width).alias("bases"))
