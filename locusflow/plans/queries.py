@@ -516,8 +516,7 @@ def q_pileup_images(spark, sf_dir):
 def q_assembled(spark, sf_dir):
     """Variants assembled in windows, added to the candidates."""
     at = _sites(spark, sf_dir)
-    windows = intervals.merge_intervals(intervals.islands(pileup.window_scores(at), 3)).where("end - start < 60").select("contig", F.greatest(F.col("start") - 30, F.lit(0)).alias("start"), (F.col("end") + 30).alias("end"))
-    windows = windows.where("start % 5 = 0")
+    windows = assembly.window_pieces(intervals.merge_intervals(intervals.islands(pileup.window_scores(at), 3)))
     bases = pileup.with_reference(windows, fx.reference(spark, sf_dir), "start").select("contig", "start", F.expr("substring(ref_after, 1, cast(end - start as int))").alias("bases"))
     reads = fx.reads(spark, sf_dir).select("contig", F.col("ref_start").alias("start"), F.col("ref_end").alias("end"), "seq", "bq", "mapq", "name")
     made = assembly.assemble_windows(windows, reads, bases, bin_width=64)

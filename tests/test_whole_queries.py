@@ -1,9 +1,10 @@
 """Queries without SQL against brute force over whole small tables."""
 
 import hashlib
+import random
 from collections import defaultdict
 
-from locusflow.operators import images, pileup
+from locusflow.operators import assembly, images, pileup
 from locusflow.plans import fixtures as fx
 from locusflow.plans.queries import QUERIES, _sites
 
@@ -31,3 +32,46 @@ def test_every_candidate_has_an_image(spark):
     rows = QUERIES["q_pileup_images"](spark, DATA).collect()
     assert len(rows) == len(want) > 37
     assert {r.candidate: r.digest for r in rows} == want
+
+
+def test_every_window_is_assembled(spark):
+    at = _sites(spark, DATA)
+    hot = defaultdict(set)
+    for r in pileup.window_scores(at).where("score >= 3").collect():
+        hot[r.contig].add(r.pos)
+    bases, reads, found = references(spark), defaultdict(list), set()
+    for r in fx.reads(spark, DATA).collect():
+        reads[r.contig].append(r)
+    for contig, positions in hot.items():
+        for start in sorted(p for p in positions if p - 1 not in positions):
+            end = next(p for p in range(start, max(positions) + 2) if p not in positions)
+            assert end - start <= 60  # longer ones are tested below
+            lo, hi = max(start - 30, 0), end + 30
+            own = sorted((r for r in reads[contig] if r.ref_start < hi and lo < r.ref_end), key=lambda r: (r.ref_start, r.name))
+            window = bases[contig][lo:hi]
+            graph = assembly.build_graph(window, [(r.seq, list(r.bq), r.mapq) for r in own])
+            for h in assembly.haplotypes(graph) if graph else []:
+                found.update(assembly.variants_of(contig, lo, window, h) if h != window else ())
+    known = [(c.contig, c.start, c.end, c.ref, tuple(c.alts)) for c in pileup.candidates(at).collect()]
+    taken = {(c, s, r, tuple(sorted(alts))) for c, s, _, r, alts in known}
+    fresh = [(c, s, e, r, (a,)) for c, s, e, r, a in found if (c, s, r, (a,)) not in taken]
+    got = [(r.contig, r.start, r.end, r.ref, tuple(r.alts)) for r in QUERIES["q_assembled"](spark, DATA).collect()]
+    assert sorted(got) == sorted(known + fresh)
+
+
+def test_long_windows_are_assembled_in_pieces(spark):
+    rng = random.Random(3)
+    ref = "".join(rng.choices("ACGT", k=600))
+    places = [110, 165, 220, 275, 330, 385]
+    alt = list(ref)
+    for p in places:
+        alt[p] = "ACGT"["ACGT".index(ref[p]) - 1]
+    alt = "".join(alt)
+    rows = [("c", s, s + 60, text[s : s + 60], [30] * 60, 60, f"{k}{n}{s}") for k, text in enumerate((ref, alt)) for n in range(2) for s in range(0, 541, 5)]
+    reads = spark.createDataFrame(rows, "contig string, start long, end long, seq string, bq array<int>, mapq int, name string")
+    windows = assembly.window_pieces(spark.createDataFrame([("c", 100, 400), ("c", 450, 480)], "contig string, start long, end long"))
+    pieces = sorted((r.start, r.end) for r in windows.collect())
+    assert pieces[0][0] == 70 and pieces[-2][1] == 430 and pieces[-1] == (420, 510) and all(hi - lo <= 120 for lo, hi in pieces)
+    texts = spark.createDataFrame([("c", lo, ref[lo:hi]) for lo, hi in pieces], "contig string, start long, bases string")
+    made = assembly.assemble_windows(windows, reads, texts, bin_width=64)
+    assert sorted((r.start, r.ref, tuple(r.alts)) for r in made.collect()) == [(p, ref[p], (alt[p],)) for p in places]
