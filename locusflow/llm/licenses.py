@@ -1,6 +1,7 @@
 """Licence scans by sentence rules, with DataFrame functions only.
 
-Every sentence of a text is normalised (lower case, runs of anything but letters
+Sentences may be wrapped over lines; numbers of list items are dropped. Every
+sentence of a text is normalised (lower case, runs of anything but letters
 and digits as one space) and looked up among known licence sentences. What is
 found is a sequence of sentence identifiers, broken where other sentences stand
 between. Rules are identifier sequences in a fixed order, longer ones first; a
@@ -80,13 +81,42 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 ANCHORS = ("licen", "redistribut", "copyright", "software")
 BREAK = r"[.!?;:]+\s+|[.!?;:]*\n\s*"
 
+#: What the scan knows beyond the SQL's tables above: sentences of official notices that stand between or hold several.
+MORE_SENTENCES: list[tuple[str, str]] = [
+    ("AP2  AP3", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("GP4", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("GP6", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+]
+MORE_RULES: list[tuple[str, tuple[str, ...]]] = [
+    ("GPL-3.0", ("GP2", "GP4", "GP3")),
+    ("GPL-2.0", ("GP6", "GP4", "GP3")),
+    ("GPL-2.0", ("GP6", "GP3")),
+    ("GPL-2.0", ("GP6",)),
+]
+MORE_ANCHORS = ("distributed in the hope",)
+
+#: Sentences end at blank lines (or lines of marks only) and at .!? before white space. A blank line before an address ends none.
+SENTENCE = r"[.!?]+\s+|(?<!license at)[ \t\r]*\n(?:[^\p{L}\p{N}\n]*\n)+"
+#: A sentence that isn't known is looked up in parts: between ; and :, then line by line.
+CLAUSE, LINE = r"(?<!identifier)[;:]+\s+", r"\s*\n\s*"
+#: What stands on lines by itself: the number of a list's item, and a copyright notice.
+ITEM = r"(?m)^[^\p{L}\p{N}\n]{0,8}\(?[0-9]{1,2}[.)][ \t]+"
+NOTICE = r"(?m)^([^\p{L}\p{N}\n]{0,8}copyright\s*(?:\(c\)|©|[0-9]{4})[^\n]*)$"
+
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the text's known sentences as ' AP2 AP3 - MI1 ', '-' where others stand between."""
-    known = F.create_map(*(F.lit(x) for name, sentence in SENTENCES for x in (sentence, name)))
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
-    anchored = lambda s: F.exists(F.array(*(F.lit(a) for a in ANCHORS)), lambda a: F.contains(s, a))
-    names = F.transform(F.split(F.lower(text), BREAK), lambda s: F.when(anchored(s), F.coalesce(F.try_element_at(known, plain(s)), F.lit("-"))).otherwise(F.lit("-")))
+    known = F.create_map(*(F.lit(x) for name, sentence in (*SENTENCES, *MORE_SENTENCES) for x in (sentence, name)))
+    plain = lambda s: F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " "))
+    anchored = lambda s: F.exists(F.array(*(F.lit(a) for a in (*ANCHORS, *MORE_ANCHORS))), lambda a: F.contains(s, a))
+
+    def named(s: Column, breaks: tuple[str, ...]) -> Column:
+        found = F.try_element_at(known, plain(s))
+        other = F.flatten(F.transform(F.split(s, breaks[0]), lambda part: named(part, breaks[1:]))) if breaks else F.array(F.lit("-"))
+        return F.when(~anchored(s), F.array(F.lit("-"))).when(found.isNotNull(), F.array(found)).otherwise(other)
+
+    own = F.regexp_replace(F.regexp_replace(F.lower(text), ITEM, "\n\n"), NOTICE, "\n\n$1\n\n")
+    names = F.flatten(F.transform(F.split(own, SENTENCE), lambda s: named(s, (CLAUSE, LINE))))
     joined = F.concat(F.lit(" "), F.array_join(names, "  "), F.lit(" "))
     return F.regexp_replace(joined, r"(?: - )+", " - ")
 
@@ -109,7 +139,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     seen = docs.select("doc_id", found.alias("sentence_ids"))
     none = F.array().cast("array<string>")
     state = F.struct(F.col("sentence_ids").alias("rest"), none.alias("hits"))
-    for name, ids in RULES:
+    for name, ids in (*MORE_RULES, *RULES):
         # each identifier stands between two blanks of its own, so replace() takes neighbours too
         state = let(state, _taking(name, "".join(f" {x} " for x in ids)))
     hits = seen.withColumn("hits", F.when(F.col("sentence_ids") == " - ", none).otherwise(state["hits"]))
