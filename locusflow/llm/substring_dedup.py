@@ -9,9 +9,10 @@ run that isn't the first covers is removed. A passage of more than twice the
 words of a run is found whatever stands around it.
 
 Defined cases: a null text is the empty text and has no sentence; the first
-occurrence is in the least doc_id, null being the greatest; rows that repeat a
-doc_id count as one document; a text is stripped at its ends only if something
-was removed.
+occurrence is in the least doc_id, null being the greatest; rows are documents of
+their own, also those that repeat a doc_id or have none: of one doc_id they go by
+a hash of the text, and of equal texts one comes first; a text is stripped at its
+ends only if something was removed.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,38 +63,45 @@ def runs(words: list[int], min_words: int, long_words: int) -> list[tuple[int, i
     return found
 
 
+def _row_key() -> tuple[Column, Column]:
+    """What tells rows apart, but for those of one doc_id and text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.xxhash64("text")
+
+
 def _hashed_runs(docs: DataFrame, min_words: int, long_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids, digests, starts, ends = [], [], [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                ids, hashes, digests, starts, ends = [], [], [], [], []
+                for doc_id, text_hash, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     parts, places = sentences(text)
                     kept = [parts[i] for i in places]
                     own = b"".join(xxhash.xxh3_128_digest(s.strip().encode("utf-8", "surrogatepass")) for s in kept)
                     for i, j in runs([len(s.split()) for s in kept], min_words, long_words):
                         ids.append(doc_id)
+                        hashes.append(text_hash)
                         digests.append(xxhash.xxh3_128_digest(own[16 * i : 16 * j + 16]))
                         starts.append(i)
                         ends.append(j)
                 both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["hi", "lo", "doc_id", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["hi", "lo", "doc_id", "text_hash", "first", "last"])
 
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "text")
-    return own.mapInArrow(run, "hi long, lo long, doc_id long, first int, last int")
+    own = docs.select(*_row_key(), "text")
+    return own.mapInArrow(run, "hi long, lo long, doc_id long, text_hash long, first int, last int")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 16, long_words: int = 40) -> DataFrame:
-    """Runs that occurred before: doc_id, first and last (sentences with words, from 0), first_doc_id.
+    """Runs that occurred before: doc_id, text_hash, first and last (sentences with words, from 0), first_doc_id.
 
-    A null doc_id is shown as the greatest long.
+    A null doc_id is shown as the greatest long. Rows of one doc_id and text are
+    taken for one here.
     """
     every = _hashed_runs(docs, min_words, long_words)
-    place = F.struct("doc_id", "first")
+    place = F.struct("doc_id", "text_hash", "first")
     origin = every.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("origin")).where("times > 1")
     again = every.join(origin, ["hi", "lo"]).where(place > F.col("origin"))
-    return again.select("doc_id", "first", "last", F.col("origin.doc_id").alias("first_doc_id"))
+    return again.select("doc_id", "text_hash", "first", "last", F.col("origin.doc_id").alias("first_doc_id"))
 
 
 def substring_dedup(docs: DataFrame, min_words: int = 16, long_words: int = 40) -> DataFrame:
@@ -102,17 +110,24 @@ def substring_dedup(docs: DataFrame, min_words: int = 16, long_words: int = 40)
     first_doc_ids: where what was removed occurs first.
     """
     again = repeated_runs(docs, min_words, long_words)
-    spans = again.groupBy(F.col("doc_id").alias("__lf_id")).agg(F.collect_set(F.struct("first", "last")).alias("__lf_spans"), F.sort_array(F.collect_set("first_doc_id")).alias("__lf_from"))
-    spans = spans.select("__lf_id", "__lf_from", F.transform("__lf_spans", lambda s: s["first"]).alias("__lf_first"), F.transform("__lf_spans", lambda s: s["last"]).alias("__lf_last"))
-    result = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
+    spans = again.groupBy(F.col("doc_id").alias("__lf_id"), F.col("text_hash").alias("__lf_hash")).agg(F.collect_set(F.struct("first", "last")).alias("__lf_spans"), F.sort_array(F.collect_set("first_doc_id")).alias("__lf_from"))
+    spans = spans.select("__lf_id", "__lf_hash", "__lf_from", F.transform("__lf_spans", lambda s: s["first"]).alias("__lf_first"), F.transform("__lf_spans", lambda s: s["last"]).alias("__lf_last"))
+    result = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("own", T.BooleanType())])
 
     @F.pandas_udf(result)
-    def rebuild(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.DataFrame:
+    def rebuild(texts: pd.Series, copies: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.DataFrame:
         out = []
-        for text, first, last in zip(texts, firsts, lasts, strict=True):
+        for text, copy, first, last in zip(texts, copies, firsts, lasts, strict=True):
             parts, places = sentences(text)
+            own = False
+            if copy > 1:
+                # all runs of a copy occurred before: in the first one of its kind, if not elsewhere
+                before = set() if first is None else set(zip(first, last, strict=True))
+                every = runs([len(parts[i].split()) for i in places], min_words, long_words)
+                own = not before.issuperset(every)
+                first, last = [i for i, _ in every], [j for _, j in every]
             if first is None or len(first) == 0:
-                out.append((text or "", len(places), 0))
+                out.append((text or "", len(places), 0, own))
                 continue
             gone = np.zeros(len(places) + 1, np.int64)
             for i, j in zip(first, last, strict=True):
@@ -124,11 +139,15 @@ def substring_dedup(docs: DataFrame, min_words: int = 16, long_words: int = 40)
                     parts[place] = ""
                     if place + 1 < len(parts):
                         parts[place + 1] = ""
-            out.append(("".join(parts).strip(), len(places), int((gone[: len(places)] > 0).sum())))
-        return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
-
-    same_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("__lf_id")
-    done = docs.join(spans.hint("shuffle_hash"), same_id, "left").withColumn("__lf", rebuild("text", "__lf_first", "__lf_last"))
+            out.append(("".join(parts).strip(), len(places), int((gone[: len(places)] > 0).sum()), own))
+        return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed", "own"])
+
+    doc_id, text_hash = _row_key()
+    alike = Window.partitionBy("__lf_id", "__lf_hash").orderBy("__lf_id")
+    keyed = docs.withColumn("__lf_id", doc_id).withColumn("__lf_hash", text_hash).withColumn("__lf_copy", F.row_number().over(alike))
+    done = keyed.join(spans.hint("shuffle_hash"), ["__lf_id", "__lf_hash"], "left").withColumn("__lf", rebuild("text", "__lf_copy", "__lf_first", "__lf_last"))
+    found = F.coalesce("__lf_from", F.array().cast("array<bigint>"))
+    found = F.when(F.col("__lf.own"), F.sort_array(F.array_union(found, F.array("__lf_id")))).otherwise(found)
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "first_doc_ids")]
     columns = [F.col("__lf.text").alias("text") if c == "text" else F.col(c) for c in kept]
-    return done.select(*columns, "__lf.n_sentences", "__lf.n_removed", F.coalesce("__lf_from", F.array().cast("array<bigint>")).alias("first_doc_ids"))
+    return done.select(*columns, "__lf.n_sentences", "__lf.n_removed", found.alias("first_doc_ids"))

@@ -218,6 +218,19 @@ def test_substrings_against_brute_force(spark):
     assert passage in got[0].text.replace("\n", " ")
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(7)
+    made = lambda n: " ".join(" ".join(rng.choices(WORDS, k=9)) + "." for _ in range(n))
+    passage, long, twice = made(5), made(12), made(6)
+    docs = [(1, passage), (None, f"{made(3)} {passage}"), (None, f"{made(8)} {passage}"), (None, long), (None, twice), (None, twice), (None, made(1)), (2, made(4)), (2, f"{made(6)} {passage}")]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == len(docs)
+    kept = [r.text for r in got]
+    assert sum(passage in t for t in kept) == 1 and long in kept and kept.count(twice) == 1 and docs[7][1] in kept and docs[6][1] in kept
+    assert sorted((r.n_sentences, r.n_removed) for r in got) == [(1, 0), (4, 0), (5, 0), (6, 0), (6, 6), (8, 5), (11, 5), (12, 0), (13, 5)]
+    assert sorted(r.first_doc_ids for r in got if r.n_removed) == [[1], [1], [1], [(1 << 63) - 1]]
+
+
 # fingerprints
 
 
