@@ -53,7 +53,7 @@ def features(sites: DataFrame, reads: DataFrame, counts: DataFrame) -> DataFrame
     """sites (contig, start, ref, alts, alt_idx) with features: 12 of reads, 7 of the variant, WINDOW of the frequencies around."""
     named = sites.withColumn("alt", F.get("alts", F.get("alt_idx", F.lit(0))))
     read_part = classify_reads(named, reads)
-    around = vaf_context(counts, named.select("contig", F.col("start").alias("pos")), WINDOW // 2).withColumnRenamed("pos", "start")
+    around = vaf_context(counts, named.select("contig", F.col("start").alias("pos")).distinct(), WINDOW // 2).withColumnRenamed("pos", "start")
     joined = named.join(read_part, ["contig", "start", "ref", "alt"]).join(around, ["contig", "start"])
     both = F.col("n_ref") + F.col("n_alt")
     own = ["n_ref", "n_alt", both, "depth", _percent(F.col("n_alt"), F.col("depth")), _percent(F.col("n_alt"), both), "mapq_ref", "mapq_alt", "bq_ref", "bq_alt", "rev_ref", "rev_alt"]

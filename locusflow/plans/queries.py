@@ -540,7 +540,7 @@ def _toy_model():
 def q_small_model_calls(spark, sf_dir):
     """Vectors scored, and the gate."""
     at = _sites(spark, sf_dir)
-    sites = pileup.candidates(at).where(F.size("alts") == 1).select("contig", "start", "ref", "alts", F.array(F.lit(0)).alias("alt_idx"))
+    sites = pileup.candidates(at).select("contig", "start", "ref", "alts", F.explode(F.transform("alts", lambda a, i: F.array(i))).alias("alt_idx"))
     vectors = small_model.features(sites, fx.reads(spark, sf_dir).where("mapq >= 10"), pileup.allele_counts(at))
     scaled = vectors.withColumn("features", F.transform("features", lambda x: x / 100.0))
-    return small_model.gate(inference.predict_features(scaled, _toy_model)).select("contig", "start", F.round("gq", 6).alias("gq"), "passes")
+    return small_model.gate(inference.predict_features(scaled, _toy_model)).select("contig", "start", "alt_idx", F.round("gq", 6).alias("gq"), "passes")

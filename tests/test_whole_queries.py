@@ -75,3 +75,10 @@ def test_long_windows_are_assembled_in_pieces(spark):
     texts = spark.createDataFrame([("c", lo, ref[lo:hi]) for lo, hi in pieces], "contig string, start long, bases string")
     made = assembly.assemble_windows(windows, reads, texts, bin_width=64)
     assert sorted((r.start, r.ref, tuple(r.alts)) for r in made.collect()) == [(p, ref[p], (alt[p],)) for p in places]
+
+
+def test_every_alternate_is_scored(spark):
+    candidates = pileup.candidates(_sites(spark, DATA)).collect()
+    got = sorted((r.contig, r.start, r.alt_idx[0]) for r in QUERIES["q_small_model_calls"](spark, DATA).collect())
+    assert got == sorted((c.contig, c.start, i) for c in candidates for i in range(len(c.alts)))
+    assert any(len(c.alts) > 1 for c in candidates)
