@@ -1,4 +1,4 @@
-"""Exact top-k search: BM25 over sharded inverted indexes with block-max WAND.
+"""Exact top-k search: BM25 over sharded inverted indexes with block-max pruning.
 
 Every input split is cut into shards of documents; each shard's task builds its
 own inverted index, a term's postings in document order. Only document
@@ -127,7 +127,7 @@ class Postings:
         self.most[filled] = np.maximum.reduceat(self.impacts, self.starts[filled])
 
 
-def block_max_wand(lists: list[tuple[float, Postings]], k: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def block_max_top(lists: list[tuple[float, Postings]], k: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Scores and numbers of a shard's k best documents, best first, equal scores by number; lists are (weight, postings).
 
     A block can hold a result only if the weighted sum of its terms' block maxima
@@ -161,6 +161,10 @@ def block_max_wand(lists: list[tuple[float, Postings]], k: int, step: int = 4) -
     return best, where
 
 
+#: The name that callers know from before blocks were scored whole.
+block_max_wand = block_max_top
+
+
 class Shard:
     """A shard's postings of the terms that are asked for, and what each adds to a score."""
 
@@ -175,7 +179,7 @@ class Shard:
         self.lists: dict[int, Postings] = {}
 
     def best(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and numbers of the k best documents for the term numbers, as block_max_wand gives them.
+        """Scores and numbers of the k best documents for the term numbers, as block_max_top gives them.
 
         Many terms leave hardly a block below the threshold: the shard is then scored at once.
         """
@@ -187,7 +191,7 @@ class Shard:
             for i in at:
                 if i not in self.lists:
                     self.lists[i] = Postings(self.packed[i], self.average, self.blocks)
-            return block_max_wand([(self.weights[i], self.lists[i]) for i in at], k)
+            return block_max_top([(self.weights[i], self.lists[i]) for i in at], k)
         parts = [slice(self.ends[i], self.ends[i + 1]) for i in at]
         scores = np.bincount(np.concatenate([self.docs[p] for p in parts]), np.concatenate([self.adds[p] for p in parts]))
         hit = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if k < len(scores) else np.arange(len(scores))
