@@ -8,16 +8,21 @@ re-read and no lineage has to be replayed.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only by local masters that name no shared folder (tests, bench).
 LOCAL_SHARED = "file:///tmp/checkpoints/locusflow"
 
-_written: list[tuple[SparkSession, str]] = []
+#: Tables that materialise() wrote, by their DataFrame's id (which stays taken while the frame is held here).
+_written: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -35,20 +40,29 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[id(table)] = (table, path)
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing reads any more."""
+    for table in tables:
+        held, path = _written.pop(id(table))
+        _delete(held.sparkSession, path)
 
 
 def release_all() -> None:
-    """Delete every table that materialise() wrote in this session."""
+    """Delete every table that materialise() wrote and that is left."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001 - the session may be gone by now
-            return
+        _, (table, path) = _written.popitem()
+        with contextlib.suppress(Exception):  # the session may be gone by now; the others are still tried
+            _delete(table.sparkSession, path)
 
 
 atexit.register(release_all)
@@ -64,6 +78,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def portions(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of so many rows and of about so many bytes of a text column at most, a longer text by itself."""
+    offsets = np.cumsum([0, *pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)])
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
+        end = max(at + 1, min(end, at + rows, batch.num_rows))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift-multiply), vectorised over uint64."""
     x = x.astype(np.uint64, copy=True)

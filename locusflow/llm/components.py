@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     at = materialise(at, "components")
     state = _state(at)
     while state[0]:
-        at = materialise(_small_star(_large_star(at)), "components")
+        last, at = at, materialise(_small_star(_large_star(at)), "components")
+        release(last)
         before, state = state, _state(at)
         if state == before:
             break

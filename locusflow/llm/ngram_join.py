@@ -14,11 +14,18 @@ differences that a document may leave its empty parts out (a pair then still
 agrees in another one); if it has more of them than that, it keeps them all, so
 no pair is ever lost.
 
-Identical sets are one node. Within the documents that share a part, every node
-is first compared with the least one; what this links is contracted, and only
-then pairs that are still in different components are compared. All candidates
-pass a 1024-bit parity sketch and an exact count on the texts. No bucket is ever
-held in memory and no pair within a component is made twice.
+Parts that many strangers share (a common passage fills some) are left out in
+the same way: a set has spare parts beyond the needed ones, its empty parts and
+then its most frequent ones are the spare ones, and as two sets that are similar
+agree in more parts than are spare, the least frequent part they agree in is left
+out by neither.
+
+Identical sets are one node. Every node is first compared with one node only, the
+one of the least nodes of its parts that it shares most parts with; what this
+links is contracted, and only then pairs that share a part and are still in
+different components are compared. All candidates pass a 1024-bit parity sketch
+and an exact count on the texts. No bucket is ever held in memory and no pair
+within a component is made once it is known to be one.
 
 Defined cases: null or empty texts (and ones without words) are linked with
 nothing; fewer words than a shingle are one shingle; rows are documents, equal
@@ -38,11 +45,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64
+from .bloom import may_hold
+from .common import materialise, mix64, portions, release, spread, text_of
 from .components import components
 
 _GROWTH = 1.5
 _SKETCH = tuple(f"s{k}" for k in range(16))
+#: A key's low bits name its band.
+_BAND_BITS = 7
+#: Parts with more sets than this are left out first, as far as a set has parts to spare.
+_HOT = 64
+#: Pairs of one node that are checked in one group.
+_STAR = 4096
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -73,11 +87,11 @@ class Bands:
         return (self.den - self.num) * total // (self.den + self.num)
 
     def parts(self, band: int) -> tuple[int, int]:
-        """Parts of a band, and how many empty ones a set may leave out."""
+        """Parts of a band, and how many of them a set may leave out."""
         least, most = self.starts[band], self.starts[band + 1] - 1
         needed = self.differences(2 * most) + 1
         mean = least / needed
-        spare = math.ceil(needed * min(0.25, 1.5 * math.exp(-mean))) if needed > 1 else 0
+        spare = math.ceil(needed * max(0.1, min(0.25, 1.5 * math.exp(-mean)))) if needed > 1 else 0
         return needed + spare, spare
 
     def of(self, size: int) -> list[int]:
@@ -86,9 +100,12 @@ class Bands:
         return list(range(own, bisect_right(self.starts, size * self.den // self.num)))
 
 
-def part_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    """A key for each part's parity sketch, in each of the set's bands."""
-    keys = []
+def part_keys(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each part's parity sketch, in each of the set's bands, and how many more of the band's keys may go.
+
+    Of the empty parts so many go that the most are spared.
+    """
+    keys, left = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     dealt = mix64(tokens + np.uint64(0xD1B54A32D192ED03))
     hashed = mix64(tokens ^ np.uint64(0x8EBC6AF09C88C6E3))
     for band in bands.of(len(tokens)):
@@ -97,12 +114,12 @@ def part_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
             continue
         words = np.zeros(parts, np.uint64)
         np.bitwise_xor.at(words, (dealt % np.uint64(parts)).astype(np.int64), hashed)
-        empty = words == 0
-        at = np.arange(parts, dtype=np.uint64)
-        if empty.sum() <= spare:
-            at, words = at[~empty], words[~empty]
-        keys.append(mix64(mix64(at + np.uint64(band << 40)) + words))
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        gone = np.flatnonzero(words == 0)[:spare]
+        at = np.delete(np.arange(parts, dtype=np.uint64), gone)
+        own = mix64(mix64(at + np.uint64(band << 40)) + words[at])
+        keys.append(own >> np.uint64(_BAND_BITS) << np.uint64(_BAND_BITS) | np.uint64(band))
+        left.append(np.full(len(own), spare - len(gone)))
+    return np.concatenate(keys), np.concatenate(left)
 
 
 def small_sketch(tokens: np.ndarray) -> np.ndarray:
@@ -113,27 +130,76 @@ def small_sketch(tokens: np.ndarray) -> np.ndarray:
     return words
 
 
-def _prints(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
+def _digest(tokens: np.ndarray) -> tuple[int, int]:
+    hi, lo = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64).tolist()
+    return hi, lo
+
+
+def _keyed_texts(docs: DataFrame) -> DataFrame:
+    """The texts, and two hashes that tell them apart."""
+    text = text_of()
+    return docs.select(F.col("doc_id").cast("long"), text.cast("binary").alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+
+
+def _prints(docs: DataFrame, width: int) -> DataFrame:
+    """One row a document: what identifies its text and its set, the set's size and sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sizes, digests, sketches, keys, ends = [], [], [], [], [0]
+            for part in portions(batch, 1):
+                sizes, digests, sketches = [], [], []
                 for text in part.column(1).to_pylist():
                     tokens = shingle_set(text, width)
                     sizes.append(len(tokens))
-                    digests.append(xxhash.xxh3_128_digest(tokens.tobytes()))
+                    digests.append(_digest(tokens))
                     sketches.append(small_sketch(tokens))
-                    keys.append(part_keys(tokens, bands))
-                    ends.append(ends[-1] + len(keys[-1]))
-                words = np.stack(sketches).view(np.int64)
-                arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(words[:, k]) for k in range(len(_SKETCH)))]
-                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64))))
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "digest", *_SKETCH, "keys"])
+                words, both = np.stack(sketches).view(np.int64), np.array(digests, np.int64)
+                arrays = [part.column(0), part.column(2), part.column(3), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])]
+                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(words[:, k]) for k in range(len(_SKETCH)))], names=["doc_id", "t1", "t2", "n", "hi", "lo", *_SKETCH])
 
     words = ", ".join(f"{s} long" for s in _SKETCH)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return texts.mapInArrow(run, f"doc_id long, n long, digest binary, {words}, keys array<long>")
+    return _keyed_texts(docs).mapInArrow(run, f"doc_id long, t1 long, t2 long, n long, hi long, lo long, {words}")
+
+
+def _keys(docs: DataFrame, width: int, bands: Bands, known: int = 1 << 18) -> DataFrame:
+    """(key, spare, lo) of the parts of each set; a task gives a set once, as far as it remembers (known sets)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            for part in portions(batch, 0, size=1 << 20):
+                keys, left, names = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for text in part.column(0).to_pylist():
+                    tokens = shingle_set(text, width)
+                    digest = _digest(tokens)
+                    if digest in seen or not len(tokens):
+                        continue
+                    if len(seen) >= known:
+                        seen.clear()
+                    seen.add(digest)
+                    own, spare = part_keys(tokens, bands)
+                    keys.append(own)
+                    left.append(spare)
+                    names.append(np.full(len(own), digest[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(left).astype(np.int32)), pa.array(np.concatenate(names))], names=["key", "spare", "lo"])
+
+    return docs.select(text_of().cast("binary")).mapInArrow(run, "key long, spare int, lo long")
+
+
+def _members(docs: DataFrame, nodes: DataFrame, width: int, bands: Bands) -> DataFrame:
+    """(key, node) of parts that several sets share, without frequent ones that their sets can spare."""
+    by_key = Window.partitionBy("key").orderBy("lo")
+    dealt = _keys(docs, width, bands).select("key", "spare", "lo", F.first("lo").over(by_key).alias("least"), F.lead("lo").over(by_key).alias("after"))
+    # the last row of each set, if there is another set
+    shared = dealt.where("(after IS NULL OR after <> lo) AND (lo <> least OR after IS NOT NULL)")
+    every = materialise(shared.select("key", "spare", "lo").join(nodes.select("lo", "node"), "lo").select("key", "spare", "node"), "ngram-parts")
+    hot = materialise(every.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > _HOT), "ngram-hot")
+    band = F.col("key").bitwiseAND(F.lit((1 << _BAND_BITS) - 1))
+    nth = F.row_number().over(Window.partitionBy("node", band).orderBy(F.desc("sets"), "key"))
+    gone = every.join(hot, "key").withColumn("nth", nth).where("nth <= spare").select("key", "node")
+    kept = materialise(every.join(gone, ["key", "node"], "left_anti").select("key", "node"), "ngram-members")
+    release(every, hot)
+    return kept
 
 
 def _may_link(a: str, b: str, bands: Bands) -> Column:
@@ -145,35 +211,40 @@ def _may_link(a: str, b: str, bands: Bands) -> Column:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """Those of the pairs (a, b) whose texts' sets are similar enough."""
-    num, den = bands.num, bands.den
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = wanted.join(nodes.select("node", "digest", "named"), "node").select("node", "digest", F.col("named").alias("__id"))
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [xxhash.xxh3_128_digest(shingle_set(t, width).tobytes()) == d for t, d in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["node", "text"]).filter(pa.array(same, pa.bool_()))
+    """Those of the pairs (a, b) whose texts' sets are similar enough.
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found = own.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "digest", "text")
-    texts = materialise(found.mapInArrow(match, "node long, text binary"), "ngram-texts")
+    Each text goes to the groups of its pairs' first nodes, whose own text comes
+    first; large groups are dealt into several, each with that text.
+    """
+    num, den = bands.num, bands.den
+    stars = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / _STAR).cast("int").alias("salts"))
+    others = pairs.join(stars, "a").select("a", F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("nth"))
+    centres = stars.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("nth"))
+    wanted = materialise(others.unionByName(centres).join(nodes.select("node", "t1", "t2", "hi", "lo"), "node"), "ngram-wanted")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tokens = None, None
         for batch in batches:
-            keep = []
-            for a, one, other in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if a != held:
-                    held, tokens = a, shingle_set(one, width)
-                against = shingle_set(other, width)
-                common = len(np.intersect1d(tokens, against, assume_unique=True))
-                keep.append(den * common >= num * (len(tokens) + len(against) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
-    both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a")
-    return both.select("a", "b", "one", "other").mapInArrow(check, "a long, b long").distinct()
+            found: list[tuple[int, int]] = []
+            for part in portions(batch, 4):
+                for a, node, salt, nth, text, hi, lo in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    own = shingle_set(text, width)
+                    if _digest(own) != (hi, lo):  # another text with both hashes
+                        continue
+                    if nth == 0:
+                        held, tokens = (a, salt), own
+                    elif held == (a, salt):
+                        common = len(np.intersect1d(tokens, own, assume_unique=True))
+                        if den * common >= num * (len(tokens) + len(own) - common):
+                            found.append((a, node))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    name = F.col("t1").cast("string").alias("name")
+    texts = _keyed_texts(docs).select("text", "t1", "t2", name).where(may_hold(wanted.select(name), "name")).select("text", "t1", "t2").dropDuplicates(["t1", "t2"])
+    grouped = spread(wanted.join(texts, ["t1", "t2"]).select("a", "node", "salt", "nth", "text", "hi", "lo"), "a", "salt")
+    done = materialise(grouped.sortWithinPartitions("a", "salt", "nth").mapInArrow(check, "a long, b long"), "ngram-links")
+    release(wanted)
+    return done
 
 
 def jaccard_links(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -183,54 +254,69 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     links: pairs (a, b) of nodes that are similar; any two similar nodes are joined by a path of links.
     """
     bands = Bands(num, den)
-    prints = materialise(_prints(docs, width, bands).withColumn("row", F.monotonically_increasing_id()), "ngram-prints")
-    filled = prints.where("n > 0").groupBy("digest")
+    prints = materialise(_prints(docs, width), "ngram-prints")
     same = [F.first(c).alias(c) for c in ("n", *_SKETCH)]
-    nodes = materialise(filled.agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by("doc_id", "row").alias("named"), *same), "ngram-nodes")
-
-    keys = filled.agg(F.min("row").alias("node"), F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key").orderBy("node")
-    shared = keys.select("key", "node", F.first("node").over(by_key).alias("least_node"), F.lead("node").over(by_key).alias("after"))
-    shared = shared.where("after IS NOT NULL OR least_node <> node").select("key", "node", "least_node")
-    buckets = materialise(shared, "ngram-buckets")
-
+    sets = prints.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.min(F.struct("t1", "t2")).alias("t"), *same)
+    nodes = materialise(sets.select("hi", "lo", "least", "t.t1", "t.t2", "n", *_SKETCH, F.monotonically_increasing_id().alias("node")), "ngram-nodes")
+    members = _members(docs, nodes, width, bands)
     facts = nodes.select("node", "n", *_SKETCH)
-    stars = buckets.where("least_node <> node").select(F.col("least_node").alias("a"), F.col("node").alias("b")).distinct()
+
+    least = F.first("node").over(Window.partitionBy("key").orderBy("node"))
+    met = members.select(least.alias("a"), F.col("node").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("parts"))
+    stars = met.groupBy("b").agg(F.max_by("a", F.struct("parts", -F.col("a"))).alias("a"))
     stars = stars.alias("p").join(facts.alias("x"), F.col("p.a") == F.col("x.node")).join(facts.alias("y"), F.col("p.b") == F.col("y.node"))
     stars = materialise(stars.where(_may_link("x", "y", bands)).select("p.a", "p.b"), "ngram-pairs")
-    links = materialise(_verified(stars, nodes, docs, width, bands), "ngram-links")
-
-    roots = components(links)
-    rooted = buckets.join(roots, "node", "left").select("key", "node", "least_node", F.coalesce("root", "node").alias("root"))
-    rooted = materialise(rooted, "ngram-rooted")
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi AND c > 2").select("key")
-    rest = materialise(rooted.where("node <> least_node").join(open_keys, "key", "left_semi").join(facts, "node"), "ngram-rest")
+    near = _verified(stars, nodes, docs, width, bands)
+
+    roots = components(near)
+    rooted = materialise(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "ngram-rooted")
+    release(members)
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    rest = materialise(rooted.join(open_keys, "key", "left_semi").join(facts, "node"), "ngram-rest")
+    release(rooted)
     x, y = rest.alias("x"), rest.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
     more = x.join(y, apart & _may_link("x", "y", bands)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = materialise(more, "ngram-pairs")
-    links = links.unionByName(_verified(more, nodes, docs, width, bands))
-    rows = prints.select("doc_id", "n", "digest").join(nodes.select("digest", "node"), "digest", "left").select("doc_id", "n", "node")
-    return rows, nodes.select("node", "n", "least"), materialise(links, "ngram-links")
+    more = materialise(more.join(stars, ["a", "b"], "left_anti"), "ngram-pairs")
+    release(rest, stars)
+    links = near.unionByName(_verified(more, nodes, docs, width, bands))
+    release(more)
+    rows = prints.select("doc_id", "t1", "t2", "n", "hi", "lo").join(nodes.select("hi", "lo", "node"), ["hi", "lo"], "left").select("doc_id", "t1", "t2", "n", "node")
+    return rows, nodes.select("node", "n", "least"), links
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id that links lead to, of every row."""
+def _named(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Rows of documents with their node and component_id."""
     rows, nodes, links = jaccard_links(docs, width, num, den)
     roots = components(links)
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(rooted.join(names, "root").select("node", "component_id"), "ngram-named")
-    out = rows.join(named, "node", "left")
+    named = materialise(rooted.join(names, "root").select("node", "root", "component_id"), "ngram-named")
+    return rows.join(named, "node", "left")
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest doc_id that links lead to, of every row."""
+    out = _named(docs, width, num, den)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def first_of_component(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without all but one document of each component of similar documents: its smallest doc_id stays.
+    """docs with one row of each component of similar documents, and all rows that are linked with nothing.
 
-    Of rows that repeat that doc_id, one stays. Rows with a null doc_id stay.
+    The row of the smallest doc_id stays, null being the greatest; of equal
+    doc_ids the least hash of the text decides, and of equal rows one stays.
     """
-    ids = jaccard_components(docs, width, num, den)
-    lost = ids.where("doc_id <> component_id").select(F.col("doc_id").alias("__lf_id")).distinct()
-    kept = docs.join(lost.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__lf_id"), "left_anti")
-    return kept
+    rows = _named(docs, width, num, den)
+    none, own = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    order = F.struct(none.alias("none"), own.alias("own"), "t1", "t2")
+    first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("o"))
+    names = {"none": "__lf_none", "own": "__lf_own", "t1": "__lf_t1", "t2": "__lf_t2"}
+    firsts = materialise(first.select(*(F.col(f"o.{c}").alias(a) for c, a in names.items())), "ngram-firsts")
+    text = text_of()
+    keyed = docs.withColumns(dict(zip(names.values(), (none, own, F.xxhash64(text), F.xxhash64(F.lit(1), text)), strict=True)))
+    # rows without words are in no component: they stay whatever repeats them
+    bare = ~text.rlike(r"[^ \t\n\x0B\f\r]")
+    nth = F.row_number().over(Window.partitionBy(*names.values()).orderBy("__lf_own"))
+    kept = keyed.where(~bare).join(firsts, list(names.values()), "left_semi").withColumn("__lf_nth", nth).where("__lf_nth = 1")
+    return kept.select(*docs.columns).unionByName(docs.where(bare))

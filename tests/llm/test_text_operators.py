@@ -138,7 +138,7 @@ def brute_components(docs, width, num):
 
 
 @pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80)])
-def test_jaccard_join_against_brute_force(spark, width, num):
+def test_jaccard_join_against_brute_force(spark, monkeypatch, width, num):
     rng = random.Random(width)
     docs, texts = [], []
     for _ in range(12):
@@ -148,8 +148,14 @@ def test_jaccard_join_against_brute_force(spark, width, num):
         for _ in range(rng.choice((0, 0, 1, 1, 2, 4))):
             words[rng.randrange(len(words))] = rng.choice(WORDS)
         docs.append((i, " ".join(words[: len(words) - rng.choice((0, 0, 1))])))
-    got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), width, num, 100).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs, width, num)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_components(docs, width, num)
+    for hot in (64, 1):  # with 1, every shared part is left out that can be spared
+        monkeypatch.setattr(ngram_join, "_HOT", hot)
+        got = ngram_join.jaccard_components(df, width, num, 100).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    kept = ngram_join.first_of_component(df, width, num, 100).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
 @settings(max_examples=30, deadline=None)
@@ -163,11 +169,35 @@ def test_similar_sets_share_a_part(seed, size, threshold):
     b = np.union1d(a[drop:], rng.integers(0, 1 << 62, most - drop).astype(np.uint64))
     common = len(np.intersect1d(a, b))
     if common * threshold[1] >= threshold[0] * (len(a) + len(b) - common):
-        assert np.array_equal(a, b) or len(np.intersect1d(ngram_join.part_keys(a, bands), ngram_join.part_keys(b, bands)))
+        assert np.array_equal(a, b) or len(np.intersect1d(ngram_join.part_keys(a, bands)[0], ngram_join.part_keys(b, bands)[0]))
         apart = np.bitwise_count(ngram_join.small_sketch(a) ^ ngram_join.small_sketch(b)).sum()
         assert apart <= len(a) + len(b) - 2 * common
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.integers(30, 300), st.sampled_from([(80, 100), (90, 100)]))
+def test_spared_parts_lose_no_pair(seed, size, threshold):
+    """Similar sets still share a part when each leaves out its most frequent ones, as far as it has any to spare."""
+    rng = np.random.default_rng(seed)
+    bands = ngram_join.Bands(*threshold)
+    a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+    half = bands.differences(2 * len(a)) // 2
+    b = np.union1d(a[half:], rng.integers(0, 1 << 62, half).astype(np.uint64))
+    heat = {}
+    kept = []
+    for tokens in (a, b):
+        own, spare = ngram_join.part_keys(tokens, bands)
+        left, best = set(own.tolist()), {}
+        for key, most in zip(own.tolist(), spare.tolist(), strict=True):
+            best.setdefault(key & 127, (most, []))[1].append((-heat.setdefault(key, int(rng.integers(0, 9))), key))
+        for most, keys in best.values():
+            left -= {key for _, key in sorted(keys)[:most]}
+        kept.append(left)
+    common = len(np.intersect1d(a, b))
+    if common * threshold[1] >= threshold[0] * (len(a) + len(b) - common):
+        assert np.array_equal(a, b) or kept[0] & kept[1]
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(200 + i, 201 + i) for i in range(40)]
