@@ -1,6 +1,8 @@
 """DuckDB SQL with the rows of those queries that SQL can express."""
 
 from .licenses import ANCHORS, BREAK, RULES, SENTENCES
+from .substring_dedup import BREAK as SENTENCE_END
+from .substring_dedup import RUNS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -24,6 +26,31 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+_RUN_SQL = " UNION ALL ".join(
+    f"""SELECT doc_id, place, place + {k - 1} AS last, list(s) OVER w AS run FROM kept
+  WINDOW w AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) QUALIFY count(*) OVER w = {k} AND sum(words) OVER w >= {least}"""
+    for k, least in RUNS
+)
+SUBSTRING_DEDUP = f"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, string_split(regexp_replace(coalesce(text, ''), '({SENTENCE_END})', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents
+), units AS (
+  SELECT doc_id, unnest(parts) AS unit, generate_subscripts(parts, 1) AS pos FROM cut
+), stripped AS (SELECT *, trim(unit, {_STRIP}) AS s FROM units
+), kept AS (
+  SELECT doc_id, pos, s, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS place, len(regexp_extract_all(s, '[^ \\t\\n\\r\\f\\v]+')) AS words FROM stripped WHERE s <> ''
+), runs AS ({_RUN_SQL}
+), origins AS (SELECT run, min((doc_id, place)) AS origin FROM runs GROUP BY run HAVING count(*) > 1
+), again AS (SELECT r.doc_id, place, last, origin[1] AS first_doc_id FROM runs r JOIN origins o USING (run) WHERE (r.doc_id, place) > origin
+), gone AS (SELECT DISTINCT k.doc_id, k.pos FROM kept k JOIN again a ON a.doc_id = k.doc_id AND k.place BETWEEN a.place AND a.last
+), origin_ids AS (SELECT doc_id, list_sort(list(DISTINCT first_doc_id)) AS ids FROM again GROUP BY doc_id
+), left_over AS (
+  SELECT u.doc_id, string_agg(unit, '' ORDER BY pos) FILTER (WHERE g.pos IS NULL) AS rest, count(g.pos) AS n FROM units u LEFT JOIN gone g USING (doc_id, pos) GROUP BY u.doc_id
+)
+SELECT c.doc_id, CASE WHEN l.n > 0 THEN trim(coalesce(l.rest, ''), {_STRIP}) ELSE c.text END AS text,
+       (SELECT count(*) FROM kept k WHERE k.doc_id = c.doc_id) AS n_sentences, l.n AS n_removed, coalesce(o.ids, []::BIGINT[]) AS first_doc_ids
+FROM cut c JOIN left_over l USING (doc_id) LEFT JOIN origin_ids o USING (doc_id)
+"""
 
 
 def _license_sql() -> str:
@@ -47,6 +74,7 @@ FROM (SELECT doc_id, r0, CAST({" + ".join(times)} AS BIGINT) AS n_matches,
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": SUBSTRING_DEDUP,
     "op4_license_scan": _license_sql(),
     "op8_line_dedup": LINE_DEDUP,
 }

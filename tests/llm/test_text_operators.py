@@ -227,20 +227,17 @@ def test_substrings_against_brute_force(spark):
         if i % 3 == 0:
             own.insert(rng.randint(0, len(own)), passage)
         docs.append((i, rng.choice((" ", "\n")).join(own)))
-    occurrences, spans = {}, {}
+    every, spans, first = {}, {}, {}
     for i, text in docs:
-        parts, places = substring_dedup.sentences(text)
-        kept = [parts[p].strip() for p in places]
-        spans[i] = substring_dedup.runs([len(s.split()) for s in kept], 16, 40)
+        every[i] = [x.strip() for x in re.sub(r"(?<=[.!?]) +|\n", "\0", text).split("\0") if x.strip()]
+        spans[i] = [(a, a + k) for k, least in ((3, 12), (2, 16)) for a in range(len(every[i]) - k + 1) if sum(len(x.split(" ")) for x in every[i][a : a + k]) >= least]
         for a, b in spans[i]:
-            occurrences.setdefault(tuple(kept[a : b + 1]), []).append((i, a, b))
-    gone = {i: set() for i, _ in docs}
-    for places in occurrences.values():
-        for i, a, b in sorted(places)[1:]:
-            gone[i].update(range(a, b + 1))
+            first[tuple(every[i][a:b])] = min(first.get(tuple(every[i][a:b]), (i, a)), (i, a))
+    gone = {i: {x for a, b in spans[i] if first[tuple(own[a:b])] != (i, a) for x in range(a, b)} for i, own in every.items()}
     got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     for i, text in docs:
-        assert got[i].n_removed == len(gone[i])
+        assert (got[i].n_sentences, got[i].n_removed) == (len(every[i]), len(gone[i]))
+        assert re.split(r"[ \n]+", got[i].text) == (" ".join(x for n, x in enumerate(every[i]) if n not in gone[i])).split(" ")
         if not gone[i]:
             assert got[i].text == text and got[i].first_doc_ids == []
         if i and i % 3 == 0:
@@ -248,6 +245,14 @@ def test_substrings_against_brute_force(spark):
     assert passage in got[0].text.replace("\n", " ")
 
 
+def test_short_sentences_make_a_run(spark):
+    passage = "One two three four. Five six seven eight. Nine ten eleven twelve thirteen."
+    docs = [(1, f"Own words here. {passage} More of them."), (2, f"Other ones. {passage} Again others."), (3, "Alone. Yes. No. Own."), (4, "Yes. No. Alone.")]
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i].n_removed for i in range(1, 5)] == [0, 3, 0, 0]
+    assert got[2].text == "Other ones. Again others." and got[2].first_doc_ids == [1]
+
+
 def test_rows_without_an_id_are_documents_of_their_own(spark):
     rng = random.Random(7)
     made = lambda n: " ".join(" ".join(rng.choices(WORDS, k=9)) + "." for _ in range(n))
