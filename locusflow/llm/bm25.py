@@ -1,283 +1,310 @@
-"""Exact top-k search: BM25 over sharded inverted indexes with block-max pruning.
-
-Every input split is cut into shards of documents; each shard's task builds its
-own inverted index, a term's postings in document order. Only document
-frequencies, counts and total length are gathered globally, so shards score with
-global statistics. Every query goes to every shard, as one row of term numbers.
-Postings fall into blocks of document numbers, and a term's greatest addition in
-a block bounds what the block's documents can score. A query with few terms is
-evaluated with dynamic pruning: only blocks whose bounds add up to the k-th best
-score so far are scored. One with many terms scores the whole shard. Shards' top
-k are merged exactly.
+"""Exact top-k search: BM25 over sharded inverted indexes with block-max WAND pruning.
+
+Texts are read once into an index of documents (numbers of their terms, a 64-bit
+hash each, and how often each occurs), which also gives the document frequencies
+and the average length; so every shard scores with global statistics. A task
+turns the documents it reads into shards: inverted indexes of a bounded number
+of postings, a term's postings in document order, with the greatest addition in
+each block of document numbers.
+
+Queries don't move: they are cut into blocks of a bounded number of bytes, and
+each block is broadcast to the tasks that read the index. A task keeps the k best
+documents of each query over all its shards, and what it gives is merged exactly.
+
+Blocks are the same for all terms, so the cursors of a query's lists move from
+border to border together, and the pivot is a block: the next one in which the
+block maxima of the lists that have postings there add up to the threshold, the
+k-th best score so far. Blocks before the pivot are skipped in all lists;
+neighbouring pivots are scored at once. A query's first threshold is its k-th
+best score in a fixed share of the documents, searched before the others: a
+bound, so that tasks don't give k documents each; no document is left out of the
+search by it.
 
 Queries are documents ("more like this"): a query's terms are all distinct terms
 of its whole text, each once. A caller may ask for the query_terms terms of
-greatest tf * idf only.
+greatest tf * idf only (of equal ones those of the least hash).
 
 Scores: sum over the query's terms of idf * tf * (k1 + 1) / (tf + k1 * (1 - b +
-b * length / average length)), idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
+b * length / average length)), idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Terms
+are added in the order of their hashes, so a score doesn't depend on the shard.
 
 Defined cases: words are runs of letters and digits, lower-cased; a text without
 words is found by no query and finds nothing; ties of score go to the least
-doc_id, null last; repeated rows are documents of their own.
+doc_id, null last; repeated rows are documents of their own; queries that share
+a doc_id (or have none) are one query with the terms of all.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bloom import may_hold
-from .common import materialise, spread
+from .common import materialise, portions, release
 
 K1, B = 1.2, 0.75
 BLOCK = 256
-FEW_TERMS = 32
+#: The share of documents that gives the first thresholds.
+SAMPLE = 64
 _WORD = re.compile(r"[^\W_]+").findall
-INDEX = "shard long, term string, df int, doc_id long, length long, postings binary"
-_POSTING = np.dtype([("doc", "<u4"), ("tf", "<u4"), ("length", "<u4")])
 _NO_ID = (1 << 63) - 1
+INDEX = "doc_id long, length long, terms binary, tfs binary"
+FOUND = "query_id long, doc_id long, score double"
 
 
 def terms_of(text: str | None) -> Counter:
     return Counter(_WORD((text or "").lower()))
 
 
-def _shard(shard: int, vocabulary: dict[str, int], columns: tuple[array, array, array], lengths: list[int], ids: list[int]) -> Iterator[pa.RecordBatch]:
-    """The index rows of a shard; its documents are numbered by doc_id."""
-    order = np.argsort(np.array(ids, np.int64), kind="stable")
-    number = np.empty(len(ids), np.uint32)
-    number[order] = np.arange(len(ids), dtype=np.uint32)
-    length = np.array(lengths, np.int64)
-    term, doc, tf = (np.frombuffer(c, np.uint32) for c in columns)
-    sort = np.lexsort((number[doc], term))
-    packed = np.empty(len(sort), _POSTING)
-    packed["doc"], packed["tf"], packed["length"] = number[doc][sort], tf[sort], length[doc][sort]
-    ends = np.cumsum(np.bincount(term, minlength=len(vocabulary)))
-    data, names, starts = packed.tobytes(), list(vocabulary), np.concatenate([[0], ends])
-    fields = ["shard", "term", "df", "doc_id", "length", "postings"]
-    for at in range(0, len(names), 8192):
-        edge = starts[at : at + 8193]
-        n = len(edge) - 1
-        offsets = pa.array((edge - edge[0]) * _POSTING.itemsize, pa.int32())
-        blob = data[edge[0] * _POSTING.itemsize : edge[-1] * _POSTING.itemsize]
-        postings = pa.Array.from_buffers(pa.binary(), n, [None, offsets.buffers()[1], pa.py_buffer(blob)])
-        none = pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.array(names[at : at + 8192]), pa.array(np.diff(edge).astype(np.int32)), none, none, postings], names=fields)
-    n = len(ids)
-    own = [pa.array([shard] * n, pa.int64()), pa.array([""] * n), pa.array(number.astype(np.int32)), pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.nulls(n, pa.binary())]
-    yield pa.RecordBatch.from_arrays(own, names=fields)
-
-
-def build_index(docs: DataFrame, shard_docs: int = 16384, shard_postings: int = 4_000_000) -> DataFrame:
-    """One row per shard and term, with df packed postings; one per shard and document, term '' and df its number there."""
+def _hashed(terms: Counter) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, len(terms))
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """One row per document with words: doc_id (the greatest long if null), length, and its terms' hashes in order with their counts."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() << 32
-        vocabulary: dict[str, int] = {}
-        columns = (array("I"), array("I"), array("I"))
-        lengths: list[int] = []
-        ids: list[int] = []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = terms_of(text)
-                columns[0].extend([vocabulary.setdefault(t, len(vocabulary)) for t in counts])
-                columns[1].extend([len(ids)] * len(counts))
-                columns[2].extend(counts.values())
-                lengths.append(sum(counts.values()))
-                ids.append(_NO_ID if doc_id is None else doc_id)
-                if len(ids) >= shard_docs or len(columns[0]) >= shard_postings:
-                    yield from _shard(shard, vocabulary, columns, lengths, ids)
-                    shard, vocabulary, columns, lengths, ids = shard + 1, {}, (array("I"), array("I"), array("I")), [], []
-        if ids:
-            yield from _shard(shard, vocabulary, columns, lengths, ids)
+            for part in portions(batch, 1):
+                rows: list[tuple[int, int, bytes, bytes]] = []
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    counts = terms_of(text)
+                    if not counts:
+                        continue
+                    hashes, tfs = _hashed(counts), np.fromiter(counts.values(), np.uint32, len(counts))
+                    order = np.argsort(hashes)
+                    rows.append((_NO_ID if doc_id is None else doc_id, int(tfs.sum()), hashes[order].tobytes(), tfs[order].tobytes()))
+                ids, lengths, terms, tfs = zip(*rows, strict=True) if rows else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(terms, pa.binary()), pa.array(tfs, pa.binary())], names=["doc_id", "length", "terms", "tfs"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, INDEX)
 
 
-def _impacts(own: np.ndarray, average: float) -> np.ndarray:
-    """What each posting adds to a score at weight 1."""
-    tf = own["tf"].astype(float)
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * own["length"] / average))
+def document_frequencies(index: DataFrame, held: int = 1_000_000) -> DataFrame:
+    """(term, df); a task adds up terms as long as it holds no more than so many."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, dfs = np.empty(0, np.uint64), np.empty(0, np.int64)
 
-class Postings:
-    """One term's postings in a shard: what each adds to a score at weight 1, and the most that any adds in each block.
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(dfs)], names=["term", "df"])
 
-    Blocks are ranges of BLOCK document numbers, the same for all terms.
-    """
+        for batch in batches:
+            for part in portions(batch, 0, rows=4096, size=16 << 20):
+                more = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint64)
+                both, where = np.unique(np.concatenate([terms, more]), return_inverse=True)
+                dfs = np.bincount(where, np.concatenate([dfs, np.ones(len(more), np.int64)]), len(both)).astype(np.int64)
+                terms = both
+                if len(terms) > held:
+                    yield given()
+                    terms, dfs = np.empty(0, np.uint64), np.empty(0, np.int64)
+        yield given()
 
-    __slots__ = ("docs", "impacts", "most", "starts")
+    return index.select("terms").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
-    def __init__(self, packed: bytes, average: float, blocks: int):
-        own = np.frombuffer(packed, _POSTING)
-        self.docs = own["doc"].astype(np.int64)
-        self.impacts = _impacts(own, average)
-        self.starts = np.searchsorted(self.docs, np.arange(blocks + 1) * BLOCK)
-        self.most = np.zeros(blocks)
-        filled = np.flatnonzero(np.diff(self.starts))
-        self.most[filled] = np.maximum.reduceat(self.impacts, self.starts[filled])
 
+def _unpacked(queries: DataFrame) -> DataFrame:
+    """(query_id, term, tf) of index rows."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, 1, size=1 << 20):
+                terms = [np.frombuffer(t, np.int64) for t in part.column(1).to_pylist()]
+                tfs = [np.frombuffer(t, np.uint32) for t in part.column(2).to_pylist()]
+                ids = np.repeat(np.array(part.column(0).to_pylist(), np.int64), [len(t) for t in terms])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(terms)), pa.array(np.concatenate(tfs).astype(np.int64))], names=["query_id", "term", "tf"])
 
-def block_max_top(lists: list[tuple[float, Postings]], k: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and numbers of a shard's k best documents, best first, equal scores by number; lists are (weight, postings).
+    return queries.select("doc_id", "terms", "tfs").mapInArrow(split, "query_id long, term long, tf long").groupBy("query_id", "term").agg(F.sum("tf").alias("tf"))
 
-    A block can hold a result only if the weighted sum of its terms' block maxima
-    reaches the k-th best score so far. Blocks go by descending sum, step at a
-    time, all their documents being scored at once; the first sum below the
-    threshold ends the search.
+
+class Shard:
+    """An inverted index of documents: terms, their postings in document order, and block maxima."""
+
+    def __init__(self, terms: np.ndarray, docs: np.ndarray, impacts: np.ndarray, n_docs: int, vocabulary: np.ndarray, idf: np.ndarray):
+        """Postings in document order; terms that aren't in the vocabulary (sorted) are left out, the others are weighted by its idf."""
+        at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+        asked = vocabulary[at] == terms
+        number, docs, impacts = at[asked], docs[asked], impacts[asked]
+        order = np.argsort(number, kind="stable")
+        self.blocks = -(-n_docs // BLOCK)
+        self.docs, self.adds = docs[order], (impacts * idf[number])[order]
+        self.numbers, first = np.unique(number[order], return_index=True)
+        self.ends = np.append(first, len(order))
+        # the most that a term adds in each block, by term and block
+        cell = np.repeat(np.arange(len(self.numbers)), np.diff(self.ends)) * self.blocks + self.docs // BLOCK
+        cells, begin = np.unique(cell, return_index=True)
+        self.most = np.zeros((len(self.numbers), self.blocks), np.float32)
+        if len(cells):
+            self.most.ravel()[cells] = np.nextafter(np.maximum.reduceat(self.adds, begin).astype(np.float32), np.float32(np.inf))
+        sizes = np.bincount(cell, minlength=len(self.numbers) * self.blocks).reshape(-1, self.blocks)
+        self.starts = np.concatenate([np.zeros((len(self.numbers), 1), np.int64), np.cumsum(sizes, axis=1)], axis=1) + self.ends[:-1, None]
+
+    def lists(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What block_max_wand takes, for term numbers of the vocabulary in order."""
+        at = np.searchsorted(self.numbers, numbers)
+        at = at[(at < len(self.numbers)) & (self.numbers[np.minimum(at, len(self.numbers) - 1)] == numbers)] if len(self.numbers) else at[:0]
+        return self.docs, self.adds, self.starts[at], self.most[at]
+
+
+def block_max_wand(docs: np.ndarray, adds: np.ndarray, starts: np.ndarray, most: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and numbers of a shard's k best documents of a score of floor at least, best first, equal scores by number.
+
+    starts and most have a row for each list: where its blocks begin in docs and
+    adds, and what is the most that a document of the block gets from it.
     """
-    weights = np.array([w for w, _ in lists])
-    bounds = weights @ np.stack([p.most for _, p in lists]) * (1 + 1e-12)
-    order = np.argsort(-bounds, kind="stable")
     best, where = np.empty(0), np.empty(0, np.int64)
-    for at in range(0, len(order), step):
-        blocks = order[at : at + step]
-        floor = best[-1] if len(best) == k else 0.0
-        blocks = blocks[(bounds[blocks] >= floor) & (bounds[blocks] > 0)]
-        if not len(blocks):
-            break
-        for block in blocks:
-            docs, adds = [], []
-            for w, p in lists:
-                lo, hi = p.starts[block], p.starts[block + 1]
-                if lo < hi:
-                    docs.append(p.docs[lo:hi])
-                    adds.append(w * p.impacts[lo:hi])
-            # terms are added in the query's own order, so that a score doesn't depend on the shard
-            scores = np.bincount(np.concatenate(docs) - block * BLOCK, np.concatenate(adds), BLOCK)
-            hit = np.flatnonzero(scores)
-            best, where = np.concatenate([best, scores[hit]]), np.concatenate([where, hit + block * BLOCK])
-        top = np.lexsort((where, -best))[:k]
-        best, where = best[top], where[top]
+    if not len(starts):
+        return best, where
+    # sums of single-precision maxima, a little above what they round
+    bounds = most.sum(axis=0, dtype=np.float64) * (1 + 1e-9)
+    at, reach, blocks = 0, 1, len(bounds)
+    while at < blocks:
+        # the pivot: the first block from the cursors on whose bound reaches the threshold
+        live = bounds[at : at + reach] >= floor
+        live &= bounds[at : at + reach] > 0
+        pivots = np.flatnonzero(live)
+        if len(pivots):
+            first = at + int(pivots[0])
+            stop = np.flatnonzero(~live[pivots[0] :])
+            last = first + int(stop[0]) if len(stop) else at + len(live)
+            spans = list(zip(starts[:, first].tolist(), starts[:, last].tolist(), strict=True))
+            scores = np.bincount(np.concatenate([docs[i:j] for i, j in spans]) - first * BLOCK, np.concatenate([adds[i:j] for i, j in spans]))
+            hit = np.flatnonzero((scores >= floor) & (scores > 0))
+            if len(hit) > k:
+                least = np.partition(scores[hit], -k)[-k]
+                hit = hit[scores[hit] >= least]
+            best, where = np.concatenate([best, scores[hit]]), np.concatenate([where, hit + first * BLOCK])
+            top = np.lexsort((where, -best))[:k]
+            best, where = best[top], where[top]
+            if len(best) == k:
+                floor = max(floor, float(best[-1]))
+            at = last
+        else:
+            at += len(live)
+        reach = min(reach * 4, blocks)
     return best, where
 
 
-#: The name that callers know from before blocks were scored whole.
-block_max_wand = block_max_top
+class Asked:
+    """A block of queries: their ids, thresholds, and terms as numbers of one vocabulary."""
 
+    def __init__(self, ids: list[int], floors: list[float], terms: list[bytes], idfs: list[bytes]):
+        hashes, weights = (np.frombuffer(b"".join(x), t) for x, t in ((terms, np.uint64), (idfs, np.float64)))
+        self.ids, self.floors = np.array(ids, np.int64), np.array(floors, float)
+        self.vocabulary, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        self.idf = weights[first]
+        ends = np.cumsum([0, *(len(t) // 8 for t in terms)])
+        where = where.astype(np.uint32)
+        self.terms = [np.sort(where[i:j]) for i, j in zip(ends, ends[1:])]
 
-class Shard:
-    """A shard's postings of the terms that are asked for, and what each adds to a score."""
-
-    def __init__(self, numbers: list[int], weights: list[float], packed: list[bytes], average: float, blocks: int):
-        order = np.argsort(np.array(numbers, np.int64), kind="stable")
-        self.numbers, self.weights = np.array(numbers, np.int64)[order], np.array(weights)[order]
-        self.packed, self.average, self.blocks = [packed[i] for i in order], average, blocks
-        own = np.frombuffer(b"".join(self.packed), _POSTING)
-        self.ends = np.cumsum([0, *(len(p) // _POSTING.itemsize for p in self.packed)])
-        self.docs = own["doc"].astype(np.int64)
-        self.adds = np.repeat(self.weights, np.diff(self.ends)) * _impacts(own, average)
-        self.lists: dict[int, Postings] = {}
-
-    def best(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and numbers of the k best documents for the term numbers, as block_max_top gives them.
-
-        Many terms leave hardly a block below the threshold: the shard is then scored at once.
-        """
-        here = terms[np.isin(terms, self.numbers, assume_unique=True)]
-        at = np.searchsorted(self.numbers, here).tolist()
-        if not at:
-            return np.empty(0), np.empty(0, np.int64)
-        if len(at) <= FEW_TERMS:
-            for i in at:
-                if i not in self.lists:
-                    self.lists[i] = Postings(self.packed[i], self.average, self.blocks)
-            return block_max_top([(self.weights[i], self.lists[i]) for i in at], k)
-        parts = [slice(self.ends[i], self.ends[i + 1]) for i in at]
-        scores = np.bincount(np.concatenate([self.docs[p] for p in parts]), np.concatenate([self.adds[p] for p in parts]))
-        hit = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if k < len(scores) else np.arange(len(scores))
-        hit = hit[scores[hit] > 0]
-        hit = hit[np.lexsort((hit, -scores[hit]))[:k]]
-        return scores[hit], hit
-
-
-def _numbered(terms: DataFrame) -> DataFrame:
-    """terms with number, from 0 without gaps."""
-    terms = materialise(terms.withColumn("at", F.monotonically_increasing_id()), "bm25-terms")
-    sizes = sorted(tuple(r) for r in terms.groupBy(F.shiftright("at", 33).alias("part")).count().collect())
-    first, pairs = 0, []
-    for part, size in sizes:
-        pairs += [F.lit(part), F.lit(first)]
-        first += size
-    offset = F.try_element_at(F.create_map(*pairs), F.shiftright("at", 33)) if pairs else F.lit(0)
-    return terms.withColumn("number", (offset + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int")).drop("at")
-
-
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int | None = None, shard_docs: int = 16384) -> DataFrame:
-    """query_id, rank (from 1), doc_id, score: the k best documents of each query (doc_id, text).
-
-    All distinct terms of a query's text count, unless query_terms is given.
-    """
-    index = materialise(build_index(docs, shard_docs), "bm25-index")
-    members = index.where("term = ''").select("shard", F.col("df").alias("number"), "doc_id", "length")
-    whole = members.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length")).first()
-    n, average = whole.n, (whole.length or 0) / max(whole.n, 1) or 1.0
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _evaluated(index: DataFrame, asked: Asked, average: float, k: int, shard_docs: int, shard_postings: int) -> DataFrame:
+    """The k best of each query in each task's documents, as far as they reach the query's threshold."""
+    shared = index.sparkSession.sparkContext.broadcast(asked)
+
+    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        floors = own.floors.copy()
+        top: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(own.ids)
+        held: list[tuple[int, int, bytes, bytes]] = []
+        size = 0
+
+        def search() -> None:
+            """All queries over the shard of the documents held, numbered by doc_id."""
+            held.sort(key=lambda r: r[0])
+            ids = np.array([r[0] for r in held], np.int64)
+            counts = [len(r[2]) // 8 for r in held]
+            tf = np.frombuffer(b"".join(r[3] for r in held), np.uint32).astype(float)
+            norm = np.repeat(K1 * (1 - B + B * np.array([r[1] for r in held], float) / average), counts)
+            docs = np.repeat(np.arange(len(held)), counts)
+            shard = Shard(np.frombuffer(b"".join(r[2] for r in held), np.uint64), docs, tf * (K1 + 1) / (tf + norm), len(held), own.vocabulary, own.idf)
+            for q, numbers in enumerate(own.terms):
+                scores, where = block_max_wand(*shard.lists(numbers), k, floors[q])
+                if len(scores):
+                    scores, found = np.concatenate([top[q][0], scores]), np.concatenate([top[q][1], ids[where]])
+                    order = np.lexsort((found, -scores))[:k]
+                    top[q] = scores[order], found[order]
+                    if len(order) == k:
+                        floors[q] = max(floors[q], top[q][0][-1])
+
         for batch in batches:
-            ids, names, tfs = [], [], []
-            for query_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = terms_of(text)
-                ids.extend([query_id] * len(counts))
-                names.extend(counts)
-                tfs.extend(counts.values())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(tfs, pa.int32())], names=["query_id", "term", "tf"])
-
-    asked = queries.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, "query_id long, term string, tf int")
-    asked = materialise(asked.groupBy("query_id", "term").agg(F.max("tf").alias("tf")), "bm25-asked")
-    # rows of terms that no query has are left out before the shuffle by term, as far as a bounded filter can tell
-    terms = index.where("term <> ''")
-    frequency = terms.select("term", "df").where(may_hold(asked.select("term"), "term")).groupBy("term").agg(F.sum("df").alias("df"))
-    idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # the filter lets some other terms pass
-    frequency = frequency.join(asked.select("term").distinct(), "term", "left_semi")
-    known = _numbered(frequency.select("term", idf.alias("idf")))
-    weighted = asked.join(known, "term")
-    if query_terms is not None:
-        best = Window.partitionBy("query_id").orderBy(F.desc(F.col("tf") * F.col("idf")), "term")
-        weighted = weighted.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= query_terms)
-    asking = materialise(weighted.groupBy("query_id").agg(F.sort_array(F.collect_list("number")).alias("terms")), "bm25-queries")
-    held = terms.select("shard", "term", "postings").where(may_hold(asked.select("term"), "term")).join(known, "term")
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(row)
+                size += len(row[2]) // 8
+                if len(held) >= shard_docs or size >= shard_postings:
+                    search()
+                    held, size = [], 0
+        if held:
+            search()
+        n = [len(scores) for scores, _ in top]
+        if sum(n):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own.ids, n)), pa.array(np.concatenate([d for _, d in top])), pa.array(np.concatenate([s for s, _ in top]))], names=["query_id", "doc_id", "score"])
+
+    return index.mapInArrow(evaluate, FOUND)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
 
-    # a shard's postings come first, each once, then every query as one row of term numbers
-    postings = held.select("shard", F.lit(None).cast("long").alias("query_id"), "number", "idf", "postings", F.lit(None).cast("array<int>").alias("terms"))
-    routed = asking.crossJoin(F.broadcast(members.select("shard").distinct()))
-    routed = routed.select("shard", "query_id", F.lit(None).cast("int").alias("number"), F.lit(None).cast("double").alias("idf"), F.lit(None).cast("binary").alias("postings"), "terms")
-    dealt = spread(postings.unionByName(routed), "shard").sortWithinPartitions("shard", F.col("postings").isNull())
 
-    blocks = -(-shard_docs // BLOCK)
+def search(docs: DataFrame, queries: DataFrame | Column, k: int = 10, query_terms: int | None = None, shard_docs: int = 16384, shard_postings: int = 2_000_000, block_mb: float = 32) -> DataFrame:
+    """query_id, rank (from 1), doc_id, score: the k best documents of each query.
 
-    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One shard's postings of terms that are asked for are in memory, as much as a shard has at most."""
-        shard, whole = None, None
-        held: tuple[list, list, list] = ([], [], [])
+    queries: rows of doc_id and text, or a condition on doc_id for the rows of
+    docs that are queries. All distinct terms of a query's text count, unless
+    query_terms is given. block_mb: bytes of queries that are broadcast at once,
+    about.
+    """
+    spark = docs.sparkSession
+    index = materialise(build_index(docs), "bm25-index")
+    whole = index.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length")).first()
+    n = docs.count()
+    average = (whole.length or 0) / max(n, 1) or 1.0
+    own_id = F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id")
+    asked = index.select(own_id, "terms", "tfs").where(queries) if isinstance(queries, Column) else build_index(queries)
+    asked = _unpacked(asked.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID))))
+
+    idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = asked.join(document_frequencies(index).select("term", idf.alias("idf")), "term")
+    if query_terms is not None:
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.col("tf") * F.col("idf")), "term"))
+        weighted = weighted.withColumn("nth", nth).where(F.col("nth") <= query_terms)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int, float]] = []
-            lists = batch.column(5)
-            for row, (at, query_id, number, weight, blob) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
-                if at != shard:
-                    shard, whole, held = at, None, ([], [], [])
-                if blob is not None:
-                    for column, value in zip(held, (number, weight, blob), strict=True):
-                        column.append(value)
-                    continue
-                if whole is None:
-                    whole, held = Shard(*held, average, blocks), ([], [], [])
-                scores, docs = whole.best(lists[row].values.to_numpy(), k)
-                out.extend((query_id, shard, doc, score) for doc, score in zip(docs.tolist(), scores.tolist(), strict=True))
-            q, s, d, v = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(s, pa.int64()), pa.array(d, pa.int32()), pa.array(v, pa.float64())], names=["query_id", "shard", "number", "score"])
-
-    found = dealt.mapInArrow(evaluate, "query_id long, shard long, number int, score double").join(members, ["shard", "number"])
-    ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    top = found.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
-    return top.select("query_id", "rank", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"), "score")
+            lists = [batch.column(k).to_pylist() for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x, np.int64).tobytes() for x in lists[1]]), pa.array([np.array(x, float).tobytes() for x in lists[2]])], names=["query_id", "terms", "idfs"])
+
+    listed = weighted.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("all"))
+    packed = materialise(listed.select("query_id", "all.term", "all.idf").mapInArrow(pack, "query_id long, terms binary, idfs binary"), "bm25-queries")
+    size = packed.agg(F.sum(F.length("terms") + F.length("idfs"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / (block_mb * (1 << 20))))
+    dealt = packed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    sample = index.where(F.pmod(F.xxhash64("doc_id", "length"), F.lit(SAMPLE)) == 0)
+
+    parts: list[DataFrame] = []
+    for block in range(blocks):  # each is of a bounded size, and a job over all documents
+        rows = sorted(tuple(r) for r in dealt.where(F.col("block") == block).drop("block").collect())
+        if not rows:
+            continue
+        ids, terms, idfs = (list(x) for x in zip(*rows, strict=True))
+        first = _best(_evaluated(sample, Asked(ids, [0.0] * len(ids), terms, idfs), average, k, shard_docs, shard_postings), k)
+        floors = {r.query_id: r.score for r in first.where(F.col("rank") == k).select("query_id", "score").collect()}
+        bounded = Asked(ids, [floors.get(i, 0.0) for i in ids], terms, idfs)
+        parts.append(materialise(_evaluated(index, bounded, average, k, shard_docs, shard_postings), "bm25-found"))
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+    release(index)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    missing = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias(c)
+    return _best(found, k).select(missing("query_id"), "rank", missing("doc_id"), "score")

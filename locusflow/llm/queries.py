@@ -36,7 +36,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return search(docs, docs.where("doc_id % 100 = 0"), k=10)
+    found = search(docs, F.col("doc_id") % 100 == 0, k=10)
+    return found.withColumn("score", F.round("score", 6))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

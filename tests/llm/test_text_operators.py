@@ -452,14 +452,14 @@ def test_scorer_is_the_network():
 
 
 def brute_search(docs, queries, k, terms):
-    tf = {i: bm25.terms_of(t) for i, t in docs.items()}
+    tf = {i: Counter(re.findall(r"[^\W_]+", t.lower())) for i, t in docs.items()}
     size = {i: sum(c.values()) for i, c in tf.items()}
     average = sum(size.values()) / len(size)
     df = Counter(t for c in tf.values() for t in c)
     idf = {t: math.log1p((len(docs) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
     out = {}
     for q in queries:
-        own = sorted(tf[q], key=lambda t: (-tf[q][t] * idf[t], t))[:terms]
+        own = sorted(tf[q], key=lambda t: (-tf[q][t] * idf[t], np.uint64(xxhash.xxh3_64_intdigest(t)).astype(np.int64)))[:terms]
         scores = []
         for i, c in tf.items():
             s = sum(idf[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * size[i] / average)) for t in own if t in c)
@@ -497,18 +497,48 @@ def test_search_takes_every_term_of_a_query(spark):
 @given(st.integers(0, 10**6))
 def test_wand_is_exhaustive(seed):
     rng = np.random.default_rng(seed)
-    lists, scores = [], Counter()
-    for _ in range(rng.integers(1, 6)):
-        docs = np.sort(rng.choice(2000, rng.integers(1, 900), replace=False))
-        own = np.zeros(len(docs), bm25._POSTING)
-        own["doc"], own["tf"], own["length"] = docs, rng.integers(1, 4, len(docs)), rng.integers(1, 4, len(docs)) * 50
-        lists.append((float(rng.uniform(0.1, 5)), bm25.Postings(own.tobytes(), 60.0, 8)))
-    for w, p in lists:
-        for d, x in zip(p.docs.tolist(), p.impacts.tolist(), strict=True):
-            scores[d] += w * x
-    want = sorted((-s, d) for d, s in scores.items())[:10]
-    best, where = bm25.block_max_wand(lists, 10)
-    assert where.tolist() == [d for _, d in want] and np.allclose(best, [-s for s, _ in want])
+    n, k = int(rng.integers(1, 3000)), int(rng.integers(1, 12))
+    rows, scores = [], Counter()
+    vocabulary = np.sort(rng.choice(1 << 40, 9, replace=False)).astype(np.uint64)
+    idf = rng.uniform(0.1, 5, 9)
+    for t, number in zip(vocabulary, range(9), strict=True):
+        for d in rng.choice(n, int(rng.integers(0, n)), replace=False).tolist():
+            rows.append((d, t, round(float(rng.uniform(0.1, 2)), 1)))
+            if number % 2:
+                scores[d] += idf[number] * rows[-1][2]
+    rows += [(int(d), np.uint64(3), 9.0) for d in rng.integers(0, n, 5)]  # a term that isn't asked for
+    rows.sort()
+    shard = bm25.Shard(np.array([t for _, t, _ in rows], np.uint64), np.array([d for d, _, _ in rows], np.int64), np.array([x for _, _, x in rows], float), n, vocabulary, idf)
+    want = sorted((-s, d) for d, s in scores.items())[:k]
+    lists = shard.lists(np.array([1, 3, 5, 7]))
+    best, where = bm25.block_max_wand(*lists, k)
+    assert where.tolist() == [d for _, d in want] and np.allclose(best, [-s for s, _ in want], atol=1e-9)
+    # a threshold that is right from the start changes nothing, one above the k-th best leaves the better ones
+    if want:
+        for floor in (best[-1], best[len(best) // 2]):
+            again, there = bm25.block_max_wand(*lists, k, floor)
+            assert there.tolist() == where[best >= floor].tolist() and (again == best[best >= floor]).all()
+
+
+def test_wand_skips_blocks():
+    """Blocks whose maxima don't reach the threshold are never read."""
+    docs = np.arange(0, 40 * bm25.BLOCK, 8)
+    adds = np.where(docs // bm25.BLOCK == 20, 5.0, 1.0)
+    starts = np.searchsorted(docs, np.arange(41) * bm25.BLOCK)[None]
+    most = np.maximum.reduceat(adds, starts[0, :-1])[None].astype(np.float32)
+    spoiled = np.where(docs // bm25.BLOCK == 20, adds, np.nan)
+    best, where = bm25.block_max_wand(docs, spoiled, starts, most, 3, 2.0)
+    assert best.tolist() == [5.0] * 3 and where.tolist() == [20 * bm25.BLOCK + 8 * i for i in range(3)]
+
+
+def test_search_in_blocks_of_queries(spark, monkeypatch):
+    """Small shards, small blocks of queries and ties give what one shard gives; null and repeated ids too."""
+    rng = random.Random(6)
+    rows = [(i // 2, " ".join(rng.choices(WORDS[:40], k=rng.randint(0, 12)))) for i in range(200)] + [(None, "w1 w2 w3"), (None, "w1 w2 w3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(bm25.search(df, F.col("doc_id") % 10 == 0, k=5).collect(), key=str)
+    got = bm25.search(df.repartition(5), F.col("doc_id") % 10 == 0, k=5, shard_docs=7, block_mb=0.0001).collect()
+    assert sorted(got, key=str) == want and len(want) > 20
 
 
 # segmentation
