@@ -11,14 +11,17 @@ Queries don't move: they are cut into blocks of a bounded number of bytes, and
 each block is broadcast to the tasks that read the index. A task keeps the k best
 documents of each query over all its shards, and what it gives is merged exactly.
 
+A block's search goes in rounds, each over three times as many documents as all
+before; every document is in one round. What the rounds so far have found is the
+first threshold of the next one (a score and a doc_id), so that the tasks of a
+round give no more than about three times k documents a query together, however
+many tasks there are.
+
 Blocks are the same for all terms, so the cursors of a query's lists move from
 border to border together, and the pivot is a block: the next one in which the
 block maxima of the lists that have postings there add up to the threshold, the
 k-th best score so far. Blocks before the pivot are skipped in all lists;
-neighbouring pivots are scored at once. A query's first threshold is its k-th
-best score in a fixed share of the documents, searched before the others: a
-bound, so that tasks don't give k documents each; no document is left out of the
-search by it.
+neighbouring pivots are scored at once.
 
 Queries are documents ("more like this"): a query's terms are all distinct terms
 of its whole text, each once. A caller may ask for the query_terms terms of
@@ -36,6 +39,7 @@ a doc_id (or have none) are one query with the terms of all.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -44,6 +48,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +56,8 @@ from .common import materialise, portions, release
 
 K1, B = 1.2, 0.75
 BLOCK = 256
-#: The share of documents that gives the first thresholds.
-SAMPLE = 64
+#: Documents of a round in relation to all before it, less one; rounds at least.
+GROWTH, ROUNDS = 4, 4
 _WORD = re.compile(r"[^\W_]+").findall
 _NO_ID = (1 << 63) - 1
 INDEX = "doc_id long, length long, terms binary, tfs binary"
@@ -164,7 +169,8 @@ def block_max_wand(docs: np.ndarray, adds: np.ndarray, starts: np.ndarray, most:
         return best, where
     # sums of single-precision maxima, a little above what they round
     bounds = most.sum(axis=0, dtype=np.float64) * (1 + 1e-9)
-    at, reach, blocks = 0, 1, len(bounds)
+    at, blocks = 0, len(bounds)
+    reach = blocks if floor > 0 else 1
     while at < blocks:
         # the pivot: the first block from the cursors on whose bound reaches the threshold
         live = bounds[at : at + reach] >= floor
@@ -188,16 +194,16 @@ def block_max_wand(docs: np.ndarray, adds: np.ndarray, starts: np.ndarray, most:
             at = last
         else:
             at += len(live)
-        reach = min(reach * 4, blocks)
+        reach = blocks
     return best, where
 
 
 class Asked:
-    """A block of queries: their ids, thresholds, and terms as numbers of one vocabulary."""
+    """A block of queries: their ids, and terms as numbers of one vocabulary."""
 
-    def __init__(self, ids: list[int], floors: list[float], terms: list[bytes], idfs: list[bytes]):
+    def __init__(self, ids: list[int], terms: list[bytes], idfs: list[bytes]):
         hashes, weights = (np.frombuffer(b"".join(x), t) for x, t in ((terms, np.uint64), (idfs, np.float64)))
-        self.ids, self.floors = np.array(ids, np.int64), np.array(floors, float)
+        self.ids = np.array(ids, np.int64)
         self.vocabulary, first, where = np.unique(hashes, return_index=True, return_inverse=True)
         self.idf = weights[first]
         ends = np.cumsum([0, *(len(t) // 8 for t in terms)])
@@ -205,13 +211,13 @@ class Asked:
         self.terms = [np.sort(where[i:j]) for i, j in zip(ends, ends[1:])]
 
 
-def _evaluated(index: DataFrame, asked: Asked, average: float, k: int, shard_docs: int, shard_postings: int) -> DataFrame:
-    """The k best of each query in each task's documents, as far as they reach the query's threshold."""
-    shared = index.sparkSession.sparkContext.broadcast(asked)
+def _evaluated(index: DataFrame, asked: Broadcast[Asked], floors: dict[int, tuple[float, int]], average: float, k: int, shard_docs: int, shard_postings: int) -> DataFrame:
+    """The k best of each query in each task's documents, as far as they come before the query's floor (score and doc_id)."""
+    known = index.sparkSession.sparkContext.broadcast(floors)
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        floors = own.floors.copy()
+        own = asked.value
+        least = [known.value.get(i, (0.0, _NO_ID)) for i in own.ids.tolist()]
         top: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(own.ids)
         held: list[tuple[int, int, bytes, bytes]] = []
         size = 0
@@ -226,13 +232,16 @@ def _evaluated(index: DataFrame, asked: Asked, average: float, k: int, shard_doc
             docs = np.repeat(np.arange(len(held)), counts)
             shard = Shard(np.frombuffer(b"".join(r[2] for r in held), np.uint64), docs, tf * (K1 + 1) / (tf + norm), len(held), own.vocabulary, own.idf)
             for q, numbers in enumerate(own.terms):
-                scores, where = block_max_wand(*shard.lists(numbers), k, floors[q])
-                if len(scores):
-                    scores, found = np.concatenate([top[q][0], scores]), np.concatenate([top[q][1], ids[where]])
+                floor, last = least[q]
+                scores, where = block_max_wand(*shard.lists(numbers), k, floor)
+                found = ids[where]
+                before = (scores > floor) | (found < last)
+                if before.any():
+                    scores, found = np.concatenate([top[q][0], scores[before]]), np.concatenate([top[q][1], found[before]])
                     order = np.lexsort((found, -scores))[:k]
                     top[q] = scores[order], found[order]
                     if len(order) == k:
-                        floors[q] = max(floors[q], top[q][0][-1])
+                        least[q] = float(top[q][0][-1]), int(top[q][1][-1])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -255,7 +264,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
 
 
-def search(docs: DataFrame, queries: DataFrame | Column, k: int = 10, query_terms: int | None = None, shard_docs: int = 16384, shard_postings: int = 2_000_000, block_mb: float = 32) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame | Column, k: int = 10, query_terms: int | None = None, shard_docs: int = 8192, shard_postings: int = 2_000_000, block_mb: float = 32) -> DataFrame:
     """query_id, rank (from 1), doc_id, score: the k best documents of each query.
 
     queries: rows of doc_id and text, or a condition on doc_id for the rows of
@@ -264,9 +273,13 @@ def search(docs: DataFrame, queries: DataFrame | Column, k: int = 10, query_term
     about.
     """
     spark = docs.sparkSession
-    index = materialise(build_index(docs), "bm25-index")
-    whole = index.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length")).first()
     n = docs.count()
+    # the first round has a shard's documents, or fewer
+    rounds = max(ROUNDS, 1 + math.ceil(math.log(max(n, 1) / shard_docs, GROWTH)))
+    place = F.pmod(F.xxhash64("doc_id", "length"), F.lit(GROWTH ** (rounds - 1)))
+    turn = sum(((place >= GROWTH**i).cast("int") for i in range(rounds - 1)), F.lit(0))
+    index = materialise(build_index(docs).withColumn("round", turn), "bm25-index", by="round")
+    whole = index.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length")).first()
     average = (whole.length or 0) / max(n, 1) or 1.0
     own_id = F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id")
     asked = index.select(own_id, "terms", "tfs").where(queries) if isinstance(queries, Column) else build_index(queries)
@@ -288,23 +301,26 @@ def search(docs: DataFrame, queries: DataFrame | Column, k: int = 10, query_term
     size = packed.agg(F.sum(F.length("terms") + F.length("idfs"))).first()[0] or 0
     blocks = max(1, math.ceil(size / (block_mb * (1 << 20))))
     dealt = packed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    sample = index.where(F.pmod(F.xxhash64("doc_id", "length"), F.lit(SAMPLE)) == 0)
 
     parts: list[DataFrame] = []
-    for block in range(blocks):  # each is of a bounded size, and a job over all documents
+    for block in range(blocks):  # each is of a bounded size, and a search over all documents
         rows = sorted(tuple(r) for r in dealt.where(F.col("block") == block).drop("block").collect())
         if not rows:
             continue
         ids, terms, idfs = (list(x) for x in zip(*rows, strict=True))
-        first = _best(_evaluated(sample, Asked(ids, [0.0] * len(ids), terms, idfs), average, k, shard_docs, shard_postings), k)
-        floors = {r.query_id: r.score for r in first.where(F.col("rank") == k).select("query_id", "score").collect()}
-        bounded = Asked(ids, [floors.get(i, 0.0) for i in ids], terms, idfs)
-        parts.append(materialise(_evaluated(index, bounded, average, k, shard_docs, shard_postings), "bm25-found"))
+        asked_now = spark.sparkContext.broadcast(Asked(ids, terms, idfs))
+        found: DataFrame | None = None
+        for turn in range(rounds):
+            floors = {r.query_id: (r.score, r.doc_id) for r in _best(found, k).where(F.col("rank") == k).collect()} if found is not None else {}
+            docs_now = n * (GROWTH - 1 if turn else 1) / GROWTH ** (rounds - max(turn, 1))
+            searched = index.where(F.col("round") == turn).drop("round").coalesce(max(1, math.ceil(docs_now / shard_docs)))
+            part = materialise(_evaluated(searched, asked_now, floors, average, k, shard_docs, shard_postings), "bm25-found")
+            found = part if found is None else found.unionByName(part)
+        asked_now.destroy()
+        parts.append(found)
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     release(index)
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    found = functools.reduce(DataFrame.unionByName, parts)
     missing = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias(c)
     return _best(found, k).select(missing("query_id"), "rank", missing("doc_id"), "score")
