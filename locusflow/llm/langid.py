@@ -13,14 +13,14 @@ entries), so a filter costs one or two look-ups a byte, in batches of windows.
 The fit reads a bounded sample (sample_rows texts, windows_per_text windows of
 each, all chosen by hashes); scores are for all rows.
 
-Defined cases: a null text, or one without a letter, is `und` with score 0; a
+Defined cases: a null text, or one without a letter (str.isalpha), is `und` with
+score 0; a
 text of fewer bytes than a window is filled up with zero bytes; with no labelled
 text every prediction is `und`.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +36,6 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 UNKNOWN = "und"
 _MORE = max(WIDTHS) - 1
-_LETTER = re.compile(r"[^\W\d_]").search
 
 
 @dataclass(frozen=True)
@@ -173,6 +172,19 @@ class Scorer:
         return np.add.reduceat(probs, starts, axis=0) / np.array(counts)[:, None]
 
 
+def _blocks(texts: Iterator[str], rows: int = 128, chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts in lists of so many rows and about so many characters at most, a longer text by itself."""
+    held, size = [], 0
+    for t in texts:
+        if held and (len(held) >= rows or size + len(t) > chars):
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
 def train(docs: DataFrame, learnable: Column, sample_rows: int = 4000, windows_per_text: int = 3) -> Network | None:
     """A network from about sample_rows of the learnable rows with a lang; None if there are none."""
     known = docs.where(learnable & F.col("lang").isNotNull() & (F.length("text") > 0))
@@ -208,12 +220,11 @@ def identify_language(docs: DataFrame, learnable: Column, sample_rows: int = 400
         scorer = Scorer(shared.value)
         for texts in batches:
             names, scores = [], []
-            for at in range(0, len(texts), 128):
-                part = [t or "" for t in texts.iloc[at : at + 128]]
+            for part in _blocks(t or "" for t in texts):
                 probs = scorer.texts([t.encode("utf-8", "surrogatepass") for t in part])
                 best = probs.argmax(axis=1)
                 for t, b, p in zip(part, best, probs.max(axis=1), strict=True):
-                    letters = _LETTER(t)
+                    letters = any(map(str.isalpha, t))
                     names.append(scorer.network.languages[b] if letters else UNKNOWN)
                     scores.append(float(min(p, 1.0)) if letters else 0.0)
             yield pd.DataFrame({"lang_pred": names, "score": scores})

@@ -7,9 +7,9 @@ whose key may have been seen twice. Only those suspected lines shuffle: an exact
 count by the key itself confirms them and picks the surviving document. Filters
 have no false negatives, so a fuller filter costs time and never changes a result.
 
-Defined cases: a null or empty text is one empty line; every row counts as a
-document of its own, and rows that share the surviving doc_id all keep their
-lines; a null doc_id is lower than any other, and if all holders have a null
+Defined cases: a null or empty text is one empty line; rows that share a doc_id
+count as one document, rows without one as a document each, and rows that share
+the surviving doc_id all keep their lines; a null doc_id is lower than any other, and if all holders have a null
 doc_id nothing is dropped; an empty table gives an empty table.
 """
 
@@ -160,7 +160,10 @@ def line_dedup(
 
     ids = docs.select(F.col("doc_id").cast("long"), "text")
     lines = materialise(ids.mapInArrow(suspected, "doc_id long, key string"), "line-dedup")
-    repeated = lines.groupBy("key").agg(F.count(F.lit(1)).alias("holders"), F.max("doc_id").alias("keeper")).where(F.col("holders") >= min_docs)
+    # holders are counted by doc_id; a row without one is a document of its own
+    by_key = lines.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("rows")).groupBy("key")
+    holders = F.count("doc_id") + F.sum(F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(0))
+    repeated = materialise(by_key.agg(holders.alias("holders"), F.max("doc_id").alias("keeper")).where(F.col("holders") >= min_docs).drop("holders"), "line-dedup-repeated")
     drops = lines.join(repeated, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     drops = drops.groupBy(F.col("doc_id").alias("__lf_id")).agg(F.collect_set("key").alias("__lf_keys"))
 

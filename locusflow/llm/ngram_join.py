@@ -20,12 +20,13 @@ then its most frequent ones are the spare ones, and as two sets that are similar
 agree in more parts than are spare, the least frequent part they agree in is left
 out by neither.
 
-Identical sets are one node. Every node is first compared with one node only, the
-one of the least nodes of its parts that it shares most parts with; what this
-links is contracted, and only then pairs that share a part and are still in
-different components are compared. All candidates pass a 1024-bit parity sketch
-and an exact count on the texts. No bucket is ever held in memory and no pair
-within a component is made once it is known to be one.
+Identical sets are one node. In a few turns, every node is compared with some of
+the nodes that it stands beside in its parts, in an order that changes; what a
+turn links is contracted, so that groups of copies become components by about as
+many comparisons as they have texts. Only then pairs that share a part and are
+still in different components are compared, all of them. Candidates pass a
+1024-bit parity sketch and an exact count on the texts. No bucket is ever held in
+memory.
 
 Defined cases: null or empty texts (and ones without words) are linked with
 nothing; fewer words than a shingle are one shingle; rows are documents, equal
@@ -55,6 +56,8 @@ _SKETCH = tuple(f"s{k}" for k in range(16))
 _BAND_BITS = 7
 #: Parts with more sets than this are left out first, as far as a set has parts to spare.
 _HOT = 64
+#: Turns in which a node meets a few partners, before all pairs that are left.
+_TURNS = 4
 #: Pairs of one node that are checked in one group.
 _STAR = 4096
 
@@ -247,6 +250,32 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, b
     return done
 
 
+def _rooted(members: DataFrame, links: DataFrame | None) -> DataFrame:
+    """members with the root that links lead to."""
+    if links is None:
+        return members.withColumn("root", F.col("node"))
+    return members.join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+
+
+def _neighbours(rooted: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of different roots that stand side by side in a part, in an order that changes by turn.
+
+    A node has one partner in the first turn and up to three later, those it
+    stands beside most often.
+    """
+    order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+    beside = rooted.select("node", "root", F.lag("node").over(order).alias("other"), F.lag("root").over(order).alias("other_root")).where("root <> other_root")
+    met = beside.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.count(F.lit(1)).alias("parts"))
+    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("parts"), F.xxhash64("a", F.lit(turn))))
+    return met.withColumn("nth", nth).where(F.col("nth") <= (3 if turn else 1)).select("a", "b")
+
+
+def _likely(pairs: DataFrame, facts: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs that sizes and sketches allow."""
+    both = pairs.alias("p").join(facts.alias("x"), F.col("p.a") == F.col("x.node")).join(facts.alias("y"), F.col("p.b") == F.col("y.node"))
+    return both.where(_may_link("x", "y", bands)).select("p.a", "p.b")
+
+
 def jaccard_links(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, links): documents with their node, distinct sets, links that join all similar sets.
 
@@ -261,15 +290,17 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     members = _members(docs, nodes, width, bands)
     facts = nodes.select("node", "n", *_SKETCH)
 
-    least = F.first("node").over(Window.partitionBy("key").orderBy("node"))
-    met = members.select(least.alias("a"), F.col("node").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("parts"))
-    stars = met.groupBy("b").agg(F.max_by("a", F.struct("parts", -F.col("a"))).alias("a"))
-    stars = stars.alias("p").join(facts.alias("x"), F.col("p.a") == F.col("x.node")).join(facts.alias("y"), F.col("p.b") == F.col("y.node"))
-    stars = materialise(stars.where(_may_link("x", "y", bands)).select("p.a", "p.b"), "ngram-pairs")
-    near = _verified(stars, nodes, docs, width, bands)
-
-    roots = components(near)
-    rooted = materialise(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "ngram-rooted")
+    links: DataFrame | None = None
+    for turn in range(_TURNS):
+        rooted = _rooted(members, links)
+        pairs = materialise(_likely(_neighbours(rooted, turn), facts, bands), "ngram-pairs")
+        if pairs.isEmpty():
+            break
+        near = _verified(pairs, nodes, docs, width, bands)
+        links = near if links is None else links.unionByName(near)
+        release(pairs)
+
+    rooted = materialise(_rooted(members, links), "ngram-rooted")
     release(members)
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rest = materialise(rooted.join(open_keys, "key", "left_semi").join(facts, "node"), "ngram-rest")
@@ -277,10 +308,10 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     x, y = rest.alias("x"), rest.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
     more = x.join(y, apart & _may_link("x", "y", bands)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = materialise(more.join(stars, ["a", "b"], "left_anti"), "ngram-pairs")
-    release(rest, stars)
-    links = near.unionByName(_verified(more, nodes, docs, width, bands))
-    release(more)
+    more = materialise(more, "ngram-pairs")
+    last = _verified(more, nodes, docs, width, bands)
+    release(rest, more)
+    links = last if links is None else links.unionByName(last)
     rows = prints.select("doc_id", "t1", "t2", "n", "hi", "lo").join(nodes.select("hi", "lo", "node"), ["hi", "lo"], "left").select("doc_id", "t1", "t2", "n", "node")
     return rows, nodes.select("node", "n", "least"), links
 
