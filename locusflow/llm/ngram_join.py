@@ -20,6 +20,9 @@ then its most frequent ones are the spare ones, and as two sets that are similar
 agree in more parts than are spare, the least frequent part they agree in is left
 out by neither.
 
+Sets that left out fewer parts than they could must share the more: one part more
+than the lesser of what they could still spare.
+
 Identical sets are one node. In a few turns, every node is compared with some of
 the nodes that it stands beside in its parts, in an order that changes; what a
 turn links is contracted, so that groups of copies become components by about as
@@ -190,7 +193,11 @@ def _keys(docs: DataFrame, width: int, bands: Bands, known: int = 1 << 18) -> Da
 
 
 def _members(docs: DataFrame, nodes: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """(key, node) of parts that several sets share, without frequent ones that their sets can spare."""
+    """(key, node, spare) of parts that several sets share, without frequent ones that their sets can spare.
+
+    spare: how many more of the band's parts the set could have left out; so similar
+    sets share more parts than the lesser one's spare ones.
+    """
     by_key = Window.partitionBy("key").orderBy("lo")
     dealt = _keys(docs, width, bands).select("key", "spare", "lo", F.first("lo").over(by_key).alias("least"), F.lead("lo").over(by_key).alias("after"))
     # the last row of each set, if there is another set
@@ -199,8 +206,11 @@ def _members(docs: DataFrame, nodes: DataFrame, width: int, bands: Bands) -> Dat
     hot = materialise(every.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > _HOT), "ngram-hot")
     band = F.col("key").bitwiseAND(F.lit((1 << _BAND_BITS) - 1))
     nth = F.row_number().over(Window.partitionBy("node", band).orderBy(F.desc("sets"), "key"))
-    gone = every.join(hot, "key").withColumn("nth", nth).where("nth <= spare").select("key", "node")
-    kept = materialise(every.join(gone, ["key", "node"], "left_anti").select("key", "node"), "ngram-members")
+    gone = materialise(every.join(hot, "key").withColumn("nth", nth).where("nth <= spare").select("key", "node"), "ngram-gone")
+    lost = gone.groupBy("node", band.alias("band")).agg(F.count(F.lit(1)).alias("lost"))
+    left = every.join(gone, ["key", "node"], "left_anti").withColumn("band", band).join(lost, ["node", "band"], "left")
+    kept = materialise(left.select("key", "node", (F.col("spare") - F.coalesce("lost", F.lit(0))).cast("int").alias("spare")), "ngram-members")
+    release(gone)
     release(every, hot)
     return kept
 
@@ -254,18 +264,19 @@ def _rooted(members: DataFrame, links: DataFrame | None) -> DataFrame:
     """members with the root that links lead to."""
     if links is None:
         return members.withColumn("root", F.col("node"))
-    return members.join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    return members.join(components(links), "node", "left").select("key", "node", "spare", F.coalesce("root", "node").alias("root"))
 
 
 def _neighbours(rooted: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of different roots that stand side by side in a part, in an order that changes by turn.
 
     A node has one partner in the first turn and up to three later, those it
-    stands beside most often.
+    stands beside most often; and none that it stands beside too rarely for sets
+    with so many parts to spare, unless they have very many copies.
     """
     order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-    beside = rooted.select("node", "root", F.lag("node").over(order).alias("other"), F.lag("root").over(order).alias("other_root")).where("root <> other_root")
-    met = beside.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.count(F.lit(1)).alias("parts"))
+    beside = rooted.select("node", "root", "spare", *(F.lag(c).over(order).alias(a) for c, a in (("node", "other"), ("root", "other_root"), ("spare", "other_spare")))).where("root <> other_root")
+    met = beside.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.count(F.lit(1)).alias("parts"), F.max(F.least("spare", "other_spare")).alias("spare")).where("parts * 16 > spare")
     nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("parts"), F.xxhash64("a", F.lit(turn))))
     return met.withColumn("nth", nth).where(F.col("nth") <= (3 if turn else 1)).select("a", "b")
 
@@ -307,8 +318,10 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     release(rooted)
     x, y = rest.alias("x"), rest.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    more = x.join(y, apart & _may_link("x", "y", bands)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = materialise(more, "ngram-pairs")
+    band = F.col("x.key").bitwiseAND(F.lit((1 << _BAND_BITS) - 1)).alias("band")
+    met = x.join(y, apart & _may_link("x", "y", bands)).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), band)
+    met = met.agg(F.count(F.lit(1)).alias("parts"), F.min(F.least("x.spare", "y.spare")).alias("spare")).where("parts > spare")
+    more = materialise(met.select("a", "b").distinct(), "ngram-pairs")
     last = _verified(more, nodes, docs, width, bands)
     release(rest, more)
     links = last if links is None else links.unionByName(last)
