@@ -28,7 +28,8 @@ the nodes that it stands beside in its parts, in an order that changes; what a
 turn links is contracted, so that groups of copies become components by about as
 many comparisons as they have texts. Only then pairs that share a part and are
 still in different components are compared, all of them. Candidates pass a
-1024-bit parity sketch and an exact count on the texts. No bucket is ever held in
+1024-bit parity sketch, a wide one that grows with the set, and an exact count on
+the texts. No bucket is ever held in
 memory.
 
 Defined cases: null or empty texts (and ones without words) are linked with
@@ -59,6 +60,8 @@ _SKETCH = tuple(f"s{k}" for k in range(16))
 _BAND_BITS = 7
 #: Parts with more sets than this are left out first, as far as a set has parts to spare.
 _HOT = 64
+#: Bits of a wide sketch at most, as a power of two.
+_WIDEST = 20
 #: Turns in which a node meets a few partners, before all pairs that are left.
 _TURNS = 4
 #: Pairs of one node that are checked in one group.
@@ -136,6 +139,22 @@ def small_sketch(tokens: np.ndarray) -> np.ndarray:
     return words
 
 
+def wide_sketch(tokens: np.ndarray) -> bytes | None:
+    """Parity bits, about twice as many as tokens (a power of two), of a set for which 1024 say little; else none."""
+    if len(tokens) <= 512:
+        return None
+    bits = 1 << min((2 * len(tokens) - 1).bit_length(), _WIDEST)
+    at = (mix64(tokens ^ np.uint64(0xE7037ED1A0B428DB)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ, the longer one folded to the shorter one's bits."""
+    small, large = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    folded = np.bitwise_xor.reduce(large.reshape(-1, len(small)), axis=0)
+    return int(np.bitwise_count(small ^ folded).sum())
+
+
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
     hi, lo = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64).tolist()
     return hi, lo
@@ -153,18 +172,19 @@ def _prints(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch, 1):
-                sizes, digests, sketches = [], [], []
+                sizes, digests, sketches, wide = [], [], [], []
                 for text in part.column(1).to_pylist():
                     tokens = shingle_set(text, width)
                     sizes.append(len(tokens))
                     digests.append(_digest(tokens))
                     sketches.append(small_sketch(tokens))
+                    wide.append(wide_sketch(tokens))
                 words, both = np.stack(sketches).view(np.int64), np.array(digests, np.int64)
-                arrays = [part.column(0), part.column(2), part.column(3), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])]
-                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(words[:, k]) for k in range(len(_SKETCH)))], names=["doc_id", "t1", "t2", "n", "hi", "lo", *_SKETCH])
+                arrays = [part.column(0), part.column(2), part.column(3), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(wide, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(words[:, k]) for k in range(len(_SKETCH)))], names=["doc_id", "t1", "t2", "n", "hi", "lo", "wide", *_SKETCH])
 
     words = ", ".join(f"{s} long" for s in _SKETCH)
-    return _keyed_texts(docs).mapInArrow(run, f"doc_id long, t1 long, t2 long, n long, hi long, lo long, {words}")
+    return _keyed_texts(docs).mapInArrow(run, f"doc_id long, t1 long, t2 long, n long, hi long, lo long, wide binary, {words}")
 
 
 def _keys(docs: DataFrame, width: int, bands: Bands, known: int = 1 << 18) -> DataFrame:
@@ -223,6 +243,36 @@ def _may_link(a: str, b: str, bands: Bands) -> Column:
     return near & (F.least(size_a, size_b) * bands.den >= F.greatest(size_a, size_b) * bands.num)
 
 
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """(a, node, salt, nth) of pairs (a, b): the second nodes of each first one (nth 1), and itself (nth 0).
+
+    The pairs of a node that has very many are dealt into several salts.
+    """
+    stars = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / _STAR).cast("int").alias("salts"))
+    others = pairs.join(stars, "a").select("a", F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("nth"))
+    return others.unionByName(stars.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("nth")))
+
+
+def _sharp(pairs: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) that wide sketches allow, where both sets have one."""
+    num, den = bands.num, bands.den
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for part in portions(batch, 5, rows=4096):
+                for a, node, salt, nth, n, wide in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if nth == 0:
+                        held = (a, salt, n, wide)
+                    elif wide is None or held[3] is None or wide_distance(wide, held[3]) * (den + num) <= (n + held[2]) * (den - num):
+                        found.append((a, node))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    grouped = spread(_dealt(pairs).join(nodes.select("node", "n", "wide"), "node").select("a", "node", "salt", "nth", "n", "wide"), "a", "salt")
+    return materialise(grouped.sortWithinPartitions("a", "salt", "nth").mapInArrow(check, "a long, b long"), "ngram-sharp")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, bands: Bands) -> DataFrame:
     """Those of the pairs (a, b) whose texts' sets are similar enough.
 
@@ -230,10 +280,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, b
     first; large groups are dealt into several, each with that text.
     """
     num, den = bands.num, bands.den
-    stars = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / _STAR).cast("int").alias("salts"))
-    others = pairs.join(stars, "a").select("a", F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("nth"))
-    centres = stars.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("nth"))
-    wanted = materialise(others.unionByName(centres).join(nodes.select("node", "t1", "t2", "hi", "lo"), "node"), "ngram-wanted")
+    sharp = _sharp(pairs, nodes, bands)
+    wanted = materialise(_dealt(sharp).join(nodes.select("node", "t1", "t2", "hi", "lo"), "node"), "ngram-wanted")
+    release(sharp)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tokens = None, None
@@ -295,9 +344,9 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     """
     bands = Bands(num, den)
     prints = materialise(_prints(docs, width), "ngram-prints")
-    same = [F.first(c).alias(c) for c in ("n", *_SKETCH)]
+    same = [F.first(c).alias(c) for c in ("n", "wide", *_SKETCH)]
     sets = prints.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.min(F.struct("t1", "t2")).alias("t"), *same)
-    nodes = materialise(sets.select("hi", "lo", "least", "t.t1", "t.t2", "n", *_SKETCH, F.monotonically_increasing_id().alias("node")), "ngram-nodes")
+    nodes = materialise(sets.select("hi", "lo", "least", "t.t1", "t.t2", "n", "wide", *_SKETCH, F.monotonically_increasing_id().alias("node")), "ngram-nodes")
     members = _members(docs, nodes, width, bands)
     facts = nodes.select("node", "n", *_SKETCH)
 

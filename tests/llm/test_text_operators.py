@@ -150,7 +150,7 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, width, num):
     rng = random.Random(width)
     docs, texts = [], []
     for _ in range(12):
-        texts.append(rng.choices(WORDS, k=rng.choice((2, 9, 20, 60, 150))))
+        texts.append(rng.choices(WORDS, k=rng.choice((2, 9, 20, 60, 150, 800))))
     for i in range(150):
         words = list(rng.choice(texts))
         for _ in range(rng.choice((0, 0, 1, 1, 2, 4))):
@@ -183,6 +183,16 @@ def test_similar_sets_share_a_part(seed, size, threshold):
         assert apart <= len(a) + len(b) - 2 * common
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.integers(513, 3000), st.integers(513, 9000))
+def test_wide_sketches_bound_the_difference(seed, n, m):
+    rng = np.random.default_rng(seed)
+    a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+    b = np.union1d(a[rng.integers(0, n // 2) :], rng.integers(0, 1 << 62, m).astype(np.uint64))
+    assert ngram_join.wide_distance(ngram_join.wide_sketch(a), ngram_join.wide_sketch(b)) <= len(np.setxor1d(a, b))
+    assert ngram_join.wide_distance(ngram_join.wide_sketch(a), ngram_join.wide_sketch(a)) == 0
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 10**6), st.integers(30, 300), st.sampled_from([(80, 100), (90, 100)]))
 def test_spared_parts_lose_no_pair(seed, size, threshold):
