@@ -51,11 +51,11 @@ def region_reads(reads: DataFrame, contig: str, start: int, end: int) -> DataFra
 
 def aligned_units(reads: DataFrame) -> DataFrame:
     """One row per CIGAR unit, with the bases before it; a unit of an unknown op ends a read."""
-    known = F.filter(with_offsets(F.col("cigar")), lambda u: u["op"].isin(*OPS))
-    first_bad = F.array_min(F.transform(F.filter(with_offsets(F.col("cigar")), lambda u: ~u["op"].isin(*OPS)), lambda u: u["idx"]))
-    kept = F.filter(known, lambda u: u["idx"] < F.coalesce(first_bad, F.lit(1 << 30)))
+    known = F.transform("cigar", lambda u: u["op"].isin(*OPS))
+    whole = F.array_position(known, F.lit(False)) == 0
+    kept = F.when(whole, F.col("cigar")).otherwise(F.slice("cigar", 1, F.greatest(F.array_position(known, F.lit(False)).cast("int") - 1, F.lit(0))))
     key = F.concat_ws("/", "name", F.col("mate").cast("string")).alias("read_key")
-    return reads.withColumn("u", F.explode(kept)).select("contig", "ref_start", "seq", "bq", "mapq", "is_rev", key, "u.*")
+    return reads.withColumn("u", F.explode(with_offsets(kept))).select("contig", "ref_start", "seq", "bq", "mapq", "is_rev", key, "u.*")
 
 
 def aligned_bases(reads: DataFrame) -> DataFrame:
@@ -73,6 +73,37 @@ def with_reference(facts: DataFrame, reference: DataFrame, position: str = "pos"
     return joined.withColumn("ref_base", F.substring(F.col("bases"), at, F.lit(1))).withColumn("ref_after", F.substring(F.col("bases"), at, F.lit(CHUNK))).where(F.length("ref_base") == 1).drop("chunk", "bases")
 
 
+def _units_on_reference(reads: DataFrame, reference: DataFrame, ops: tuple[str, ...]) -> DataFrame:
+    """CIGAR units with their own bases and the reference's from start on: contig, start, op, len, own, bq, ref, read_key, idx, mapq, is_rev.
+
+    Units meet the reference, not bases: one row a unit, long matches cut into
+    pieces of a chunk. start is the first base of a match (op M), and the base
+    before an insertion or deletion; own and bq are empty for a deletion.
+    """
+    units = aligned_units(reads).where(F.col("op").isin(*ops))
+    match = F.col("op").isin("M", "=", "X")
+    cut = units.withColumn("skip", F.explode(F.when(match, F.expr(f"sequence(0, greatest(len - 1, 0), {CHUNK})")).otherwise(F.array(F.lit(0)))))
+    size = F.when(match, F.least(F.col("len") - F.col("skip"), F.lit(CHUNK))).otherwise(F.col("len"))
+    taken = F.when(F.col("op") == "D", 0).otherwise(size)
+    start = F.col("ref_start") + F.col("ref_off") + F.when(match, F.col("skip")).otherwise(-1)
+    at = cut.select(
+        "contig", start.alias("start"), F.when(match, F.lit("M")).otherwise(F.col("op")).alias("op"), size.alias("len"),
+        F.upper(F.substring(F.col("seq"), F.col("read_off") + F.col("skip") + 1, taken)).alias("own"),
+        F.slice("bq", F.col("read_off") + F.col("skip") + 1, taken).alias("bq"), "read_key", "idx", "mapq", "is_rev",
+    )
+    placed = at.where("start >= 0 AND len > 0").withColumn("chunk", F.floor(F.col("start") / CHUNK)).join(reference, ["contig", "chunk"])
+    first = (F.col("start") - F.col("chunk") * CHUNK + 1).cast("int")
+    reach = F.when(F.col("op") == "M", F.col("len")).when(F.col("op") == "D", F.col("len") + 1).otherwise(1)
+    return placed.withColumn("ref", F.substring(F.col("bases"), first, reach)).drop("chunk", "bases")
+
+
+def aligned_bases_on_reference(reads: DataFrame, reference: DataFrame) -> DataFrame:
+    """aligned_bases() with ref_base, of positions that the reference has."""
+    units = _units_on_reference(reads, reference, ("M", "=", "X"))
+    at = units.where("length(ref) > 0").withColumn("k", F.explode(F.expr("sequence(0, least(len, length(ref)) - 1)")))
+    return at.select("contig", (F.col("start") + F.col("k")).alias("pos"), "read_key", F.expr("substring(own, k + 1, 1)").alias("base"), F.expr("bq[k]").alias("bq"), "idx", "mapq", "is_rev", F.expr("substring(ref, k + 1, 1)").alias("ref_base"))
+
+
 def allele_facts(reads: DataFrame, reference: DataFrame, options: CounterOptions = CounterOptions(), region: tuple[str, int, int] | None = None) -> DataFrame:
     """What reads say of positions: contig, pos, read_key, idx, type, bases, bq, mapq, is_rev, ref_base.
 
@@ -82,27 +113,24 @@ def allele_facts(reads: DataFrame, reference: DataFrame, options: CounterOptions
     counted, and deleted bases that lie outside are N.
     """
     good = reads.where(F.col("mapq") >= options.min_mapping_quality)
-    bases = aligned_bases(good).select("contig", "pos", "read_key", "idx", "mapq", "is_rev", F.lit("M").alias("op"), F.col("base").alias("own"), "bq", F.lit(1).alias("len"))
-    units = aligned_units(good)
-    anchor = (F.col("ref_start") + F.col("ref_off") - 1).alias("pos")
-    added = units.where("op = 'I'").select("contig", anchor, "read_key", "idx", "mapq", "is_rev", "op", F.upper(F.expr("substring(seq, read_off + 1, len)")).alias("own"), F.expr("array_min(slice(bq, read_off + 1, len))").alias("bq"), "len")
-    gone = units.where("op = 'D'").select("contig", anchor, "read_key", "idx", "mapq", "is_rev", "op", F.lit("").alias("own"), F.lit(0).alias("bq"), "len")
-    facts = bases.unionByName(added).unionByName(gone).where("pos >= 0")
+    units = _units_on_reference(good, reference, ("M", "=", "X", "I", "D")).where("length(ref) > 0")
+    matched = F.col("op") == "M"
+    places = F.when(matched, F.expr("sequence(0, least(len, length(ref)) - 1)")).otherwise(F.array(F.lit(0)))
+    at = units.withColumn("k", F.explode(places)).withColumn("pos", F.col("start") + F.col("k"))
     if region is not None:
         contig, start, end = region
-        facts = facts.where((F.col("contig") == contig) & (F.col("pos") >= start) & (F.col("pos") < end))
-        left = F.least(F.col("len"), (F.lit(end) - 1 - F.col("pos")).cast("int"))
+        at = at.where((F.col("contig") == contig) & (F.col("pos") >= start) & (F.col("pos") < end))
+        left = F.greatest(F.least(F.col("len"), (F.lit(end) - 1 - F.col("pos")).cast("int")), F.lit(0))
     else:
         left = F.col("len")
+    own = F.when(matched, F.expr("substring(own, k + 1, 1)")).otherwise(F.col("own"))
+    quality = F.when(matched, F.expr("bq[k]")).when(F.col("op") == "I", F.array_min("bq")).otherwise(0)
+    seen = at.select("contig", "pos", "read_key", "idx", "op", "len", "mapq", "is_rev", own.alias("own"), quality.alias("bq"), F.expr("substring(ref, k + 1, 1)").alias("ref_base"), F.substring(F.col("ref"), F.lit(1), left + 1).alias("gone"))
+    kind = F.when(F.col("op") == "I", INSERTION).when(F.col("op") == "D", DELETION).when(F.col("own") == F.col("ref_base"), REFERENCE).otherwise(SUBSTITUTION)
+    text = F.when(F.col("op") == "I", F.concat("ref_base", "own")).when(F.col("op") == "D", F.rpad("gone", F.col("len") + 1, "N")).otherwise(F.col("own"))
     ok = F.col("bq") >= options.min_base_quality
-    at = with_reference(facts, reference)
-    deleted = F.rpad(F.expr("substring(ref_after, 1, 1 + __left)"), F.col("len") + 1, "N")
-    match = F.col("own") == F.col("ref_base")
-    kind = F.when(F.col("op") == "I", INSERTION).when(F.col("op") == "D", DELETION).when(match, REFERENCE).otherwise(SUBSTITUTION)
-    seen = at.withColumn("__left", F.greatest(left, F.lit(0))).withColumn("type", kind)
-    text = F.when(F.col("op") == "I", F.concat("ref_base", "own")).when(F.col("op") == "D", deleted).otherwise(F.col("own"))
-    seen = seen.where(ok | (F.col("op") == "D") | (F.col("type") == REFERENCE))
-    return seen.select("contig", "pos", "read_key", "idx", "type", text.alias("bases"), "bq", "mapq", "is_rev", "ref_base", (~ok & (F.col("type") == REFERENCE)).alias("is_low_quality"))
+    kept = seen.withColumn("type", kind).where(ok | (F.col("op") == "D") | (F.col("type") == REFERENCE))
+    return kept.select("contig", "pos", "read_key", "idx", "type", text.alias("bases"), "bq", "mapq", "is_rev", "ref_base", (~ok & (F.col("type") == REFERENCE)).alias("is_low_quality"))
 
 
 def read_alleles(facts: DataFrame) -> DataFrame:
@@ -115,15 +143,18 @@ def read_alleles(facts: DataFrame) -> DataFrame:
 def sites(facts: DataFrame) -> DataFrame:
     """One row per position: ref_base, ref_count, ref_low_count, alleles (array of type, bases, n, in order).
 
-    facts are dealt by position once; reads, alleles and positions are then
+    Matching bases are counted before they move, so what is dealt by position are
+    counts, and the facts of other alleles; reads, alleles and positions are then
     aggregated without another shuffle.
     """
-    dealt = facts.repartition("contig", "pos")
     is_ref = F.col("type") == REFERENCE
+    other = lambda c: F.when(~is_ref, F.col(c)).alias(c)
+    held = facts.groupBy("contig", "pos", "ref_base", *(other(c) for c in ("read_key", "type", "bases", "idx")))
+    dealt = held.agg(F.count_if(is_ref & ~F.col("is_low_quality")).alias("ok"), F.count_if(is_ref & F.col("is_low_quality")).alias("low")).repartition("contig", "pos")
     per_read = dealt.groupBy("contig", "pos", "read_key").agg(
-        F.count_if(is_ref & ~F.col("is_low_quality")).alias("ok"),
-        F.count_if(is_ref & F.col("is_low_quality")).alias("low"),
-        F.max_by(F.struct("type", "bases"), F.when(~is_ref, F.col("idx"))).alias("a"),
+        F.sum("ok").alias("ok"),
+        F.sum("low").alias("low"),
+        F.max_by(F.struct("type", "bases"), "idx").alias("a"),
         F.min("ref_base").alias("ref_base"),
     )
     per_allele = per_read.groupBy("contig", "pos", "a").agg(F.sum("ok").alias("ok"), F.sum("low").alias("low"), F.min("ref_base").alias("ref_base"), F.count("a").alias("n"))

@@ -344,7 +344,7 @@ def q_read_channels(spark, sf_dir):
  CASE WHEN base = {fx.base('c', 'pos')} THEN 50 ELSE 254 END AS differs, CASE WHEN base = translate({fx.base('c', 'pos')}, 'ACGT', 'CGTA') THEN 254 ELSE 152 END AS supports FROM aligned""")
 def q_pileup_pixels(spark, sf_dir):
     """Pixels of aligned bases."""
-    bases = pileup.with_reference(pileup.aligned_bases(fx.reads(spark, sf_dir).where("mapq >= 10")), fx.reference(spark, sf_dir))
+    bases = pileup.aligned_bases_on_reference(fx.reads(spark, sf_dir).where("mapq >= 10"), fx.reference(spark, sf_dir))
     c = F.col
     return bases.select(
         "contig", "pos", "read_key", ch.read_base(c("base")).alias("read_base"), ch.base_quality(c("bq")).alias("base_quality"), ch.differs_from_ref(c("base"), c("ref_base")).alias("differs"),
