@@ -196,12 +196,12 @@ def q_vcf_lines(spark, sf_dir):
     return called.select(vcf_text.record_text(("GT", "GQ", "DP", "AD", "MID", "PL"), set(called.columns)).alias("line"))
 
 
-_BLOCKS_SQL = """blocks AS (SELECT 'chr' || (event_id % 3 + 1)::VARCHAR AS contig, event_id * 20 AS start, event_id * 20 + 20 - event_id % 3 AS "end", (10 + event_id % 30)::INT AS min_dp FROM events WHERE event_id % 2 = 0)"""
+_BLOCKS_SQL = """blocks AS (SELECT 'chr' || (event_id % 3 + 1)::VARCHAR AS contig, event_id * 20 AS start, event_id * 20 + 20 - event_id % 3 AS "end", (10 + event_id % 30)::INT AS min_dp FROM events)"""
 
 
 def _blocks(spark, sf_dir):
     e = F.col("event_id")
-    made = table(spark, sf_dir, "events").where("event_id % 2 = 0")
+    made = table(spark, sf_dir, "events")
     return made.select(F.concat(F.lit("chr"), (e % 3 + 1).cast("string")).alias("contig"), (e * 20).alias("start"), (e * 20 + 20 - e % 3).alias("end"), (10 + e % 30).cast("int").alias("min_dp"), e.alias("block"))
 
 
@@ -299,7 +299,7 @@ def q_range_span(spark, sf_dir):
     return intervals.spans(r, "g")
 
 
-@query(f"""WITH {fx.FACTS_SQL}, sites AS (SELECT contig, c, pos, ref_base AS ref, translate(ref_base, 'ACGT', 'CGTA') AS alt FROM counts WHERE pos % 11 = 0),
+@query(f"""WITH {fx.FACTS_SQL}, sites AS (SELECT contig, c, pos, ref_base AS ref, translate(ref_base, 'ACGT', 'CGTA') AS alt FROM counts),
  seen AS (SELECT s.contig, s.pos AS start, s.ref, s.alt, a.base, a.q, a.mapq, a.is_rev, a.base = s.ref AS r, a.base = s.alt AS t FROM sites s LEFT JOIN aligned a ON a.contig = s.contig AND a.pos = s.pos)
  SELECT contig, start, ref, alt, count(*) FILTER (WHERE r)::INT AS n_ref, count(*) FILTER (WHERE t)::INT AS n_alt, count(base)::INT AS depth,
   coalesce(sum(mapq) FILTER (WHERE r) // nullif(count(*) FILTER (WHERE r), 0), 0)::INT AS mapq_ref, coalesce(sum(q) FILTER (WHERE r) // nullif(count(*) FILTER (WHERE r), 0), 0)::INT AS bq_ref, coalesce(100 * count(*) FILTER (WHERE r AND is_rev) // nullif(count(*) FILTER (WHERE r), 0), 0)::INT AS rev_ref,
@@ -307,7 +307,7 @@ def q_range_span(spark, sf_dir):
  FROM seen GROUP BY ALL""")
 def q_read_classes(spark, sf_dir):
     """Reads of the reference and of the alternate at sites."""
-    counts = pileup.allele_counts(_sites(spark, sf_dir)).where("pos % 11 = 0")
+    counts = pileup.allele_counts(_sites(spark, sf_dir))
     sites = counts.select("contig", F.col("pos").alias("start"), F.col("ref_base").alias("ref"), F.translate("ref_base", "ACGT", "CGTA").alias("alt"))
     return small_model.classify_reads(sites, fx.reads(spark, sf_dir).where("mapq >= 10"))
 
