@@ -21,21 +21,28 @@ from locusflow.llm.queries import tokenizer_file
 from locusflow.llm.substring_dedup import substring_dedup
 
 
-def _with_text(done: DataFrame, docs: DataFrame) -> DataFrame:
-    """done in the columns of docs, n_chars (where there is one) being that of the new text."""
-    columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+def _aside(docs: DataFrame) -> DataFrame:
+    """docs with all columns but doc_id and text put aside in one, where no operator's own columns can replace them."""
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others, F.lit(None).cast("string").alias("__lf_none")).alias("__lf_aside"))
+
+
+def _back(done: DataFrame, docs: DataFrame, new_text: bool = True) -> DataFrame:
+    """done in the columns of docs, n_chars (where there is one) being that of a new text."""
+    put = lambda c: F.col(c) if c in ("doc_id", "text") else F.col(f"__lf_aside.{c}").alias(c)
+    columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if new_text and c == "n_chars" else put(c) for c in docs.columns]
     return done.select(*columns)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = score_quality(_aside(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _back(scored.where("predicted = 1"), docs, new_text=False)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that three or more documents hold, but for one document."""
-    return _with_text(line_dedup(docs), docs)
+    return _back(line_dedup(_aside(docs)), docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +52,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without runs of sentences that occurred before."""
-    return _with_text(substring_dedup(docs), docs)
+    return _back(substring_dedup(_aside(docs)), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
