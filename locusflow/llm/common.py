@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 #: Used only by local masters that name no shared folder (tests, bench).
 LOCAL_SHARED = "file:///tmp/checkpoints/locusflow"
 
+#: Tables of so many rows at most (of a few numbers each, 16 MB in all) are broadcast, or worked on by one task.
+SMALL = 1 << 17
+
 #: Tables that materialise() wrote, by their DataFrame's id (which stays taken while the frame is held here).
 _written: dict[int, tuple[DataFrame, str]] = {}
 
@@ -49,6 +52,16 @@ def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return table
 
 
+def is_small(table: DataFrame, rows: int = SMALL) -> bool:
+    """Whether a written table has so many rows at most (the files' footers tell)."""
+    return table.count() <= rows
+
+
+def light(table: DataFrame, rows: int = SMALL) -> DataFrame:
+    """The written table, to be broadcast if it is small; else joined by a shuffle."""
+    return F.broadcast(table) if is_small(table, rows) else table
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import may_hold
-from .common import materialise, mix64, portions, release, spread, text_of
+from .common import is_small, light, materialise, mix64, portions, release, spread, text_of
 from .components import components
 
 _GROWTH = 1.5
@@ -226,9 +226,11 @@ def _members(docs: DataFrame, nodes: DataFrame, width: int, bands: Bands) -> Dat
     hot = materialise(every.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > _HOT), "ngram-hot")
     band = F.col("key").bitwiseAND(F.lit((1 << _BAND_BITS) - 1))
     nth = F.row_number().over(Window.partitionBy("node", band).orderBy(F.desc("sets"), "key"))
-    gone = materialise(every.join(hot, "key").withColumn("nth", nth).where("nth <= spare").select("key", "node"), "ngram-gone")
+    gone = materialise(every.join(light(hot), "key").withColumn("nth", nth).where("nth <= spare").select("key", "node"), "ngram-gone")
     lost = gone.groupBy("node", band.alias("band")).agg(F.count(F.lit(1)).alias("lost"))
-    left = every.join(gone, ["key", "node"], "left_anti").withColumn("band", band).join(lost, ["node", "band"], "left")
+    few = is_small(gone)
+    gone_from = lambda table: F.broadcast(table) if few else table
+    left = every.join(gone_from(gone), ["key", "node"], "left_anti").withColumn("band", band).join(gone_from(lost), ["node", "band"], "left")
     kept = materialise(left.select("key", "node", (F.col("spare") - F.coalesce("lost", F.lit(0))).cast("int").alias("spare")), "ngram-members")
     release(gone)
     release(every, hot)
@@ -246,11 +248,16 @@ def _may_link(a: str, b: str, bands: Bands) -> Column:
 def _dealt(pairs: DataFrame) -> DataFrame:
     """(a, node, salt, nth) of pairs (a, b): the second nodes of each first one (nth 1), and itself (nth 0).
 
-    The pairs of a node that has very many are dealt into several salts.
+    The pairs of a node that has very many are dealt into several salts. Few
+    pairs are dealt by one task and broadcast to what they are joined with.
     """
+    few = is_small(pairs)
+    if few:
+        pairs = pairs.coalesce(1)
     stars = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / _STAR).cast("int").alias("salts"))
     others = pairs.join(stars, "a").select("a", F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("nth"))
-    return others.unionByName(stars.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("nth")))
+    dealt = others.unionByName(stars.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("nth")))
+    return F.broadcast(dealt) if few else dealt
 
 
 def _sharp(pairs: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
@@ -301,9 +308,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, b
                             found.append((a, node))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    name = F.col("t1").cast("string").alias("name")
-    texts = _keyed_texts(docs).select("text", "t1", "t2", name).where(may_hold(wanted.select(name), "name")).select("text", "t1", "t2").dropDuplicates(["t1", "t2"])
-    grouped = spread(wanted.join(texts, ["t1", "t2"]).select("a", "node", "salt", "nth", "text", "hi", "lo"), "a", "salt")
+    texts = _keyed_texts(docs).select("text", "t1", "t2")
+    if few := is_small(wanted):
+        texts = texts.join(F.broadcast(wanted.select("t1", "t2")), ["t1", "t2"], "left_semi")
+    else:
+        name = F.col("t1").cast("string").alias("name")
+        texts = texts.withColumn("name", name).where(may_hold(wanted.select(name), "name")).drop("name")
+    texts = texts.dropDuplicates(["t1", "t2"])
+    grouped = spread((F.broadcast(wanted) if few else wanted).join(texts, ["t1", "t2"]).select("a", "node", "salt", "nth", "text", "hi", "lo"), "a", "salt")
     done = materialise(grouped.sortWithinPartitions("a", "salt", "nth").mapInArrow(check, "a long, b long"), "ngram-links")
     release(wanted)
     return done
@@ -313,7 +325,7 @@ def _rooted(members: DataFrame, links: DataFrame | None) -> DataFrame:
     """members with the root that links lead to."""
     if links is None:
         return members.withColumn("root", F.col("node"))
-    return members.join(components(links), "node", "left").select("key", "node", "spare", F.coalesce("root", "node").alias("root"))
+    return members.join(light(components(links)), "node", "left").select("key", "node", "spare", F.coalesce("root", "node").alias("root"))
 
 
 def _neighbours(rooted: DataFrame, turn: int) -> DataFrame:
@@ -331,7 +343,11 @@ def _neighbours(rooted: DataFrame, turn: int) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, facts: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs that sizes and sketches allow."""
+    """The pairs (a written table) that sizes and sketches allow."""
+    if is_small(pairs):  # the nodes stay where they are, and only those of pairs move
+        x, y = (facts.join(F.broadcast(pairs), F.col("node") == F.col(end)).alias(alias) for end, alias in (("a", "x"), ("b", "y")))
+        both = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b")))
+        return both.where(_may_link("x", "y", bands)).select("x.a", "x.b")
     both = pairs.alias("p").join(facts.alias("x"), F.col("p.a") == F.col("x.node")).join(facts.alias("y"), F.col("p.b") == F.col("y.node"))
     return both.where(_may_link("x", "y", bands)).select("p.a", "p.b")
 
@@ -353,7 +369,9 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     links: DataFrame | None = None
     for turn in range(_TURNS):
         rooted = _rooted(members, links)
-        pairs = materialise(_likely(_neighbours(rooted, turn), facts, bands), "ngram-pairs")
+        met = materialise(_neighbours(rooted, turn), "ngram-met")
+        pairs = materialise(_likely(met, facts, bands), "ngram-pairs")
+        release(met)
         if pairs.isEmpty():
             break
         near = _verified(pairs, nodes, docs, width, bands)
@@ -382,7 +400,7 @@ def _named(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Rows of documents with their node and component_id."""
     rows, nodes, links = jaccard_links(docs, width, num, den)
     roots = components(links)
-    rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.join(light(roots), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialise(rooted.join(names, "root").select("node", "root", "component_id"), "ngram-named")
     return rows.join(named, "node", "left")
@@ -411,5 +429,5 @@ def first_of_component(docs: DataFrame, width: int = 5, num: int = 80, den: int
     # rows without words are in no component: they stay whatever repeats them
     bare = ~text.rlike(r"[^ \t\n\x0B\f\r]")
     nth = F.row_number().over(Window.partitionBy(*names.values()).orderBy("__lf_own"))
-    kept = keyed.where(~bare).join(firsts, list(names.values()), "left_semi").withColumn("__lf_nth", nth).where("__lf_nth = 1")
+    kept = keyed.where(~bare).join(light(firsts), list(names.values()), "left_semi").withColumn("__lf_nth", nth).where("__lf_nth = 1")
     return kept.select(*docs.columns).unionByName(docs.where(bare))

@@ -167,6 +167,23 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, width, num):
         assert sorted(r.doc_id for r in kept) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_jaccard_join_of_tables_that_are_not_small(spark, monkeypatch):
+    """The shuffled joins give what the broadcast ones give."""
+    rng = random.Random(11)
+    texts = [rng.choices(WORDS, k=k) for k in (9, 60, 60, 700)]
+    docs = []
+    for i in range(80):
+        words = list(texts[i % 4])
+        for _ in range(rng.choice((0, 1, 2))):
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "is_small", lambda table: False)
+    monkeypatch.setattr(ngram_join, "light", lambda table: table)
+    got = ngram_join.jaccard_components(df, 3, 90, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs, 3, 90)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 10**6), st.integers(30, 300), st.sampled_from([(80, 100), (90, 100)]))
 def test_similar_sets_share_a_part(seed, size, threshold):
@@ -235,6 +252,8 @@ def test_components_against_union_find(spark):
         parent[max(x, y)] = min(x, y)
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
+    shuffled = components.components(spark.createDataFrame(edges, "a long, b long"), small=0)
+    assert {r.node: r.root for r in shuffled.collect()} == got
 
 
 # substrings
