@@ -91,6 +91,27 @@ def alt_under(prefix: Column, ref: Column, start: Column) -> Column:
     return F.concat(prefix, F.substring(ref, start + 1, F.length(ref)))
 
 
+def extended_ref(ref: Column, alleles: Column) -> Column:
+    """ref with what the longest deletion of alleles, (type, bases), takes after its first base; of equally long ones the last counts."""
+    deletions = F.filter(alleles, lambda a: a["type"] == DELETION)
+    longest = F.aggregate(deletions, F.lit(""), lambda best, a: F.when(F.length(a["bases"]) >= F.length(best), a["bases"]).otherwise(best))
+    return F.concat(ref, F.substring(longest, F.lit(2), F.length(longest)))
+
+
+def variant_alt(kind: Column, bases: Column, ref: Column) -> Column:
+    """An allele as an alternate of ref, which may be extended; null for the reference and clips."""
+    deleted = alt_under(F.substring(bases, 1, 1), ref, F.length(bases))
+    return F.when(kind.isin(SUBSTITUTION, INSERTION), alt_under(bases, ref, F.lit(1))).when(kind == DELETION, deleted)
+
+
+def flanked_haplotype(window: Column, window_start: Column, start: Column, ref: Column, alt: Column, half_width: int, n_bases: Column) -> Column:
+    """(bases, start, end): alt between half_width reference bases on each side, clipped to the contig; window must reach over them."""
+    end = start + F.length(ref)
+    first, last = F.greatest(start - half_width, F.lit(0)), F.least(end + half_width, n_bases)
+    cut = lambda a, b: F.substring(window, (a - window_start + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    return F.struct(F.concat(cut(first, start), alt, cut(end, last)).alias("bases"), first.alias("start"), last.alias("end"))
+
+
 def splice_alt(window: Column, window_start: Column, start: Column, ref: Column, alt: Column) -> Column:
     """The window of reference bases with ref at start replaced by alt; null if it isn't inside."""
     at = start - window_start

@@ -66,20 +66,29 @@ def with_offsets(units: Column) -> Column:
 def trim_cigar(units: Column, ref_start: Column, ref_length: Column) -> Column:
     """The units over ref_length reference bases, after ref_start of them.
 
-    Insertions and clips before the first kept reference base are dropped; ones
-    after the last are dropped too.
+    Insertions and clips stay where as many reference bases as trimmed, or more,
+    lie before them, up to the border after the last kept one. Units of no length
+    are left out.
     """
     lo, hi = ref_start, ref_start + ref_length
 
     def cut(u: Column) -> Column:
         first, last = F.greatest(u["ref_off"], lo), F.least(u["ref_off"] + u["len"], hi)
-        onto = u["op"].isin(*REF_OPS)
-        inside = (u["ref_off"] > lo) & (u["ref_off"] < hi) | (u["ref_off"] == lo) & (lo == 0)
-        return F.struct(u["op"].alias("op"), F.when(onto, last - first).when(inside, u["len"]).otherwise(0).alias("len"))
+        return F.struct(u["op"].alias("op"), F.when(u["op"].isin(*REF_OPS), last - first).when(u["ref_off"].between(lo, hi), u["len"]).otherwise(0).cast("int").alias("len"))
 
     return F.filter(F.transform(with_offsets(units), cut), lambda u: u["len"] > 0)
 
 
+def trimmed_bases(units: Column, ref_start: Column) -> Column:
+    """Read bases that trim_cigar drops before the first unit it keeps."""
+
+    def dropped(u: Column) -> Column:
+        onto = F.when(u["op"].isin(*REF_OPS), F.least(ref_start - u["ref_off"], u["len"])).when(u["ref_off"] < ref_start, u["len"])
+        return F.when(u["op"].isin(*READ_OPS), F.greatest(onto, F.lit(0))).otherwise(0)
+
+    return F.aggregate(with_offsets(units), F.lit(0), lambda total, u: (total + F.coalesce(dropped(u), F.lit(0))).cast("int"))
+
+
 def haplotype_to_ref(units: Column, position: Column, start: Column) -> Column:
     """Where a haplotype's position lies on the reference; inside an insertion the base before it, outside null."""
     rows = F.filter(with_offsets(units), lambda u: u["op"].isin(*READ_OPS) & (u["read_off"] <= position) & (position < u["read_off"] + u["len"]))

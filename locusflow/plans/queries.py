@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alleles, cigar, genotype, phred, ranges, vcf_text
-from ..operators import assembly, genotyping, images, inference, intervals, methylation, phasing, pileup, shard_phases, small_model
+from ..operators import assembly, examples, genotyping, images, inference, intervals, methylation, phasing, pileup, shard_phases, small_model
 from ..operators import channels as ch
 from . import fixtures as fx
 from .fixtures import table
@@ -495,6 +495,48 @@ def q_fuzzy_support(spark, sf_dir):
     return v.select("k", "n", ch.fuzzy_code(held, F.array(a1, a2), a1).alias("code"), genotype.allele_phases(F.array(F.lit(0), s), F.lit(2)).alias("phases"))
 
 
+@query(f"""WITH {fx.CANDIDATES_SQL} SELECT contig, start, alts[i + 1] AS alt, i::VARCHAR AS indices FROM (SELECT *, unnest(range(0, len(alts))) AS i FROM cands)
+ UNION ALL SELECT contig, start, alts[i + 1] || '/' || alts[j + 1], i || ',' || j FROM (SELECT *, unnest(range(i + 1, len(alts))) AS j FROM (SELECT *, unnest(range(0, len(alts))) AS i FROM cands))""")
+def q_examples(spark, sf_dir):
+    """An example for each alternate of each candidate and each pair of alternates."""
+    e = examples.examples(pileup.candidates(_sites(spark, sf_dir)), True)
+    return e.select("contig", "start", F.expr("array_join(transform(alt_indices, i -> alts[i]), '/')").alias("alt"), F.expr("array_join(transform(alt_indices, i -> cast(i as string)), ',')").alias("indices"))
+
+
+@query(f"""WITH {fx.FACTS_SQL},
+ placed AS (SELECT *, greatest(ref_start - 3 + rid % 12, ref_start) - ref_start AS lo, ref_start - 3 + rid % 12 + 9 - ref_start AS hi FROM units),
+ kept AS (SELECT p.rid, b.k, b.base FROM placed p JOIN read_bases b ON b.rid = p.rid AND b.k >= p.read_off AND b.k < p.read_off + p.len
+  WHERE CASE WHEN p.op = 'M' THEN p.ref_off + b.k - p.read_off >= p.lo AND p.ref_off + b.k - p.read_off < p.hi ELSE p.op <> 'D' AND p.ref_off >= p.lo AND p.ref_off <= p.hi END),
+ seqs AS (SELECT rid, string_agg(base, '' ORDER BY k) AS seq FROM kept GROUP BY rid),
+ ends AS (SELECT *, greatest(ref_start - 3 + rid % 12, ref_start) AS s, least(ref_start - 3 + rid % 12 + 9, ref_end) AS e FROM good)
+ SELECT name, contig, s AS start, e - s AS ref_bases, seq, length(seq) AS n_quals, ref_start AS original_start FROM ends JOIN seqs USING (rid) WHERE e - s >= 5""")
+def q_trimmed_reads(spark, sf_dir):
+    """Reads cut to a range of nine bases each, of which they must cover five."""
+    first = F.col("ref_start") - 3 + F.col("rid") % 12
+    r = examples.trim_reads(fx.reads(spark, sf_dir).where("mapq >= 10").withColumn("first", first), F.col("first"), F.col("first") + 9, 5)
+    return r.select("name", "contig", F.col("ref_start").alias("start"), cigar.ref_span(F.col("cigar")).cast("long").alias("ref_bases"), "seq", F.size("bq").cast("long").alias("n_quals"), "original_start")
+
+
+@query("""WITH v AS (SELECT p_partkey AS k, 'ACGTTGCAACGTCCGA' AS w, (p_partkey % 9)::BIGINT AS s, substring('ACGTTGCAACGTCCGA', (p_partkey % 9 + 1)::INT, (1 + p_size % 3)::INT) AS ref, substring('GATTACA', 1, (1 + p_size % 4)::INT) AS alt,
+  'A' || repeat('C', (1 + p_partkey % 3)::INT) AS d1, 'A' || repeat('G', (1 + p_partkey % 2)::INT) AS d2, p_size % 2 = 0 AS has FROM part),
+ x AS (SELECT *, CASE WHEN NOT has THEN 'A' WHEN length(d2) >= length(d1) THEN d2 ELSE d1 END AS r FROM v)
+ SELECT k, substring(w, greatest(s - 4, 0) + 1, s - greatest(s - 4, 0)) || alt || substring(w, s + length(ref) + 1, least(s + length(ref) + 4, 12) - s - length(ref)) AS bases, greatest(s - 4, 0) AS hap_start, least(s + length(ref) + 4, 12) AS hap_end,
+  substring(w, 1, s) || alt || substring(w, s + length(ref) + 1) AS spliced, r AS variant_ref, alt || substring(r, 2) AS as_substitution, 'A' || substring(r, length(d2) + 1) AS as_deletion, CASE WHEN has THEN length(d1) ELSE -1 END AS size FROM x""")
+def q_haplotypes(spark, sf_dir):
+    """Haplotypes of variants, and alleles under a reference that the longest deletion extends."""
+    table(spark, sf_dir, "part").createOrReplaceTempView("lf_part")
+    v = spark.sql("""SELECT p_partkey AS k, 'ACGTTGCAACGTCCGA' AS w, cast(p_partkey % 9 as bigint) AS s, substring('ACGTTGCAACGTCCGA', cast(p_partkey % 9 + 1 as int), cast(1 + p_size % 3 as int)) AS ref, substring('GATTACA', 1, cast(1 + p_size % 4 as int)) AS alt,
+      'A' || repeat('C', cast(1 + p_partkey % 3 as int)) AS d1, 'A' || repeat('G', cast(1 + p_partkey % 2 as int)) AS d2, p_size % 2 = 0 AS has FROM lf_part""")
+    w, s, ref, alt, d1, d2 = (F.col(c) for c in ("w", "s", "ref", "alt", "d1", "d2"))
+    deletion = F.when(F.col("has"), alleles.DELETION).otherwise(alleles.REFERENCE)
+    held = F.array(F.struct(F.lit(alleles.SUBSTITUTION).alias("type"), alt.alias("bases")), F.struct(deletion.alias("type"), d1.alias("bases")), F.struct(deletion.alias("type"), d2.alias("bases")))
+    made = v.withColumn("h", alleles.flanked_haplotype(w, F.lit(0), s, ref, alt, 4, F.lit(12))).withColumn("variant_ref", alleles.extended_ref(F.lit("A"), held))
+    return made.select(
+        "k", "h.bases", F.col("h.start").alias("hap_start"), F.col("h.end").alias("hap_end"), alleles.splice_alt(w, F.lit(0), s, ref, alt).alias("spliced"), "variant_ref",
+        alleles.variant_alt(F.lit(alleles.SUBSTITUTION), alt, F.col("variant_ref")).alias("as_substitution"), alleles.variant_alt(F.lit(alleles.DELETION), d2, F.col("variant_ref")).alias("as_deletion"), alleles.deletion_size(deletion, d1).alias("size"),
+    )
+
+
 @query()
 def q_pileup_images(spark, sf_dir):
     """Images of candidates, by digest."""
