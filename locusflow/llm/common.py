@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Used only by local masters that name no shared folder (tests, bench).
@@ -95,6 +95,30 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def in_ranges(df: DataFrame, label: str, *order: Column) -> DataFrame:
+    """df written in range partitions of the order, their number in a column part.
+
+    Rows that are equal in the order share a partition: let its last column tell rows apart.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), label)
+
+
+def running_totals(df: DataFrame, value: str, name: str, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """df of in_ranges() with a column name: the sum of value over the rows before each one (of the same by).
+
+    Rows are summed within their partition; only the partitions' sums are ordered in one place.
+    The ranges' order begins with by.
+    """
+    sums = df.groupBy(*by, "part").agg(F.sum(value).alias("__lf_sum"))
+    ahead = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = materialise(sums.select(*by, "part", F.coalesce(F.sum("__lf_sum").over(ahead), F.lit(0)).alias("__lf_base")), "running-totals")
+    within = Window.partitionBy(*by, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = df.withColumn("__lf_own", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    met = summed.join(light(sums), [*by, "part"])
+    return met.withColumn(name, F.col("__lf_own") + F.col("__lf_base")).drop("__lf_own", "__lf_base")
+
+
 def portions(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of so many rows and of about so many bytes of a text column at most, a longer text by itself."""
     offsets = np.cumsum([0, *pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)])

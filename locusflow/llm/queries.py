@@ -15,6 +15,7 @@ from .line_dedup import line_dedup
 from .ngram_join import jaccard_components
 from .packing import pack
 from .quality import score_quality
+from .resample import resample
 from .sp_nbest import segmentation_digests
 from .substring_dedup import substring_dedup
 
@@ -80,6 +81,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20, longest=1, buckets=10_000, seed=2024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bm25_topk": op2_bm25_topk,
@@ -91,4 +96,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_sentencepiece_nbest": op9_sentencepiece_nbest,
     "op10_fingerprints": op10_fingerprints,
+    "op11_importance_resampling": op11_importance_resampling,
 }

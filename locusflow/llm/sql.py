@@ -88,9 +88,42 @@ WITH words AS (
 SELECT * FROM ranked WHERE rank <= 10
 """
 
+#: crc32 by bytes: a table of 256 remainders, then one step a byte. Words are hashed once each.
+RESAMPLE = f"""
+WITH remainders AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)
+), words AS (
+  SELECT doc_id, NULL AS item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM documents
+  UNION ALL
+  SELECT NULL, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) FROM benchmark
+), counted AS (
+  SELECT word, count(doc_id) AS s, count(item_id) AS t FROM words GROUP BY word
+), bytes AS (
+  SELECT word, s, t, list_transform(range(1, 2 * strlen(word), 2), lambda i: ('0x' || substr(hex(word), i::INT, 2))::BIGINT) AS b FROM counted
+), hashed AS (
+  SELECT word, s, bytes.t, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, remainders.t[((xor(c, x) & 255) + 1)::INT])), 4294967295) % 10000 AS bucket FROM bytes, remainders
+), buckets AS (SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM hashed GROUP BY bucket
+), whole AS (SELECT sum(s) AS s, sum(t) AS t FROM buckets
+), gains AS (
+  SELECT bucket, floor(1000 * ln((b.t + 1) * (w.s + 10000) / ((b.s + 1) * (w.t + 10000))))::BIGINT AS gain FROM buckets b, whole w
+), weighed AS (
+  SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM words JOIN hashed USING (word) JOIN gains USING (bucket) WHERE doc_id IS NOT NULL GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || d.doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents d LEFT JOIN weighed USING (doc_id)
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored s LEFT JOIN ranked USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op2_bm25_topk": BM25_TOPK,
     "op4_license_scan": _license_sql(),
     "op8_line_dedup": LINE_DEDUP,
+    "op11_importance_resampling": RESAMPLE,
 }
