@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ with production parameters, over whole tables."""
+"""The queries op1_ to op13_ with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bm25 import search
+from .conversations import repair_damaged
 from .fingerprints import edited_fingerprints
 from .langid import identify_language
 from .licenses import scan_licenses
 from .line_dedup import line_dedup
+from .mixing import Mix, words_taken
 from .ngram_join import jaccard_components
 from .packing import pack
 from .quality import score_quality
@@ -85,6 +87,14 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20, longest=1, buckets=10_000, seed=2024)
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words_taken(table(spark, sf_dir, "documents"), Mix(weights=(5, 2, 1), percent=150, most=2, block_words=64))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bm25_topk": op2_bm25_topk,
@@ -97,4 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece_nbest": op9_sentencepiece_nbest,
     "op10_fingerprints": op10_fingerprints,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_conversation_repair": op13_conversation_repair,
 }

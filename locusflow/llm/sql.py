@@ -88,12 +88,16 @@ WITH words AS (
 SELECT * FROM ranked WHERE rank <= 10
 """
 
-#: crc32 by bytes: a table of 256 remainders, then one step a byte. Words are hashed once each.
-RESAMPLE = f"""
-WITH remainders AS (
+#: crc32 by bytes: a table of 256 remainders, then one step a byte.
+_REMAINDERS = """remainders AS (
   SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
   FROM (SELECT unnest(range(256)) AS i)
-), words AS (
+)"""
+_CRC32 = "xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, remainders.t[((xor(c, x) & 255) + 1)::INT])), 4294967295)"
+
+#: Words are hashed once each.
+RESAMPLE = f"""
+WITH {_REMAINDERS}, words AS (
   SELECT doc_id, NULL AS item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM documents
   UNION ALL
   SELECT NULL, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) FROM benchmark
@@ -102,7 +106,7 @@ WITH remainders AS (
 ), bytes AS (
   SELECT word, s, t, list_transform(range(1, 2 * strlen(word), 2), lambda i: ('0x' || substr(hex(word), i::INT, 2))::BIGINT) AS b FROM counted
 ), hashed AS (
-  SELECT word, s, bytes.t, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, remainders.t[((xor(c, x) & 255) + 1)::INT])), 4294967295) % 10000 AS bucket FROM bytes, remainders
+  SELECT word, s, bytes.t, {_CRC32} % 10000 AS bucket FROM bytes, remainders
 ), buckets AS (SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM hashed GROUP BY bucket
 ), whole AS (SELECT sum(s) AS s, sum(t) AS t FROM buckets
 ), gains AS (
@@ -120,10 +124,69 @@ WITH remainders AS (
 SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored s LEFT JOIN ranked USING (doc_id)
 """
 
+def _before(state: int, system: str) -> str:
+    """The least cost before a turn in a state, without an insertion."""
+    to, wants = (2, 3, 2)[max(state - 1, 0)], ("u", "a", "u")[max(state - 1, 0)]
+    keep = ", ".join(x for x in (f"CASE WHEN initial = '{wants}' THEN c{to} + more END", system) if x)
+    return f"least(2 + c{state}, CASE WHEN NOT gone THEN least({keep}, 1 + c{to} + more) END)"
+
+
+_B = [_before(0, "CASE WHEN initial = 's' THEN c1 + more END"), *(_before(q, "") for q in (1, 2, 3))]
+_AT = lambda alias: f"CASE state WHEN 0 THEN {alias}.c0 WHEN 1 THEN {alias}.c1 WHEN 2 THEN {alias}.c2 ELSE {alias}.c3 END"
+_TO, _WANTS = "CASE state WHEN 2 THEN 3 ELSE 2 END", "CASE state WHEN 2 THEN 'a' ELSE 'u' END"
+_TO_COST = "CASE state WHEN 2 THEN {0}.c3 ELSE {0}.c2 END"
+
+#: Costs to go are found from the last turn backward, edits by a walk forward; states: 0 nothing yet, 1 after s, 2 after u, 3 after a.
+CONVERSATION_REPAIR = f"""
+WITH RECURSIVE {_REMAINDERS}, named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS b FROM conversations
+), hits AS (SELECT conv_id, turn, role, text, {_CRC32} % 20 AS hit FROM named, remainders
+), turns AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM hits WHERE hit <> 0
+  UNION ALL SELECT conv_id, turn, role, text FROM hits WHERE hit = 3
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+         right(rtrim(text, {_STRIP}), 1) AS mark FROM turns
+), counted AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM placed
+), marked AS (
+  SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS previous, mark = '' AS blank, mark <> '' AND seen > 1 AS duplicate,
+         mark <> '' AND seen = 1 AND mark NOT IN ('.', '!', '?') AS truncated, mark = '' OR seen > 1 AS gone,
+         CASE WHEN mark <> '' AND seen = 1 AND mark NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS more FROM counted
+), back AS (
+  SELECT conv_id, n + 1 AS i, 0 AS c0, 10 AS c1, 5 AS c2, 0 AS c3 FROM marked WHERE i = 1
+  UNION ALL
+  SELECT conv_id, i, least(b0, 5 + least(b2, 5 + b3)), least(b1, 5 + least(b2, 5 + b3)), least(b2, 5 + b3), least(b3, 5 + b2) FROM (
+    SELECT m.conv_id, m.i, {_B[0]} AS b0, {_B[1]} AS b1, {_B[2]} AS b2, {_B[3]} AS b3 FROM back b JOIN marked m ON m.conv_id = b.conv_id AND m.i = b.i - 1)
+), walk AS (
+  SELECT conv_id, i, n, 0 AS state, '' AS audit, []::VARCHAR[] AS lines FROM (SELECT conv_id, 1 AS i, n FROM marked WHERE i = 1)
+  UNION ALL
+  SELECT conv_id, CASE edit WHEN 'I' THEN i ELSE i + 1 END, n,
+         CASE WHEN edit = 'D' THEN state WHEN edit = 'K' AND initial = 's' THEN 1 ELSE {_TO} END, audit || edit,
+         CASE edit WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+           ELSE list_append(lines, CASE state WHEN 2 THEN 'assistant' ELSE 'user' END || ':' || CASE edit WHEN 'R' THEN text ELSE '' END) END
+  FROM (
+    SELECT w.conv_id, w.i, w.n, state, audit, lines, role, text, initial,
+           CASE WHEN m.i IS NULL THEN 'I' WHEN {_AT("b")} = 2 + {_AT("a")} THEN 'D' WHEN {_AT("b")} = 5 + {_TO_COST.format("b")} THEN 'I'
+                WHEN NOT gone AND (state = 0 AND initial = 's' AND {_AT("b")} = a.c1 + more OR initial = {_WANTS} AND {_AT("b")} = {_TO_COST.format("a")} + more) THEN 'K' ELSE 'R' END AS edit
+    FROM walk w JOIN back b ON b.conv_id = w.conv_id AND b.i = w.i LEFT JOIN back a ON a.conv_id = w.conv_id AND a.i = w.i + 1
+    LEFT JOIN marked m ON m.conv_id = w.conv_id AND m.i = w.i WHERE w.i <= w.n OR state IN (1, 2))
+), ends AS (SELECT conv_id, audit, sha256(array_to_string(lines, chr(10))) AS hash FROM walk WHERE i > n AND state IN (0, 3)
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+         count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE previous || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(c0, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(hash, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts USING (conv_id) LEFT JOIN ends USING (conv_id) LEFT JOIN back ON back.conv_id = o.conv_id AND back.i = 1
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op2_bm25_topk": BM25_TOPK,
     "op4_license_scan": _license_sql(),
     "op8_line_dedup": LINE_DEDUP,
     "op11_importance_resampling": RESAMPLE,
+    "op13_conversation_repair": CONVERSATION_REPAIR,
 }
