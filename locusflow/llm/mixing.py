@@ -35,7 +35,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_ranges, light, materialise, running_totals, text_of
+from .common import in_ranges, light, materialise, running_totals, spread, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 1 << 16
@@ -128,7 +128,8 @@ def drawn_slots(sources: DataFrame, mix: Mix) -> DataFrame:
     ahead = Window.partitionBy("source_no").orderBy(F.xxhash64("shard"), "shard").rowsBetween(Window.unboundedPreceding, -1)
     runs = counts.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     runs = runs.join(light(settled.select("source_no", "quota", "over_lo")), "source_no")
-    slots = runs.select("shard", "source_no", "quota", "over_lo", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))  # shard_slots at most
+    # a run becomes shard_slots rows at most; runs are dealt anew, so that a source's slots are many tasks' work
+    slots = spread(runs, "shard", "source_no").select("shard", "source_no", "quota", "over_lo", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))  # shard_slots at most
     kept = slots.where("slot < quota").select("shard", "source_no", "slot")
     over = slots.where("slot >= quota").select("shard", (F.col("over_lo") + F.col("slot") - F.col("quota")).alias("nth"))
     lacks = settled.select("source_no", "had", "short", "short_lo", F.col("short_lo").alias("from"))
