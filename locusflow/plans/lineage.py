@@ -1,15 +1,42 @@
-"""Cutting lineage in loops."""
+"""Cutting lineage in loops, and folders for files that all executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import contextlib
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_folders: list[tuple[SparkSession, str]] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share; an unset one is an error off local masters."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (root or "file:///tmp/checkpoints/locusflow").rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, checkpointed into the folder of spark.checkpoint.dir that all executors share."""
-    context, root = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        if not root and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(root or "file:///tmp/checkpoints/locusflow")
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared folder; it is deleted when the interpreter ends."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _folders.append((spark, path))
+    return path
+
+
+@atexit.register
+def _delete_folders() -> None:
+    for spark, path in _folders:
+        with contextlib.suppress(Exception):  # the session may be gone by now; the others are still tried
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,20 +1,18 @@
-"""Alignment files: BAM by binaryFile and Arrow; other formats give a clear error."""
+"""Alignment files: BAM by a splittable data source; other formats give a clear error."""
 
 from __future__ import annotations
 
-import struct
-import zlib
-from collections.abc import Iterator
+import json
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.cigar import OPS
+from .bam import READS_TYPE, BamSource
+from .bgzf import pack_blocks, unpack_blocks
+from .shards import parse_spec
 
-READS_TYPE = "contig string, ref_start long, ref_end long, cigar array<struct<op:string,len:int>>, seq string, bq array<int>, mapq int, flag int, is_rev boolean, tlen int, name string, mate int, hp int, read_ordinal long"
-_BASES = "=ACMGRSVTWYHKDBN"
-_TAG_SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
-_TAG_CODES = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I"}
+__all__ = ["READS_TYPE", "format_of", "pack_blocks", "read_alignments", "unpack_blocks", "write_alignments"]
 
 
 def format_of(path: str) -> str:
@@ -25,106 +23,36 @@ def format_of(path: str) -> str:
     return kind
 
 
-def unpack_blocks(data: bytes) -> bytes:
-    """The bytes of a BGZF (multi-member gzip) file."""
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        if not member.eof:
-            raise ValueError("cut BGZF block")
-        data = member.unused_data
-    return b"".join(out)
+def read_alignments(spark: SparkSession, paths: str | list[str], split_bytes: int = 32 << 20, region: tuple[str, int, int] | None = None) -> DataFrame:
+    """Reads of BAM files, or of the .bam files of folders, in partitions of about split_bytes of a file each.
 
-
-def pack_blocks(data: bytes) -> bytes:
-    """BGZF blocks of data, with the empty block that ends a file."""
-    out = []
-    for at in [*range(0, len(data), 0xFF00), None]:
-        part = b"" if at is None else data[at : at + 0xFF00]
-        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
-        body = packer.compress(part) + packer.flush()
-        head = struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25)
-        out.append(head + body + struct.pack("<II", zlib.crc32(part), len(part)))
-    return b"".join(out)
-
-
-def _tag_int(data: bytes, wanted: str) -> int | None:
-    at = 0
-    while at + 3 <= len(data):
-        name, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if kind in _TAG_SIZES:
-            if name == wanted and kind in _TAG_CODES:
-                return struct.unpack_from(_TAG_CODES[kind], data, at)[0]
-            at += _TAG_SIZES[kind]
-        elif kind in "ZH":
-            at = data.index(0, at) + 1
-        elif kind == "B":
-            sub, n = chr(data[at]), struct.unpack_from("<I", data, at + 1)[0]
-            at += 5 + n * _TAG_SIZES[sub]
-        else:
-            raise ValueError(f"unknown tag type {kind!r}")
-    return None
-
-
-def parse_bam(data: bytes) -> Iterator[dict]:
-    """Rows of READS_TYPE of an unpacked BAM file."""
-    if data[:4] != b"BAM\1":
-        raise ValueError("not a BAM file")
-    at = 8 + struct.unpack_from("<i", data, 4)[0]
-    (n,) = struct.unpack_from("<i", data, at)
-    at, contigs = at + 4, []
-    for _ in range(n):
-        (size,) = struct.unpack_from("<i", data, at)
-        contigs.append(data[at + 4 : at + 3 + size].decode())
-        at += 8 + size
-    ordinal = 0
-    while at < len(data):
-        (size,) = struct.unpack_from("<i", data, at)
-        ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, _, _, tlen = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
-        end, p = at + 4 + size, at + 36
-        name = data[p : p + l_name - 1].decode()
-        p += l_name
-        cigar = [(OPS[v & 15], v >> 4) for v in struct.unpack_from(f"<{n_cigar}I", data, p)]
-        p += 4 * n_cigar
-        packed = data[p : p + (l_seq + 1) // 2]
-        seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:l_seq]
-        p += (l_seq + 1) // 2
-        bq = list(data[p : p + l_seq])
-        hp = _tag_int(data[p + l_seq : end], "HP")
-        span = sum(k for op, k in cigar if op in "M=XDN")
-        yield {
-            "contig": contigs[ref] if ref >= 0 else None, "ref_start": pos, "ref_end": pos + span, "cigar": [{"op": op, "len": k} for op, k in cigar], "seq": seq, "bq": bq, "mapq": mapq, "flag": flag,
-            "is_rev": bool(flag & 16), "tlen": tlen, "name": name, "mate": 1 if flag & 64 else 2, "hp": hp if hp in (1, 2) else 0, "read_ordinal": ordinal,
-        }
-        ordinal += 1
-        at = end
-
-
-def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """Reads of BAM files, without an index; land them as Parquet by contig and bin for repeated use.
-
-    A file is one task: its bytes are unpacked in that task's memory.
+    region: (contig, start, end), half-open; a .bai file beside a file prunes what is read of
+    it. read_ordinal is the record's virtual offset: it grows along a file, and the same
+    record has the same one however the file is cut.
     """
-    if format_of(path) == "cram":
-        raise NotImplementedError("CRAM needs a codec library that is not part of this package; convert to BAM")
-    files = spark.read.format("binaryFile").load(path).select("content")
-    empty = spark.createDataFrame([], READS_TYPE)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(empty.schema)
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                rows: list[dict] = []
-                for row in parse_bam(unpack_blocks(data)):
-                    rows.append(row)
-                    if len(rows) == 4096:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return files.mapInArrow(parse, READS_TYPE)
+    paths = [paths] if isinstance(paths, str) else paths
+    for path in paths:
+        if not path.lower().endswith(".bam") and "." in path.rsplit("/", 1)[-1] and format_of(path) == "cram":
+            raise NotImplementedError("CRAM needs a codec library that is not part of this package; convert to BAM")
+    spark.dataSource.register(BamSource)
+    reader = spark.read.format("locus_bam").option("paths", json.dumps(paths)).option("split_bytes", split_bytes)
+    if region:
+        contig, start, end = region
+        reader = reader.option("contig", contig).option("start", start).option("end", end)
+    return reader.load()
+
+
+def write_alignments(reads: DataFrame, spec: str, contigs: list[tuple[str, int]], block_bytes: int | None = None) -> None:
+    """Reads as N sorted BAM files 'base-00000-of-0000N.bam' with an index each, written by N tasks; spec: 'base@N.bam'.
+
+    Files are ranges of the whole order, and get their names when all of them are written.
+    """
+    spark, (_, shards, _) = reads.sparkSession, parse_spec(spec)
+    spark.dataSource.register(BamSource)
+    place = F.coalesce(F.array_position(F.array(*(F.lit(name) for name, _ in contigs)), F.col("contig")), F.lit(0)).cast("int")
+    last = F.when(place > 0, place).otherwise(len(contigs) + 1)
+    order = [last, F.col("ref_start"), F.col("name"), F.col("mate")]
+    given = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in reads.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(READS_TYPE)]
+    ordered = reads.repartitionByRange(shards, *order).sortWithinPartitions(*order).select(*given)
+    writer = ordered.write.format("locus_bam").mode("append").option("contigs", json.dumps(contigs))
+    (writer.option("block_bytes", block_bytes) if block_bytes else writer).save(spec)

@@ -7,10 +7,9 @@ import io
 import struct
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_MASK_DELTA = 0xA282EAD8
+MASK_DELTA = 0xA282EAD8
 
 
 def _crc_tables(n: int = 8) -> list[list[int]]:
@@ -26,12 +25,12 @@ def _crc_tables(n: int = 8) -> list[list[int]]:
     return tables
 
 
-_TABLES = _crc_tables()
+CRC_TABLES = _crc_tables()
 
 
 def crc32c(data: bytes) -> int:
     """The Castagnoli CRC, eight bytes a step."""
-    c, t, whole = 0xFFFFFFFF, _TABLES, len(data) // 8 * 8
+    c, t, whole = 0xFFFFFFFF, CRC_TABLES, len(data) // 8 * 8
     for lo, hi in struct.iter_unpack("<II", data[:whole]):
         lo ^= c
         c = t[7][lo & 255] ^ t[6][lo >> 8 & 255] ^ t[5][lo >> 16 & 255] ^ t[4][lo >> 24] ^ t[3][hi & 255] ^ t[2][hi >> 8 & 255] ^ t[1][hi >> 16 & 255] ^ t[0][hi >> 24]
@@ -42,7 +41,7 @@ def crc32c(data: bytes) -> int:
 
 def masked_crc(data: bytes) -> int:
     c = crc32c(data)
-    return ((c >> 15 | c << 17) + _MASK_DELTA) & 0xFFFFFFFF
+    return ((c >> 15 | c << 17) + MASK_DELTA) & 0xFFFFFFFF
 
 
 def read_records(stream: io.BufferedIOBase) -> Iterator[bytes]:
@@ -71,35 +70,14 @@ def records_of(data: bytes, gzipped: bool) -> Iterator[bytes]:
 
 
 def read_tfrecords(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, ordinal, payload of all records; .gz files (of any number of members) are unpacked.
+    """path, ordinal, payload of all records; see records.read_record_files."""
+    from .records import read_record_files
 
-    Files are read by Spark's own readers, one task a file, so they may be in any
-    store; a file's bytes are in one task's memory, its records are passed on one by one.
-    """
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows: list[bytes] = []
-                done = 0
-                for payload in records_of(data, path.endswith(".gz")):
-                    rows.append(payload)
-                    if len(rows) == 256:
-                        yield _batch(path, done, rows)
-                        done, rows = done + len(rows), []
-                if rows:
-                    yield _batch(path, done, rows)
-
-    return files.mapInArrow(parse, "path string, ordinal long, payload binary")
-
-
-def _batch(path: str, done: int, rows: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(range(done, done + len(rows)), pa.int64()), pa.array(rows, pa.binary())], names=["path", "ordinal", "payload"])
+    return read_record_files(spark, paths)
 
 
 def write_tfrecords(payloads: list[bytes], path: str) -> None:
-    """One file on the caller's machine, gzipped if it ends in .gz; large results go to Parquet instead."""
+    """One small file on the caller's machine, gzipped if it ends in .gz; records.write_record_files writes tables as shards."""
     with gzip.open(path, "wb") if path.endswith(".gz") else open(path, "wb") as out:
         for p in payloads:
             out.write(frame(p))
@@ -120,8 +98,18 @@ def _field(number: int, data: bytes) -> bytes:
 
 def encode_example(features: dict[str, bytes]) -> bytes:
     """An example message of byte features, ordered by key."""
-    entries = b"".join(_field(1, _field(1, k.encode()) + _field(2, _field(1, _field(1, v)))) for k, v in sorted(features.items()))
-    return _field(1, entries)
+    return encode_features({k: [v] for k, v in features.items()})
+
+
+def encode_features(features: dict[str, list]) -> bytes:
+    """An example message of lists of bytes or of whole numbers, ordered by key."""
+
+    def body(values: list) -> bytes:
+        if values and isinstance(values[0], int):
+            return _field(3, _field(1, b"".join(_varint(v & (1 << 64) - 1) for v in values)))
+        return _field(1, b"".join(_field(1, v) for v in values))
+
+    return _field(1, b"".join(_field(1, _field(1, k.encode()) + _field(2, body(v))) for k, v in sorted(features.items())))
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes]]:
@@ -148,11 +136,42 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def decode_example(payload: bytes) -> dict[str, bytes]:
-    """The byte features of an example message."""
-    out = {}
+    """The byte features of an example message, one value each."""
+    return {k: next(iter(v), b"") for k, v in decode_features(payload).items()}
+
+
+def decode_features(payload: bytes) -> dict[str, list]:
+    """The features of an example message: lists of bytes, or of whole numbers."""
+    out: dict[str, list] = {}
     for _, features in _fields(payload):
         for _, entry in _fields(features):
             parts = dict(_fields(entry))
-            value = next((v for _, v in _fields(parts.get(2, b""))), b"")
-            out[parts[1].decode()] = next((v for _, v in _fields(value)), b"")
+            kind, values = next(_fields(parts.get(2, b"")), (1, b""))
+            if kind not in (1, 3):
+                raise ValueError("a feature is neither of bytes nor of whole numbers")
+            out[parts[1].decode()] = [v for _, v in _fields(values)] if kind == 1 else [n for _, packed in _fields(values) for n in _numbers(packed)]
     return out
+
+
+def _numbers(packed: bytes) -> Iterator[int]:
+    """Signed 64-bit numbers of a packed list."""
+    n = shift = 0
+    for b in packed:
+        n |= (b & 127) << shift
+        shift += 7
+        if b < 128:
+            yield n - (1 << 64) if n >> 63 else n
+            n = shift = 0
+
+
+def output_message(payload: bytes) -> tuple[bytes, list[int], list[float]]:
+    """A model output's variant (as its bytes), alternate indices and probabilities."""
+    variant, indices, probabilities = b"", [], []
+    for number, value in _fields(payload):
+        if number == 1:
+            variant = value
+        elif number == 2:
+            indices = [n for _, packed in _fields(value) for n in _numbers(packed)]
+        elif number == 3:
+            probabilities += struct.unpack(f"<{len(value) // 8}d", value)
+    return variant, indices, probabilities

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vcf_text import VARIANT_KEYS, gvcf_text, header_text, record_text
 from ..operators.genotyping import in_file_order
-from .alignments import pack_blocks
+from .bgzf import pack_blocks
 
 
 def write_parts(records: DataFrame, path: str, contigs: list[tuple[int, str, int]], gvcf: bool = False, keys: tuple[str, ...] = VARIANT_KEYS) -> None:
@@ -31,7 +31,7 @@ def write_file(records: DataFrame, path: str, contigs: list[tuple[int, str, int]
             for row in lines.toLocalIterator():
                 out.write(row.line.encode() + b"\n")
         return
-    index = TabixIndex()
+    index = BinIndex()
     with open(path, "wb") as out:
         out.write(pack_blocks(head)[:-28])
         block: list[bytes] = []
@@ -63,8 +63,12 @@ def write_file(records: DataFrame, path: str, contigs: list[tuple[int, str, int]
         out.write(pack_blocks(index.tobytes()))
 
 
-class TabixIndex:
-    """Bins and 16 kb windows of a sorted VCF's records, by virtual offsets."""
+#: Nested bins: shift of their width and number of the first, from the narrowest.
+BIN_LEVELS = ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1))
+
+
+class BinIndex:
+    """Bins and 16 kb windows of sorted records, by virtual offsets; as a tabix or a BAM index."""
 
     def __init__(self) -> None:
         self.bins: dict[str, dict[int, list[list[int]]]] = {}
@@ -74,7 +78,7 @@ class TabixIndex:
     def bin_of(start: int, end: int) -> int:
         """The smallest of the nested bins that holds [start, end)."""
         last = max(end, start + 1) - 1
-        for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
+        for shift, first in BIN_LEVELS:
             if start >> shift == last >> shift:
                 return first + (start >> shift)
         return 0
@@ -92,15 +96,22 @@ class TabixIndex:
     def tobytes(self) -> bytes:
         names = b"".join(n.encode() + b"\0" for n in self.bins)
         out = [b"TBI\1", struct.pack("<8i", len(self.bins), 2, 1, 2, 0, ord("#"), 0, len(names)), names]
-        for contig, bins in self.bins.items():
-            out.append(struct.pack("<i", len(bins)))
-            for number, chunks in sorted(bins.items()):
-                out.append(struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks))
-            windows, offsets, held = self.windows[contig], [], 0
-            for w in range(max(windows) + 1):
-                held = windows.get(w, held)
-                offsets.append(held)
-            out.append(struct.pack("<i", len(offsets)) + struct.pack(f"<{len(offsets)}Q", *offsets))
+        return b"".join([*out, *map(self._contig, self.bins)])
+
+    def bai(self, contigs: list[str]) -> bytes:
+        """A BAM index, contigs in the order of the header."""
+        return b"".join([b"BAI\1", struct.pack("<i", len(contigs)), *map(self._contig, contigs)])
+
+    def _contig(self, contig: str) -> bytes:
+        bins = self.bins.get(contig, {})
+        out = [struct.pack("<i", len(bins))]
+        for number, chunks in sorted(bins.items()):
+            out.append(struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks))
+        windows, offsets, held = self.windows.get(contig, {}), [], 0
+        for w in range(max(windows, default=-1) + 1):
+            held = windows.get(w, held)
+            offsets.append(held)
+        out.append(struct.pack("<i", len(offsets)) + struct.pack(f"<{len(offsets)}Q", *offsets))
         return b"".join(out)
 
 
