@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genotype, phred
 from ..functions.vcf_text import ANY_ALT
+from ..plans.lineage import cut
 from .intervals import subtract_intervals
 
 ANY_ALT_LIKELIHOOD = -99.0
@@ -125,7 +126,8 @@ def merge_gvcf(called: DataFrame, blocks: DataFrame, reference_bases: DataFrame
     after a variant takes its reference base from reference_bases (contig, pos,
     ref_base) where that has one.
     """
-    keyed = blocks.withColumn("block", F.monotonically_increasing_id()).withColumn("__begin", F.col("start"))
+    # numbers are read twice, so they are fixed first: a retried task may number rows that came by a shuffle otherwise
+    keyed = cut(blocks.withColumn("block", F.monotonically_increasing_id()).withColumn("__begin", F.col("start")))
     rest = subtract_intervals(keyed, called.select("contig", "start", "end"), bin_width)
     if reference_bases is not None:
         named = reference_bases.select(F.col("contig").alias("__c"), F.col("pos").alias("__p"), "ref_base")

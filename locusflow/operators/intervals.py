@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 
 def _binned(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
     first = F.floor(F.col(start) / width)
@@ -46,22 +48,49 @@ def point_join(points: DataFrame, intervals: DataFrame, position: str = "pos", b
     return a.join(b, (F.col("contig") == F.col("r_contig")) & (F.col("__bin") == F.col("__rbin")) & inside).drop("__bin", "__rbin")
 
 
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """df checkpointed in range partitions of the order, their number in a column __part."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+
+
+def numbered_runs(intervals: DataFrame, touching: bool = True) -> DataFrame:
+    """intervals (contig, start, end, ...) with __run: the same number for all that overlap (or touch) each other, directly or not.
+
+    A segmented scan over range partitions: how far the intervals before reach is the greatest
+    end within the partition and, of the partitions before, one row for each contig
+    there; runs are numbered within partitions, and one row a partition shifts the numbers. So a
+    contig is as many tasks' work as it has partitions.
+    """
+    ranged = in_ranges(intervals, "contig", "start", "end")
+    ahead = Window.partitionBy("contig").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ranged.groupBy("contig", "__part").agg(F.max("end").alias("__far"))
+    ends = ends.select(F.col("contig").alias("__contig"), F.col("__part").alias("__of"), F.max("__far").over(ahead).alias("__far"))
+    own = Window.partitionBy("__part", "contig").orderBy("start", "end")
+    met = ranged.join(ends, F.col("contig").eqNullSafe(F.col("__contig")) & (F.col("__part") == F.col("__of"))).drop("__contig", "__of")
+    reach = F.greatest(F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("__far"))
+    apart = F.col("start") > reach if touching else F.col("start") >= reach
+    marked = met.withColumn("__new", F.when(reach.isNull() | apart, 1).otherwise(0)).drop("__far")
+    counts = marked.groupBy("__part").agg(F.sum("__new").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("__part").alias("__of"), before.alias("__before"))  # a row a partition
+    within = Window.partitionBy("__part").orderBy("contig", "start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    done = marked.withColumn("__run", F.sum("__new").over(within)).join(F.broadcast(counts), F.col("__part") == F.col("__of"))
+    return done.withColumn("__run", F.col("__run") + F.col("__before")).drop("__part", "__of", "__before", "__new")
+
+
 def islands(scores: DataFrame, least: Column | int) -> DataFrame:
     """Runs of consecutive positions whose score is least at least: contig, start, end (exclusive), n."""
-    hot = scores.where(F.col("score") >= least)
-    run = F.col("pos") - F.row_number().over(Window.partitionBy("contig").orderBy("pos"))
-    return hot.select("contig", "pos", run.alias("run")).groupBy("contig", "run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.count(F.lit(1)).alias("n")).drop("run")
+    hot = scores.where(F.col("score") >= least).select("contig", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
+    runs = numbered_runs(hot).groupBy("contig", "__run")
+    return runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("__run")
 
 
 def merge_intervals(intervals: DataFrame, pad: int = 0, touching: bool = True) -> DataFrame:
     """Intervals widened by pad (not below 0), overlapping ones as one, and touching ones too."""
     wide = intervals.select("contig", F.greatest(F.col("start") - pad, F.lit(0)).alias("start"), (F.col("end") + pad).alias("end"))
-    order = Window.partitionBy("contig").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.col("start") > reach if touching else F.col("start") >= reach
-    marked = wide.withColumn("new", F.when(reach.isNull() | apart, 1).otherwise(0))
-    grouped = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy("contig", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    # equal intervals are one before they are shuffled
+    return numbered_runs(wide.distinct(), touching).groupBy("contig", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
 
 
 def subtract_intervals(intervals: DataFrame, holes: DataFrame, bin_width: int = 1024, key: str = "block") -> DataFrame:
@@ -70,14 +99,14 @@ def subtract_intervals(intervals: DataFrame, holes: DataFrame, bin_width: int =
     key names each interval uniquely.
     """
     merged = merge_intervals(holes)
-    cut = interval_join(intervals, merged, bin_width)
+    met = interval_join(intervals, merged, bin_width)
     order = Window.partitionBy(key).orderBy("r_start")
     before = F.greatest(F.coalesce(F.lag("r_end").over(order), F.col("start")), F.col("start"))
-    gaps = cut.select(*intervals.columns, before.alias("__from"), F.col("r_start").alias("__to"), F.lead("r_start").over(order).isNull().alias("__last"), F.col("r_end").alias("__after"))
+    gaps = met.select(*intervals.columns, before.alias("__from"), F.col("r_start").alias("__to"), F.lead("r_start").over(order).isNull().alias("__last"), F.col("r_end").alias("__after"))
     pieces = F.array(F.struct(F.col("__from").alias("s"), F.col("__to").alias("e")), F.struct(F.when(F.col("__last"), F.col("__after")).alias("s"), F.col("end").alias("e")))
     rest = gaps.withColumn("__piece", F.explode(pieces)).where("__piece.s < __piece.e")
     names = [F.col("__piece.s").alias("start") if c == "start" else F.col("__piece.e").alias("end") if c == "end" else F.col(c) for c in intervals.columns]
-    whole = interval_join(intervals.where("start < end"), merged, bin_width, how="left_anti")
+    whole = intervals.where("start < end").join(met.select(key).distinct(), key, "left_anti")
     return rest.select(*names).unionByName(whole.select(*intervals.columns))
 
 

@@ -1,8 +1,9 @@
 """Read-backed phasing of candidates, and applying it to calls.
 
 A dynamic programme over pairs of alleles: a pair's score is how many reads carry
-it on from the pair before. It is sequential along a contig, so it runs for each
-region (a bounded stretch between which reads do not reach) in one Python group.
+it on from the pair before. It is sequential along a chain of candidates that reads link, and starts
+anew where none does, so it runs for each such chain (link_regions) in one Python group:
+the result is that of the whole contig, and a group is as long as reads reach.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import numbered_runs
+
 REF = "REF"
 UNCALLED = "UNCALLED_ALLELE"
 MIN_REF_READS, MIN_VOTES = 3, 2
@@ -61,9 +64,15 @@ def usable(candidates: list[Candidate]) -> list[Candidate]:
 
 
 class Phaser:
-    """The programme over one region's candidates, sorted by start."""
+    """The programme over one region's candidates, sorted by start.
+
+    before, after: the contig has candidates to phase before the region, and after it. The last position of
+    a contig isn't begun anew when its scores tell nothing, and the first block isn't marked
+    when positions before it have no best pair; other regions' ends are as in the midst of it.
+    """
 
-    def __init__(self, candidates: list[Candidate]):
+    def __init__(self, candidates: list[Candidate], before: bool = False, after: bool = False):
+        self.before, self.after = before, after
         self.vertices: list[Vertex] = []
         self.at: dict[int, list[int]] = {}
         self.edges: dict[int, dict[int, None]] = {}
@@ -140,7 +149,7 @@ class Phaser:
                     if key not in self.scores or self._better(new, self.scores[key]):
                         self.scores[key] = new
             values = [self.scores[e[1], f[1]].value for e in into for f in into if (e[1], f[1]) in self.scores]
-            if i + 1 < len(self.positions) and (not advanced or not values or max(values) - min(values) <= 1):
+            if (self.after or i + 1 < len(self.positions)) and (not advanced or not values or max(values) - min(values) <= 1):
                 self._begin(here)
         self._trace()
         return self
@@ -175,6 +184,8 @@ class Phaser:
             while pair is None:
                 i -= 1
                 if i < 0:
+                    if self.before and before is not None:
+                        self._mark(before, first=True)
                     return
                 pair = self._top(self.positions[i])
             if before is None:
@@ -229,6 +240,38 @@ def _candidates(group: pd.DataFrame) -> list[Candidate]:
     return out
 
 
+def link_regions(support: DataFrame) -> DataFrame:
+    """support (contig, start, end, allele, read_key, is_low_quality) with region, 'contig:start' of the first candidate of its chain, and before, after: whether the contig has candidates to phase before it and after it.
+
+    A region starts where no read has alleles on both sides and no candidate lies across, so
+    neither a link nor an indel's shadow is cut: what reads span and candidates are merged
+    as intervals, by a segmented scan.
+    """
+    span = [F.min("start").alias("start"), F.max("end").alias("end")]
+    good = ~F.col("is_low_quality")
+    called = F.collect_set(F.when(good & ~F.col("allele").isin(REF, UNCALLED), F.col("allele")))
+    sites = support.groupBy("contig", "start", "end").agg(called.alias("called"), F.count_if(good & (F.col("allele") == REF)).alias("refs"))
+    kept, odd = (F.size("called") > 1) | (F.col("refs") >= MIN_REF_READS), F.exists("called", lambda a: F.length(a) != F.col("end") - F.col("start"))
+    sites = sites.select("contig", "start", "end", F.lit(True).alias("site"), kept.alias("kept"), odd.alias("odd"))
+    reach = support.where(good).groupBy("contig", "read_key").agg(*span).select("contig", "start", "end").distinct()
+    runs = numbered_runs(sites.unionByName(reach.withColumn("site", F.lit(False)), allowMissingColumns=True), touching=False).where("site")
+    # what usable() keeps: a candidate of odd lengths shadows those that end before it does
+    earlier = Window.partitionBy("__run").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    shadow = F.max(F.when(F.col("kept") & F.col("odd"), F.col("end"))).over(earlier)
+    marked = runs.withColumn("phased", F.col("kept") & ~F.col("odd") & ~F.coalesce(F.col("end") <= shadow, F.lit(False)))
+    begins = marked.groupBy("contig", "__run").agg(F.min("start").alias("begin"), F.max("phased").alias("phased"))
+    ends = begins.where("phased").groupBy("contig").agg(F.min("begin").alias("low"), F.max("begin").alias("high")).withColumnRenamed("contig", "__c")
+    begins = begins.join(ends, F.col("contig") == F.col("__c"), "left")
+    region = F.concat_ws(":", "contig", F.col("begin").cast("string")).alias("region")
+    begins = begins.select("__run", region, F.coalesce(F.col("low") < F.col("begin"), F.lit(False)).alias("before"), F.coalesce(F.col("high") > F.col("begin"), F.lit(False)).alias("after"))
+    return support.join(runs.select("contig", "start", "end", "__run").join(begins, "__run").drop("__run"), ["contig", "start", "end"])
+
+
+def _phaser(group: pd.DataFrame) -> Phaser:
+    ends = [bool(group[c].iloc[0]) if c in group else False for c in ("before", "after")]
+    return Phaser(_candidates(group), *ends).run()
+
+
 def phase_regions(support: DataFrame, region: str = "region") -> DataFrame:
     """Phased positions: region, start, phase_1, phase_2, is_first.
 
@@ -238,7 +281,7 @@ def phase_regions(support: DataFrame, region: str = "region") -> DataFrame:
     kind = support.schema[region].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = Phaser(_candidates(group)).run().phased()
+        rows = _phaser(group).phased()
         return pd.DataFrame([(group[region].iloc[0], *r) for r in rows], columns=[region, "start", "phase_1", "phase_2", "is_first"])
 
     return support.groupBy(region).applyInPandas(run, f"{region} {kind}, start long, phase_1 string, phase_2 string, is_first boolean")
@@ -250,7 +293,7 @@ def phase_reads(support: DataFrame, region: str = "region") -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         reads = sorted(set(group["read_key"]))
-        phases = Phaser(_candidates(group)).run().read_phases(reads)
+        phases = _phaser(group).read_phases(reads)
         return pd.DataFrame({region: group[region].iloc[0], "read_key": reads, "phase": phases})
 
     return support.groupBy(region).applyInPandas(run, f"{region} {kind}, read_key string, phase int")

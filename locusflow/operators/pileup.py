@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alleles import DELETION, INSERTION, REFERENCE, SUBSTITUTION
@@ -259,7 +259,11 @@ def window_scores(at: DataFrame, min_support: int = 2, short_insertion_fraction:
     return touched.groupBy("contig", "pos").agg(F.sum("n").alias("score"))
 
 
-def read_keys_in_order(alleles: DataFrame) -> DataFrame:
-    """alleles with each read's previous position and whether this is its first."""
-    order = Window.partitionBy("contig", "read_key").orderBy("pos")
-    return alleles.withColumn("previous_pos", F.lag("pos").over(order)).withColumn("is_first", F.row_number().over(order) == 1)
+def reference_windows(windows: DataFrame, reference: DataFrame) -> DataFrame:
+    """windows (contig, start, end) with bases, the reference's from start to end, however many chunks that are; shorter at a contig's end."""
+    wide = windows.select("contig", "start", "end").distinct().where("start < end")
+    chunked = wide.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / CHUNK), F.floor((F.col("end") - 1) / CHUNK))))
+    lo, hi = F.greatest(F.col("start") - F.col("chunk") * CHUNK, F.lit(0)), F.least(F.col("end") - F.col("chunk") * CHUNK, F.lit(CHUNK))
+    parts = chunked.join(reference, ["contig", "chunk"]).select("contig", "start", "end", "chunk", F.substring(F.col("bases"), (lo + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+    listed = F.sort_array(F.collect_list(F.struct("chunk", "part")))
+    return parts.groupBy("contig", "start", "end").agg(F.array_join(F.transform(listed, lambda x: x["part"]), "").alias("bases"))

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import alleles, cigar, genotype, phred, ranges, vcf_text
 from ..operators import assembly, examples, genotyping, images, inference, intervals, methylation, phasing, pileup, shard_phases, small_model
 from ..operators import channels as ch
+from ..sources import alignments, records
+from ..sources.files import list_files
 from . import fixtures as fx
 from .fixtures import table
+from .lineage import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,6 +59,61 @@ def q_cigar(spark, sf_dir):
     )
 
 
+_FILE_CONTIGS = [(f"chr{c}", 1 << 28) for c in (1, 2, 3)]
+
+
+def _bam_folder(spark, sf_dir):
+    """All reads as four indexed BAM files in the shared folder, and a size that cuts them into about 64 ranges, of 16 KiB at least."""
+    folder = scratch(spark, "bam")
+    alignments.write_alignments(fx.reads(spark, sf_dir), f"{folder}/reads@4.bam", _FILE_CONTIGS)
+    return folder, max(1 << 14, sum(size for _, size in list_files([folder], (".bam",))) // 64)
+
+
+_FILE_COLUMNS = "name, contig, ref_start, ref_end, cigar_text, seq, bq, mapq, flag, is_rev, tlen, mate, hp"
+_FILE_READS_SQL = f"""{fx.READS_SQL}, spelled AS (SELECT rid, string_agg(base, '' ORDER BY k) AS seq, list(q ORDER BY k) AS bq FROM read_bases GROUP BY rid)
+ SELECT {_FILE_COLUMNS} FROM reads JOIN spelled USING (rid)"""
+
+
+def _file_columns(reads):
+    """The flag's bits of strand and mate are columns of their own."""
+    plain = F.col("flag").bitwiseAND(F.lit(4 | 1024)).alias("flag")
+    return reads.withColumn("cigar_text", cigar.format_cigar(F.col("cigar"))).select(*(plain if c == "flag" else c for c in _FILE_COLUMNS.split(", ")))
+
+
+@query(f"WITH {_FILE_READS_SQL}")
+def q_bam_reads(spark, sf_dir):
+    """Reads written as sorted, indexed BAM files and read back in ranges of blocks."""
+    folder, split = _bam_folder(spark, sf_dir)
+    return _file_columns(alignments.read_alignments(spark, folder, split))
+
+
+@query(f"WITH {_FILE_READS_SQL} WHERE contig = 'chr2' AND ref_start < 1500 AND ref_end > 500")
+def q_bam_region(spark, sf_dir):
+    """A region of BAM files, by their indexes."""
+    folder, split = _bam_folder(spark, sf_dir)
+    return _file_columns(alignments.read_alignments(spark, folder, split, ("chr2", 500, 1500)))
+
+
+_OUTPUT_ROW = "mid string, contig string, start long, end long, ref string, alts array<string>, dp long, ad array<long>, vaf array<double>, alt_idx array<int>, probs array<double>"
+
+
+def _record_outputs(spark, sf_dir):
+    """Outputs of two models as shards of record files, the small model's for single alternates, read and united."""
+    folder, made = scratch(spark, "outputs"), fx.outputs(spark, sf_dir)
+    made = made.withColumn("mid", F.when(F.size("alts") == 1, "small").otherwise("cnn"))
+    for mid, shards in (("small", 3), ("cnn", 5)):
+        records.write_record_files(records.encode_rows(made.where(F.col("mid") == mid)), f"{folder}/{mid}@{shards}.tfrecord")
+    return records.decode_rows(records.read_record_files(spark, folder, 1 << 18), _OUTPUT_ROW)
+
+
+@query(f"""WITH raw AS ({fx._OUTPUTS.format(s="varchar", gen="(SELECT unnest([0, 1, 2]) AS i)")})
+ SELECT CASE WHEN multi THEN 'cnn' ELSE 'small' END AS mid, contig, start, e AS "end", ref, CASE WHEN multi THEN [alt1, alt2] ELSE [alt1] END AS alts, (ref_n + n1 + CASE WHEN multi THEN n2 ELSE 0 END)::BIGINT AS dp,
+  CASE WHEN multi THEN [ref_n::BIGINT, n1, n2] ELSE [ref_n::BIGINT, n1] END AS ad, CASE WHEN i = 2 THEN [0, 1] ELSE [i] END AS alt_idx, [w0 / (w0 + w1 + w2), w1 / (w0 + w1 + w2), w2 / (w0 + w1 + w2)] AS probs FROM raw""")
+def q_record_outputs(spark, sf_dir):
+    """Outputs of two models through sharded record files."""
+    return _record_outputs(spark, sf_dir).drop("vaf")
+
+
 @query(f"WITH {fx.FACTS_SQL} SELECT contig, pos, read_key, base, q AS bq FROM aligned")
 def q_aligned_bases(spark, sf_dir):
     """Bases at reference positions."""
@@ -460,16 +518,37 @@ def _support(spark, sf_dir):
 
 @query()
 def q_phased_positions(spark, sf_dir):
-    """X9 to X13, P11, P13, W5, W6, J10, J11, with W4's phase sets; a contig is cut into regions of 400 bases."""
-    support = _support(spark, sf_dir).withColumn("region", F.concat_ws(":", "contig", F.floor(F.col("start") / 400).cast("string")))
-    return phasing.phase_sets(phasing.phase_regions(support))
+    """X9 to X13, P11, P13, W5, W6, J10, J11, with W4's phase sets; regions are chains of candidates that reads link."""
+    return phasing.phase_sets(phasing.phase_regions(phasing.link_regions(_support(spark, sf_dir))))
 
 
 @query()
 def q_phased_reads(spark, sf_dir):
     """Phases of reads."""
-    support = _support(spark, sf_dir).withColumn("region", F.concat_ws(":", "contig", F.floor(F.col("start") / 400).cast("string")))
-    return phasing.phase_reads(support)
+    return phasing.phase_reads(phasing.link_regions(_support(spark, sf_dir)))
+
+
+_SUPPORT_SQL = f"""{fx.CANDIDATES_SQL}, support AS (
+  SELECT s.contig, s.start, s."end", CASE WHEN base = ref THEN 'REF' ELSE base END AS allele, a.read_key
+  FROM cands s JOIN aligned a ON a.contig = s.contig AND a.pos = s.start JOIN reads r ON r.name || '/' || r.mate = a.read_key
+  WHERE length(ref) = 1 AND list_max(list_transform(alts, lambda x: length(x))) = 1 AND r.flag NOT IN (4, 1024) AND (base = ref OR list_contains(alts, base)))"""
+
+
+@query(f"WITH {_SUPPORT_SQL} SELECT contig, start, allele, count(*) AS n, string_agg(read_key, ',' ORDER BY read_key) AS reads FROM support GROUP BY ALL")
+def q_phasing_support(spark, sf_dir):
+    """What phasing starts from, reads by candidate and allele."""
+    listed = F.array_join(F.sort_array(F.collect_list("read_key")), ",")
+    return _support(spark, sf_dir).groupBy("contig", "start", "allele").agg(F.count(F.lit(1)).alias("n"), listed.alias("reads"))
+
+
+@query(f"""WITH {_SUPPORT_SQL}, spans AS (SELECT contig, min(start) AS start, max("end") AS e, false AS site FROM support GROUP BY contig, read_key UNION ALL SELECT DISTINCT contig, start, "end", true FROM support),
+marked AS (SELECT *, CASE WHEN start < max(e) OVER w THEN 0 ELSE 1 END AS fresh FROM spans WINDOW w AS (PARTITION BY contig ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY contig ORDER BY start, e ROWS UNBOUNDED PRECEDING) AS g FROM marked),
+named AS (SELECT contig, start, contig || ':' || min(start) OVER (PARTITION BY contig, g) AS region FROM numbered WHERE site)
+SELECT contig, start, region, count(*) AS n FROM support JOIN named USING (contig, start) GROUP BY ALL""")
+def q_phase_regions(spark, sf_dir):
+    """W5's regions: chains of candidates that reads link, with each candidate's reads."""
+    return phasing.link_regions(_support(spark, sf_dir)).groupBy("contig", "start", "region").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH c AS (SELECT p_partkey AS start, substring('ACGT', 1 + (p_partkey % 4)::INT, 1) AS ref, [substring('CGTA', 1 + (p_partkey % 4)::INT, 1), substring('GTAC', 1 + (p_partkey % 4)::INT, 1)] AS alts, p_partkey % 3 AS kind FROM part),
@@ -556,12 +635,11 @@ def q_pileup_images(spark, sf_dir):
 
 @query()
 def q_assembled(spark, sf_dir):
-    """Variants assembled in windows, added to the candidates."""
+    """Variants assembled in whole merged windows with 50 bases around, added to the candidates."""
     at = _sites(spark, sf_dir)
-    windows = assembly.window_pieces(intervals.merge_intervals(intervals.islands(pileup.window_scores(at), 3)))
-    bases = pileup.with_reference(windows, fx.reference(spark, sf_dir), "start").select("contig", "start", F.expr("substring(ref_after, 1, cast(end - start as int))").alias("bases"))
-    reads = fx.reads(spark, sf_dir).select("contig", F.col("ref_start").alias("start"), F.col("ref_end").alias("end"), "seq", "bq", "mapq", "name")
-    made = assembly.assemble_windows(windows, reads, bases, bin_width=64)
+    windows = intervals.merge_intervals(intervals.islands(pileup.window_scores(at), 3), pad=50)
+    reads = fx.reads(spark, sf_dir).select("contig", F.col("ref_start").alias("start"), F.col("ref_end").alias("end"), "seq", "bq", "mapq")
+    made = assembly.assemble_windows(windows, reads, pileup.reference_windows(windows, fx.reference(spark, sf_dir)), bin_width=64)
     return assembly.add_assembled(pileup.candidates(at).select("contig", "start", "end", "ref", "alts"), made)
 
 

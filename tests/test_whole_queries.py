@@ -43,10 +43,14 @@ def test_every_window_is_assembled(spark):
     for r in fx.reads(spark, DATA).collect():
         reads[r.contig].append(r)
     for contig, positions in hot.items():
-        for start in sorted(p for p in positions if p - 1 not in positions):
-            end = next(p for p in range(start, max(positions) + 2) if p not in positions)
-            assert end - start <= 60  # longer ones are tested below
-            lo, hi = max(start - 30, 0), end + 30
+        windows = []
+        for p in sorted(positions):
+            lo, hi = max(p - 50, 0), p + 51
+            if windows and lo <= windows[-1][1]:
+                windows[-1][1] = hi
+            else:
+                windows.append([lo, hi])
+        for lo, hi in windows:
             own = sorted((r for r in reads[contig] if r.ref_start < hi and lo < r.ref_end), key=lambda r: (r.ref_start, r.name))
             window = bases[contig][lo:hi]
             graph = assembly.build_graph(window, [(r.seq, list(r.bq), r.mapq) for r in own])
@@ -59,7 +63,7 @@ def test_every_window_is_assembled(spark):
     assert sorted(got) == sorted(known + fresh)
 
 
-def test_long_windows_are_assembled_in_pieces(spark):
+def test_long_windows_are_assembled_whole(spark):
     rng = random.Random(3)
     ref = "".join(rng.choices("ACGT", k=600))
     places = [110, 165, 220, 275, 330, 385]
@@ -69,10 +73,8 @@ def test_long_windows_are_assembled_in_pieces(spark):
     alt = "".join(alt)
     rows = [("c", s, s + 60, text[s : s + 60], [30] * 60, 60, f"{k}{n}{s}") for k, text in enumerate((ref, alt)) for n in range(2) for s in range(0, 541, 5)]
     reads = spark.createDataFrame(rows, "contig string, start long, end long, seq string, bq array<int>, mapq int, name string")
-    windows = assembly.window_pieces(spark.createDataFrame([("c", 100, 400), ("c", 450, 480)], "contig string, start long, end long"))
-    pieces = sorted((r.start, r.end) for r in windows.collect())
-    assert pieces[0][0] == 70 and pieces[-2][1] == 430 and pieces[-1] == (420, 510) and all(hi - lo <= 120 for lo, hi in pieces)
-    texts = spark.createDataFrame([("c", lo, ref[lo:hi]) for lo, hi in pieces], "contig string, start long, bases string")
+    windows = spark.createDataFrame([("c", 50, 450)], "contig string, start long, end long")
+    texts = spark.createDataFrame([("c", 50, 450, ref[50:450])], "contig string, start long, end long, bases string")
     made = assembly.assemble_windows(windows, reads, texts, bin_width=64)
     assert sorted((r.start, r.ref, tuple(r.alts)) for r in made.collect()) == [(p, ref[p], (alt[p],)) for p in places]
 
