@@ -202,12 +202,8 @@ def total_alleles(at: DataFrame, span: int = 1) -> DataFrame:
     return at.groupBy("contig", start).agg(F.sum(_added(F.col("alleles"))).alias("n"))
 
 
-def candidates(at: DataFrame, options: CallerOptions = CallerOptions()) -> DataFrame:
-    """Candidate variants: contig, start, end, ref, alts, dp, ad, vaf.
-
-    Depth leaves out matching bases of low quality. With a deletion the reference
-    is its first base and N for the rest, and alternates are alleles as counted.
-    """
+def _kept_alleles(at: DataFrame, options: CallerOptions) -> DataFrame:
+    """Sites with an allele that counts for a candidate, in kept, and dp, the depth without matching bases of low quality."""
     deep = at.withColumn("dp", (F.col("ref_count") + _added(F.col("alleles"))).cast("int")).where("dp > 0")
 
     def passes(a: Column) -> Column:
@@ -216,7 +212,22 @@ def candidates(at: DataFrame, options: CallerOptions = CallerOptions()) -> DataF
         indel = a["type"].isin(INSERTION, DELETION) & (a["n"] >= options.min_count_indels) & (share >= options.min_fraction_indels)
         return snp | indel
 
-    found = deep.withColumn("kept", F.filter("alleles", passes)).where(F.size("kept") > 0)
+    return deep.withColumn("kept", F.filter("alleles", passes)).where(F.size("kept") > 0)
+
+
+def candidate_alleles(at: DataFrame, options: CallerOptions = CallerOptions()) -> DataFrame:
+    """The alternates of candidates one by one: contig, start, alt_index, type, bases, n, dp."""
+    kept = _kept_alleles(at, options).select("contig", F.col("pos").alias("start"), "dp", F.posexplode("kept").alias("alt_index", "a"))
+    return kept.select("contig", "start", "alt_index", "a.type", "a.bases", "a.n", "dp")
+
+
+def candidates(at: DataFrame, options: CallerOptions = CallerOptions()) -> DataFrame:
+    """Candidate variants: contig, start, end, ref, alts, dp, ad, vaf.
+
+    Depth leaves out matching bases of low quality. With a deletion the reference
+    is its first base and N for the rest, and alternates are alleles as counted.
+    """
+    found = _kept_alleles(at, options)
     deletions = F.transform(F.filter("kept", lambda a: a["type"] == DELETION), lambda a: F.length(a["bases"]))
     found = found.withColumn("ref_len", F.coalesce(F.array_max(deletions), F.lit(1)))
     return found.select(

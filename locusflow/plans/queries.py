@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alleles, cigar, genotype, phred, ranges, vcf_text
-from ..operators import assembly, examples, genotyping, images, inference, intervals, methylation, phasing, pileup, shard_phases, small_model
+from ..operators import alt_aligned, assembly, examples, genotyping, images, inference, intervals, methylation, phasing, pileup, shard_phases, small_model
 from ..operators import channels as ch
 from ..sources import alignments, records
 from ..sources.files import list_files
@@ -410,6 +410,39 @@ def q_pileup_pixels(spark, sf_dir):
     )
 
 
+_ALT_SQL = f"""{fx.CANDIDATES_SQL}, haps AS (
+  SELECT contig, c, pos AS start, row_number() OVER (PARTITION BY contig, pos ORDER BY type, bases, n) - 1 AS alt_index, CASE WHEN type = 4 THEN length(bases) ELSE 1 END AS taken,
+         CASE WHEN type = 4 THEN substring(bases, 1, 1) ELSE bases END AS placed, greatest(pos - 5, 0) AS lo, pos + 6 AS hi FROM passing),
+own AS (SELECT contig, pos, read_key, base, 0 AS nth, 0 AS m FROM aligned UNION ALL SELECT contig, ref_start + 7, name || '/' || mate, base, k - 7, 2 FROM read_bases WHERE cigar_text = '8M2I10M' AND k IN (8, 9) AND mapq >= 10),
+met AS (SELECT h.*, o.read_key, o.base, CASE WHEN nth > 0 THEN CASE WHEN pos = start AND m = length(placed) - taken THEN pos + nth END
+   WHEN pos < start THEN pos WHEN pos - start >= taken THEN pos + length(placed) - taken WHEN pos - start < length(placed) THEN pos END - lo AS col
+ FROM haps h JOIN own o ON o.contig = h.contig AND o.pos >= h.lo AND o.pos < h.hi),
+lifted AS (SELECT *, CASE WHEN lo + col < start THEN {fx.base('c', 'lo + col')} WHEN lo + col < start + length(placed) THEN substring(placed, (lo + col - start + 1)::INT, 1)
+   ELSE {fx.base('c', 'lo + col - length(placed) + taken')} END AS hap_base FROM met WHERE col IS NOT NULL AND col < hi - lo + length(placed) - taken AND lo + 0 <= start AND hi - start >= taken)"""
+
+
+@query(f"""WITH {_ALT_SQL} SELECT contig, start, alt_index::INT AS alt_index, col, count(*) AS n, sum(CASE base WHEN 'A' THEN 250 WHEN 'G' THEN 180 WHEN 'T' THEN 100 WHEN 'C' THEN 30 ELSE 0 END)::BIGINT AS base_pixels,
+ sum(CASE WHEN base = hap_base THEN 50 ELSE 254 END)::BIGINT AS differs_pixels FROM lifted GROUP BY ALL""")
+def q_alt_aligned_pixels(spark, sf_dir):
+    """Channels 9, 10, 20, 21 over reads lifted to each alternate's haplotype, added up by column."""
+    haps = alt_aligned.allele_haplotypes(pileup.candidate_alleles(_sites(spark, sf_dir)), fx.reference(spark, sf_dir), 5)
+    at = alt_aligned.pixels(alt_aligned.lifted(fx.reads(spark, sf_dir).where("mapq >= 10"), haps, bin_width=64))
+    return at.groupBy("contig", "start", "alt_index", "col").agg(F.count(F.lit(1)).alias("n"), F.sum("base_pixel").alias("base_pixels"), F.sum("differs_pixel").alias("differs_pixels"))
+
+
+@query()
+def q_alt_aligned_images(spark, sf_dir):
+    """Images of reads aligned anew to each alternate's haplotype, channels 20 and 9, by digest."""
+    opts = images.ImageOptions(width=41, height=30, channels=(20, 9))
+    haps = alt_aligned.allele_haplotypes(pileup.candidate_alleles(_sites(spark, sf_dir)), fx.reference(spark, sf_dir), 20)
+    c = F.col
+    reads = fx.reads(spark, sf_dir).where("mapq >= 10").select(
+        "contig", c("ref_start").alias("start"), c("ref_end").alias("end"), "cigar", "seq", "bq", "mapq", "is_rev", "tlen", "hp", "name", "mate", c("rid").alias("ordinal"), F.lit(True).alias("supports"), (c("mate") - 1).alias("number")
+    )
+    drawn = images.render(alt_aligned.realigned_rows(reads, haps, opts.width, bin_width=64), opts)
+    return drawn.select("candidate", F.sha2("image", 256).alias("digest"))
+
+
 @query(f"""WITH {fx.READS_SQL}, marked AS (SELECT rid, k, base, CASE WHEN base = lag(base) OVER w THEN 0 ELSE 1 END AS fresh FROM read_bases WINDOW w AS (PARTITION BY rid ORDER BY k)),
  runs AS (SELECT rid, k, sum(fresh) OVER (PARTITION BY rid ORDER BY k) AS run FROM marked), w AS (SELECT rid, k, count(*) OVER (PARTITION BY rid, run) AS n FROM runs)
  SELECT 'r' || rid AS name, list(n::INT ORDER BY k) AS weights, list(CASE WHEN n >= 3 THEN 254 ELSE 0 END ORDER BY k) AS runs, list({_SCALE('n', 30)} ORDER BY k) AS weighted FROM w GROUP BY rid""")
@@ -616,23 +649,42 @@ def q_haplotypes(spark, sf_dir):
     )
 
 
-@query()
-def q_pileup_images(spark, sf_dir):
-    """Images of candidates, by digest."""
-    opts = images.ImageOptions(width=41, height=30)
+def _image_rows(spark, sf_dir, opts):
+    """Candidates' windows and the reads within five bases, the rows of render."""
     cands = pileup.candidates(_sites(spark, sf_dir)).select("contig", "start", (F.col("start") - 20).alias("image_start")).where("image_start >= 0")
     reads = fx.reads(spark, sf_dir).where("mapq >= 10").select("contig", F.col("ref_start").alias("start"), F.col("ref_end").alias("end"), "cigar", "seq", "bq", "mapq", "is_rev", "tlen", "hp", "name", "mate", "rid")
     near = intervals.interval_join(cands.withColumn("end", F.col("start") + 1), reads, bin_width=64, buffer=5)
     windows = pileup.with_reference(cands, fx.reference(spark, sf_dir), "image_start").select(F.col("contig").alias("w_contig"), F.col("start").alias("w_start"), F.substring("ref_after", 1, opts.width).alias("bases"))
     joined = near.join(windows, (F.col("contig") == F.col("w_contig")) & (F.col("start") == F.col("w_start")))
-    rows = joined.select(
+    return joined.select(
         F.concat_ws(":", "contig", F.col("start").cast("string")).alias("candidate"), "image_start", "bases", F.col("start").alias("variant_pos"), F.col("r_rid").alias("ordinal"), F.col("r_start").alias("ref_start"), F.col("r_cigar").alias("cigar"), F.col("r_seq").alias("seq"),
         F.col("r_bq").alias("bq"), F.col("r_mapq").alias("mapq"), F.col("r_is_rev").alias("is_rev"), (F.col("r_rid") % 2 == 0).alias("supports"), F.col("r_tlen").alias("tlen"), F.col("r_hp").alias("hp"), F.col("r_name").alias("name"), (F.col("r_mate") - 1).alias("number"),
     )
-    drawn = images.render(rows, opts)
+
+
+@query()
+def q_pileup_images(spark, sf_dir):
+    """Images of candidates, by digest."""
+    opts = images.ImageOptions(width=41, height=30)
+    drawn = images.render(_image_rows(spark, sf_dir, opts), opts)
     return drawn.select("candidate", F.length("image").alias("n_bytes"), F.sha2("image", 256).alias("digest"))
 
 
+#: What the generator picks of n reads for 25 rows, for the numbers that occur.
+_PICKS_SQL = ", ".join(f"({n}, {i}, {place})" for n in range(26, 161) for place, i in enumerate(images.shuffled(n, 42)[:25]))
+
+
+@query(f"""WITH {fx.CANDIDATES_SQL}, picks(n, i, place) AS (VALUES {_PICKS_SQL}),
+near AS (SELECT k.contig || ':' || k.start AS candidate, r.* FROM cands k JOIN reads r ON r.contig = k.contig AND r.ref_start < k.start + 6 AND k.start - 5 < r.ref_end WHERE r.mapq >= 10 AND k.start >= 20),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY candidate) AS n, row_number() OVER (PARTITION BY candidate ORDER BY rid) - 1 AS i FROM near),
+chosen AS (SELECT r.*, coalesce(p.place, r.i) AS place FROM ranked r LEFT JOIN picks p ON p.n = r.n AND p.i = r.i WHERE r.n <= 25 OR p.n IS NOT NULL)
+SELECT candidate, name, place::INT AS place, (row_number() OVER (PARTITION BY candidate ORDER BY hp, ref_start, name, mate, place) - 1)::INT AS "row" FROM chosen""")
+def q_image_rows(spark, sf_dir):
+    """The reads that images have room for, and their rows."""
+    chosen = images.chosen_rows(_image_rows(spark, sf_dir, images.ImageOptions(width=41, height=30)).where("length(bases) = 41"), 25)
+    return images.row_order(chosen).select("candidate", "name", "place", "row")
+
+
 @query()
 def q_assembled(spark, sf_dir):
     """Variants assembled in whole merged windows with 50 bases around, added to the candidates."""
