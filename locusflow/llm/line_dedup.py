@@ -7,16 +7,19 @@ whose key may have been seen twice. Only those suspected lines shuffle: an exact
 count by the key itself confirms them and picks the surviving document. Filters
 have no false negatives, so a fuller filter costs time and never changes a result.
 
+Texts are handled as UTF-8 bytes, whose lower() changes A-Z alone.
+
 Defined cases: a null or empty text is one empty line; rows that share a doc_id
 count as one document, rows without one as a document each, and rows that share
 the surviving doc_id all keep their lines; a null doc_id is lower than any other, and if all holders have a null
-doc_id nothing is dropped; an empty table gives an empty table.
+doc_id nothing is dropped; rows without a doc_id find their dropped lines by their text's MD5, so they are no
+group of their own; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, text_of
+from .common import materialise, portions, text_of
 
 STRIP = " \t\n\x0b\x0c\r"
+_STRIP = STRIP.encode()
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _BLOCK_BYTES = 1 << 15
 _PROBES = 4
@@ -39,17 +43,22 @@ def line_key(line: str) -> str:
     return line.strip(STRIP).translate(_LOWER) if not line.islower() else line.strip(STRIP)
 
 
-def _keys(text: str | None, min_chars: int) -> set[str]:
+def _keys(text: bytes | None, min_chars: int) -> set[bytes]:
     keys = set()
-    for line in (text or "").split("\n"):
-        if len(line) >= min_chars and len(key := line_key(line)) >= min_chars:
-            keys.add(key)
+    for line in (text or b"").lower().split(b"\n"):
+        if len(line) >= min_chars:
+            key = line.strip(_STRIP)
+            if len(key) >= min_chars and (key.isascii() or len(key.decode("utf-8", "surrogatepass")) >= min_chars):
+                keys.add(key)
     return keys
 
 
-def _hashes(keys) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(k.encode("utf-8", "surrogatepass")) for k in keys), np.uint64)
+def _hashes(keys: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64)
+
+
+def _texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
+    return batch.column(column).cast(pa.binary()).to_pylist()
 
 
 def _positions(hashes: np.ndarray, log2_bits: int) -> np.ndarray:
@@ -80,9 +89,9 @@ def twice_seen(docs: DataFrame, min_chars: int, log2_bits: int) -> np.ndarray:
         once = np.zeros((1 << log2_bits) // 8, np.uint8)
         twice = np.zeros_like(once)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                pending: list[str] = []
-                for text in batch.column(0).slice(at, 512).to_pylist():
+            for part in portions(batch, 0, 512):
+                pending: list[bytes] = []
+                for text in _texts(part, 0):
                     pending.extend(_keys(text, min_chars))
                 hashes, times = np.unique(_hashes(pending), return_counts=True)
                 pos = _positions(hashes, log2_bits)
@@ -148,24 +157,25 @@ def line_dedup(
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, keys = [], []
-                for doc_id, doc in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for part in portions(batch, 2, 512):
+                rows, keys = [], []
+                for i, doc in enumerate(_texts(part, 2)):
                     own = _keys(doc, min_chars)
                     keys.extend(own)
-                    ids.extend([doc_id] * len(own))
+                    rows.extend([i] * len(own))
                 hit = np.flatnonzero(_has(bits, _positions(_hashes(keys), log2_bits))) if keys else []
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in hit], pa.int64()), pa.array([keys[i] for i in hit], pa.string())], names=["doc_id", "key"])
+                of = pa.array([rows[i] for i in hit], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array([keys[i] for i in hit], pa.string())], names=["doc_id", "digest", "key"])
 
-    ids = docs.select(F.col("doc_id").cast("long"), "text")
-    lines = materialise(ids.mapInArrow(suspected, "doc_id long, key string"), "line-dedup")
+    digest = F.when(F.col("doc_id").isNull(), F.md5("text"))
+    ids = docs.select(F.col("doc_id").cast("long"), digest.alias("digest"), "text")
+    lines = materialise(ids.mapInArrow(suspected, "doc_id long, digest string, key string"), "line-dedup")
     # holders are counted by doc_id; a row without one is a document of its own
     by_key = lines.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("rows")).groupBy("key")
     holders = F.count("doc_id") + F.sum(F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(0))
     repeated = materialise(by_key.agg(holders.alias("holders"), F.max("doc_id").alias("keeper")).where(F.col("holders") >= min_docs).drop("holders"), "line-dedup-repeated")
     drops = lines.join(repeated, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    drops = drops.groupBy(F.col("doc_id").alias("__lf_id")).agg(F.collect_set("key").alias("__lf_keys"))
+    drops = drops.groupBy(F.col("doc_id").alias("__lf_id"), F.col("digest").alias("__lf_digest")).agg(F.collect_set("key").alias("__lf_keys"))
 
     result = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
@@ -173,16 +183,18 @@ def line_dedup(
     def rebuild(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
         out = []
         for doc, gone in zip(texts, keys, strict=True):
-            parts = (doc or "").split("\n")
+            doc = doc or ""
             if gone is None or len(gone) == 0:
-                out.append((doc or "", len(parts), 0))
+                out.append((doc, doc.count("\n") + 1, 0))
                 continue
-            gone = set(gone)
-            kept = [x for x in parts if line_key(x) not in gone]
+            gone = {k.encode("utf-8", "surrogatepass") for k in gone}
+            parts, lowered = doc.split("\n"), doc.encode("utf-8", "surrogatepass").lower().split(b"\n")
+            kept = [x for x, k in zip(parts, lowered, strict=True) if k.strip(_STRIP) not in gone]
             out.append(("\n".join(kept), len(parts), len(parts) - len(kept)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
-    joined = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__lf_id")), "left")
+    same_row = F.col("doc_id").cast("long").eqNullSafe(F.col("__lf_id")) & digest.eqNullSafe(F.col("__lf_digest"))
+    joined = docs.join(drops.hint("shuffle_hash"), same_row, "left")
     done = joined.withColumn("__lf", rebuild("text", "__lf_keys"))
     same = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     columns = [F.col("__lf.text").alias("text") if c == "text" else F.col(c) for c in same]
