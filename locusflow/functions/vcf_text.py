@@ -72,7 +72,7 @@ def _or_dot(x: Column) -> Column:
 
 
 def call_field(key: str, columns: set[str]) -> Column:
-    """The text of a call's field from the columns gt, phased, gq, dp, ad, vaf, mid, pl, gl, ps, min_dp, med_dp, mf, md, mt, mi."""
+    """The text of a call's field from the columns gt, phased, gq, dp, ad, vaf, mid, pl, gl, ps, min_dp, med_dp, mf, md, nad, naf, mt, mi."""
     name = key.lower()
     if key == "GT":
         return genotype_text(F.col("gt"), F.coalesce(F.col("phased"), F.lit(False)) if "phased" in columns else F.lit(False))
@@ -82,9 +82,9 @@ def call_field(key: str, columns: set[str]) -> Column:
         return list_text(F.coalesce(kept, derived))
     if name not in columns:
         return F.lit(".")
-    if key in ("AD", "MD"):
+    if key in ("AD", "MD", "NAD"):
         return list_text(F.col(name))
-    if key in ("VAF", "MF"):
+    if key in ("VAF", "MF", "NAF"):
         return list_text(F.col(name), floats=True)
     return _or_dot(F.col(name)) if key in ("GQ", "DP", "MIN_DP", "MED_DP", "PS", "MT", "MI", "MID") else F.lit(".")
 

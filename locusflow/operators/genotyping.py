@@ -10,8 +10,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..functions import genotype, phred
+from ..functions.fields import pruned, reindexed
 from ..functions.vcf_text import ANY_ALT
 from ..plans.lineage import cut
 from .intervals import subtract_intervals
@@ -34,6 +36,8 @@ def sort_outputs(outputs: DataFrame) -> DataFrame:
 
 def group_outputs(outputs: DataFrame) -> DataFrame:
     """One row per (contig, start, end): its outputs in order. The first one's variant stands for all."""
+    # maps have no order, so they are lists of entries here
+    outputs = outputs.withColumns({f.name: F.map_entries(f.name) for f in outputs.schema if isinstance(f.dataType, MapType)})
     rest = [c for c in outputs.columns if c not in ("contig", "start", "end")]
     row = F.struct(F.col("ref").alias("k1"), F.array_sort("alts").alias("k2"), F.array_sort("alt_idx").alias("k3"), *(F.col(c) for c in rest if c != "ref"), F.col("ref"))
     return outputs.groupBy("contig", "start", "end").agg(F.sort_array(F.collect_list(row)).alias("outputs"))
@@ -53,8 +57,9 @@ def removed_alts(outputs: Column, min_quality: float, digits: int = 7) -> Column
 
 
 def fuse_outputs(grouped: DataFrame, options: CallOptions = CallOptions()) -> DataFrame:
-    """One variant per group with probs over its genotypes: contig, start, end, ref, alts, dp, ad, vaf, probs.
+    """One variant per group with probs over its genotypes: contig, start, end, ref, alts, dp, ad, vaf, probs, and info where outputs have it.
 
+    info is a map of list fields; those that go by alleles lose the values of pruned alternates, as ad and vaf do.
     A lone output is passed on. Several are fused: a genotype's probability is
     the product over outputs of the probability of how many of its alleles are
     among the output's alternates, normalised over genotypes (uniform if all
@@ -63,7 +68,8 @@ def fuse_outputs(grouped: DataFrame, options: CallOptions = CallOptions()) -> Da
     g = grouped.withColumn("v", F.col("outputs")[0]).withColumn("gone", F.when(F.size("outputs") > 1, removed_alts(F.col("outputs"), options.min_alt_quality, options.quality_digits)).otherwise(F.array().cast("array<string>")))
     kept = lambda a: ~F.array_contains(F.col("gone"), a)
     at = lambda i: F.get(F.col("v.alts"), i)
-    g = g.withColumn("alts", F.filter("v.alts", kept)).withColumn("ad", F.filter("v.ad", lambda x, i: (i == 0) | kept(at(i - 1)))).withColumn("vaf", F.filter("v.vaf", lambda x, i: kept(at(i))))
+    g = g.withColumn("keep", F.transform("v.alts", kept)).withColumn("alts", F.filter("v.alts", kept)).withColumn("ad", reindexed(F.col("v.ad"), F.col("keep"), "R")).withColumn("vaf", reindexed(F.col("v.vaf"), F.col("keep"), "A"))
+    info = [pruned(F.map_from_entries("v.info"), F.col("keep")).alias("info")] if "info" in g.schema["v"].dataType.fieldNames() else []
     used = F.transform("outputs", lambda o: F.struct(F.filter(F.transform(o["alt_idx"], at), lambda a: a.isNotNull()).alias("subset"), o["probs"].alias("p")))
     g = g.withColumn("used", F.filter(used, lambda e: ~F.exists(e["subset"], lambda a: F.array_contains(F.col("gone"), a))))
     g = g.withColumn("names", F.concat(F.array("v.ref"), "alts")).withColumn("order", genotype.genotype_order(F.size("alts")))
@@ -74,7 +80,7 @@ def fuse_outputs(grouped: DataFrame, options: CallOptions = CallOptions()) -> Da
 
     g = g.withColumn("fused", F.transform("order", product)).withColumn("total", F.aggregate("fused", F.lit(0.0), lambda t, x: t + x))
     normal = F.transform("fused", lambda x: F.when(F.col("total") > 0, x / F.col("total")).otherwise(1.0 / F.size("fused")))
-    return g.select("contig", "start", "end", "v.ref", "alts", "v.dp", "ad", "vaf", F.when(F.size("outputs") == 1, F.col("v.probs")).otherwise(normal).alias("probs"))
+    return g.select("contig", "start", "end", "v.ref", "alts", "v.dp", "ad", "vaf", *info, F.when(F.size("outputs") == 1, F.col("v.probs")).otherwise(normal).alias("probs"))
 
 
 def ad_sum(ad: Column) -> Column:

@@ -6,7 +6,7 @@ phases: read, phase (0, 1 or 2).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.phred import normal_cdf
@@ -20,6 +20,13 @@ def known_levels(levels: DataFrame) -> DataFrame:
     return levels.where("level > 0").select("site", "read", (F.col("level") / 255.0).alias("m"))
 
 
+def is_methylated(level: Column, threshold: Column | float, enabled: bool = True) -> Column:
+    """Whether a level of 0 to 255 is above a threshold as a share; no data and 0 are not."""
+    if not enabled:
+        return F.lit(False)
+    return F.coalesce((level > 0) & (level / 255.0 > threshold), F.lit(False))
+
+
 def rank_sums(values: DataFrame) -> DataFrame:
     """site, p: the two-sided rank-sum test of m between groups (1 and 2), average ranks for ties; -1 if a group is empty."""
     ties = Window.partitionBy("site", "m")

@@ -337,6 +337,17 @@ def apply_phasing(called: DataFrame, phased: DataFrame, resolve_ref: bool = Fals
     return done.drop("__c", "__s", "__ps", "__gt", "phase_1", "phase_2")
 
 
+def allele_type_counts(support: DataFrame) -> DataFrame:
+    """Per candidate (contig, start, end): n_substitutions and n_indels, different alleles of its length and of others, and substitution_depth, the reads of the former.
+
+    support: contig, start, end, allele, read_key; the reference and uncalled alleles don't count.
+    """
+    named = support.where(~F.col("allele").isin(REF, UNCALLED)).groupBy("contig", "start", "end", "allele").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.length("allele") == F.col("end") - F.col("start")
+    counts = named.groupBy("contig", "start", "end").agg(F.count_if(whole).alias("n_substitutions"), F.count_if(~whole).alias("n_indels"), F.sum(F.when(whole, F.col("n")).otherwise(0)).alias("substitution_depth"))
+    return support.select("contig", "start", "end").distinct().join(counts, ["contig", "start", "end"], "left").na.fill(0, ["n_substitutions", "n_indels", "substitution_depth"])
+
+
 def phasing_support(variants: DataFrame, bases: DataFrame) -> DataFrame:
     """Which allele reads support at phasable variants: contig, start, end, allele, read_key, is_low_quality.
 

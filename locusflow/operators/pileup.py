@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alleles import DELETION, INSERTION, REFERENCE, SUBSTITUTION
 from ..functions.cigar import OPS, with_offsets
+from ..plans.lineage import light
 
 CHUNK = 1000
 
@@ -65,6 +66,27 @@ def aligned_bases(reads: DataFrame) -> DataFrame:
     return at.select("contig", (F.col("ref_start") + F.col("ref_off") + F.col("k")).alias("pos"), "read_key", F.upper(F.expr("substring(seq, read_off + k + 1, 1)")).alias("base"), F.expr("bq[read_off + k]").alias("bq"), "idx", "mapq", "is_rev")
 
 
+def bases_at(sites: DataFrame, reads: DataFrame, width: int = 64) -> DataFrame:
+    """Reads' aligned bases at sites (contig, pos): contig, pos, base, bq, mapq, is_rev.
+
+    Sites come first: a CIGAR unit is cut into pieces of bins, of which only those with a site go on, and a
+    piece gives its base when it has met the site. Bins are filtered before the shuffle if the sites' bins are few enough
+    to be sent to all executors, so what moves follows the sites and not the bases.
+    """
+    wanted = sites.select("contig", "pos").distinct().withColumn("bin", F.floor(F.col("pos") / width))
+    units = aligned_units(reads).where(F.col("op").isin("M", "=", "X") & (F.col("len") > 0)).withColumn("at", F.col("ref_start") + F.col("ref_off"))
+    last = F.floor((F.col("at") + F.col("len") - 1) / width)
+    binned = units.withColumn("bin", F.explode(F.sequence(F.floor(F.col("at") / width), last)))
+    near = binned.join(light(wanted.select("contig", "bin").distinct()), ["contig", "bin"], "left_semi")
+    lo = F.greatest(F.col("bin") * width, F.col("at"))
+    n = (F.least((F.col("bin") + 1) * width, F.col("at") + F.col("len")) - lo).cast("int")
+    first = (F.col("read_off") + lo - F.col("at") + 1).cast("int")
+    pieces = near.select("contig", "bin", lo.alias("lo"), F.upper(F.substring(F.col("seq"), first, n)).alias("own"), F.slice("bq", first, n).alias("quals"), "mapq", "is_rev")
+    inside = (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("lo") + F.length("own"))
+    met = wanted.join(pieces, ["contig", "bin"]).where(inside).withColumn("k", (F.col("pos") - F.col("lo")).cast("int"))
+    return met.select("contig", "pos", F.substring(F.col("own"), F.col("k") + 1, F.lit(1)).alias("base"), F.get("quals", F.col("k")).alias("bq"), "mapq", "is_rev")
+
+
 def with_reference(facts: DataFrame, reference: DataFrame, position: str = "pos") -> DataFrame:
     """facts with ref_base, and ref_after: the reference from there on, a chunk at least where the contig has it."""
     chunked = facts.withColumn("chunk", F.floor(F.col(position) / CHUNK))

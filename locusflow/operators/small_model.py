@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genotype, phred
-from .pileup import aligned_bases, vaf_context
+from .pileup import bases_at, vaf_context
 
 WINDOW = 51
 
@@ -14,10 +14,10 @@ WINDOW = 51
 def classify_reads(sites: DataFrame, reads: DataFrame) -> DataFrame:
     """Per site (contig, start, ref, alt): counts and means of reads with the reference's and the alternate's first base.
 
-    Reads with another base count in the depth alone. An equi-join on position.
+    Reads with another base count in the depth alone. Only bases at sites are taken from the reads (bases_at).
     """
     first = lambda c: F.upper(F.substring(c, 1, 1))
-    bases = aligned_bases(reads).select(F.col("contig").alias("b_contig"), F.col("pos").alias("b_pos"), "base", "bq", "mapq", "is_rev")
+    bases = bases_at(sites.select("contig", F.col("start").alias("pos")), reads).select(F.col("contig").alias("b_contig"), F.col("pos").alias("b_pos"), "base", "bq", "mapq", "is_rev")
     at = sites.select("contig", "start", "ref", "alt").distinct()
     seen = at.join(bases, (F.col("contig") == F.col("b_contig")) & (F.col("start") == F.col("b_pos")), "left")
     ref = F.coalesce(F.col("base") == first("ref"), F.lit(False))

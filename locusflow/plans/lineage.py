@@ -7,6 +7,10 @@ import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of so many rows of a few numbers each (some megabytes) may be broadcast.
+SMALL = 1 << 17
 
 _folders: list[tuple[SparkSession, str]] = []
 
@@ -27,6 +31,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def light(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """df, checkpointed and counted, to be broadcast if it has so few rows; else joined by a shuffle."""
+    held = cut(df)
+    return F.broadcast(held) if held.count() <= rows else held
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder's name in the shared folder; it is deleted when the interpreter ends."""
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import alleles, cigar, genotype, phred, ranges, vcf_text
+from ..functions import alleles, cigar, fields, genotype, phred, ranges, vcf_text
 from ..operators import alt_aligned, assembly, examples, genotyping, images, inference, intervals, methylation, phasing, pileup, shard_phases, small_model
 from ..operators import channels as ch
 from ..sources import alignments, records
@@ -15,6 +15,7 @@ from ..sources.files import list_files
 from . import fixtures as fx
 from .fixtures import table
 from .lineage import scratch
+from .stages import Stage, run_stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -254,6 +255,38 @@ def q_vcf_lines(spark, sf_dir):
     return called.select(vcf_text.record_text(("GT", "GQ", "DP", "AD", "MID", "PL"), set(called.columns)).alias("line"))
 
 
+def _with_info(outputs):
+    """Outputs with a map of fields: sums and shares made of ad and vaf."""
+    ad = F.col("ad").cast("array<double>")
+    return outputs.withColumn("info", F.create_map(
+        F.lit("MD"), F.transform(ad, lambda x, i: x + i + 1), F.lit("NAD"), F.transform(ad, lambda x: 2 * x), F.lit("MF"), F.transform(ad, lambda x: x / 16), F.lit("NAF"), F.transform("vaf", lambda x: x / 2), F.lit("OTHER"), F.array(F.lit(1.0), F.lit(2.0)),
+    ))
+
+
+_FLOATS_TEXT = "array_to_string(list_transform({}, lambda x: regexp_replace(printf('%.6f', x), '\\.?0+$', '')), ',')"
+
+
+@query(f"""WITH {fx.CALLS_SQL}, own AS (SELECT n.contig, n.start, n.ref, n.alts, list_concat([ref_n], list_concat(CASE WHEN keep1 THEN [n1] ELSE [] END, CASE WHEN keep2 THEN [n2] ELSE [] END)) AS ad,
+  list_concat([ref_n + 1], list_concat(CASE WHEN keep1 THEN [n1 + 2] ELSE [] END, CASE WHEN keep2 THEN [n2 + 3] ELSE [] END)) AS md,
+  list_concat(CASE WHEN keep1 THEN [n1 / greatest(dp, 1) / 2] ELSE [] END, CASE WHEN keep2 THEN [n2 / greatest(dp, 1) / 2] ELSE [] END) AS naf FROM names n)
+ SELECT contig, start, array_to_string(alts, ',') AS alternates, array_to_string(ad, ',') || ':' || array_to_string(list_transform(ad, lambda x: 2 * x), ',') || ':' || {_FLOATS_TEXT.format("naf")} || ':' || array_to_string(md, ',') || ':'
+  || {_FLOATS_TEXT.format("list_transform(ad, lambda x: x / 16)")} || ':.' AS fields FROM own""")
+def q_field_maps(spark, sf_dir):
+    """List fields of calls when alternates are pruned, as text."""
+    called = fields.with_fields(genotyping.call_variants(_with_info(fx.outputs(spark, sf_dir))), "MD", "NAD", "MF", "NAF", "PS")
+    columns = set(called.columns) - {"ps"}
+    return called.select("contig", "start", F.array_join("alts", ",").alias("alternates"), F.concat_ws(":", *(vcf_text.call_field(k, columns) for k in ("AD", "NAD", "NAF", "MD", "MF", "PS"))).alias("fields"))
+
+
+@query(f"""WITH {fx.CANDIDATES_SQL}, support AS (SELECT k.contig, k.start, k."end", a.bases, a.read_key FROM cands k JOIN (SELECT contig, pos, read_key, a.bases AS bases FROM read_alleles) a ON a.contig = k.contig AND a.pos = k.start AND list_contains(k.alts, a.bases))
+ SELECT contig, start, count(DISTINCT bases) FILTER (WHERE length(bases) = "end" - start) AS n_substitutions, count(DISTINCT bases) FILTER (WHERE length(bases) <> "end" - start) AS n_indels, count(*) FILTER (WHERE length(bases) = "end" - start) AS substitution_depth FROM support GROUP BY ALL""")
+def q_allele_type_counts(spark, sf_dir):
+    """alternates by type, and the depth of substitutions."""
+    at, own = _sites(spark, sf_dir), pileup.read_alleles(_facts(spark, sf_dir)).select("contig", F.col("pos").alias("start"), F.col("bases").alias("allele"), "read_key")
+    support = pileup.candidates(at).select("contig", "start", "end", "alts").join(own, ["contig", "start"]).where(F.array_contains("alts", F.col("allele")))
+    return phasing.allele_type_counts(support).drop("end")
+
+
 _BLOCKS_SQL = """blocks AS (SELECT 'chr' || (event_id % 3 + 1)::VARCHAR AS contig, event_id * 20 AS start, event_id * 20 + 20 - event_id % 3 AS "end", (10 + event_id % 30)::INT AS min_dp FROM events)"""
 
 
@@ -286,7 +319,7 @@ def q_interval_subtract(spark, sf_dir):
  || CASE WHEN bare THEN '0,0' ELSE array_to_string(list_transform(probs, lambda p: trunc(-10 * (log10(greatest(p, 1.25e-10)) - log10(greatest(list_max(probs), 1.25e-10))))::INT), ',') END
  || repeat(',990', length(alts) + 2) AS line FROM calls""")
 def q_gvcf_lines(spark, sf_dir):
-    """gVCF records of variants and of what they leave of blocks."""
+    """gVCF records of variants and of what they leave of blocks."""
     called = genotyping.call_variants(fx.outputs(spark, sf_dir))
     blocks = _blocks(spark, sf_dir).drop("block").withColumn("ref", F.lit("N")).withColumn("gt", F.array(F.lit(0), F.lit(0))).withColumn("gq", F.lit(50)).withColumn("gl", F.array(F.lit(0.0), F.lit(-3.0), F.lit(-9.0))).withColumn("qual", F.lit(0.0))
     merged = genotyping.merge_gvcf(called, blocks, bin_width=64)
@@ -342,13 +375,21 @@ def q_phred(spark, sf_dir):
 @query("""WITH v AS (SELECT o_orderkey AS k, o_custkey AS a, o_custkey + o_orderkey % 50 AS b, o_custkey + 20 AS c, o_custkey + 20 + o_orderkey % 30 AS d FROM orders)
  SELECT k, greatest(least(b, d) - greatest(a, c), 0) AS n, a < d AND c < b AS hit, a <= c AND c < b AS inside, 'c:' || (a + 1) || '-' || b AS literal, b > a AS valid FROM v""")
 def q_ranges(spark, sf_dir):
-    """F10, F14, S13."""
+    """F14, S13."""
     k, a = F.col("o_orderkey"), F.col("o_custkey")
     v = table(spark, sf_dir, "orders").select(k.alias("k"), a.alias("a"), (a + k % 50).alias("b"), (a + 20).alias("c"), (a + 20 + k % 30).alias("d"))
     literal = ranges.to_literal(F.lit("c"), F.col("a"), F.col("b"))
     return v.select("k", ranges.overlap_length(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("n"), ranges.overlaps(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("hit"), ranges.contains(F.col("a"), F.col("b"), F.col("c")).alias("inside"), literal.alias("literal"), ranges.literal_range(literal).isNotNull().alias("valid"))
 
 
+@query("SELECT o_orderkey AS k, greatest(o_custkey - 40, 0) AS start, least(o_custkey + 10 + 40, o_custkey + o_orderkey % 70) AS \"end\" FROM orders")
+def q_clipped_ranges(spark, sf_dir):
+    """ranges widened and clipped to their contig."""
+    k, a = F.col("o_orderkey"), F.col("o_custkey")
+    start, end = ranges.around(a, a + 10, 40, a + k % 70)
+    return table(spark, sf_dir, "orders").select(k.alias("k"), start.alias("start"), end.alias("end"))
+
+
 @query("""SELECT l_suppkey AS g, CASE WHEN min(l_returnflag) = max(l_returnflag) THEN min(l_returnflag) END AS contig, CASE WHEN min(l_returnflag) = max(l_returnflag) THEN min(l_orderkey) END AS start,
  CASE WHEN min(l_returnflag) = max(l_returnflag) THEN max(l_orderkey + l_linenumber) END AS "end" FROM lineitem GROUP BY l_suppkey""")
 def q_range_span(spark, sf_dir):
@@ -370,7 +411,18 @@ def q_read_classes(spark, sf_dir):
     return small_model.classify_reads(sites, fx.reads(spark, sf_dir).where("mapq >= 10"))
 
 
-@query()
+_KIND = lambda kind, what: f"coalesce({what} FILTER (WHERE {kind}) // nullif(count(*) FILTER (WHERE {kind}), 0), 0)"
+
+
+@query(f"""WITH {fx.CANDIDATES_SQL}, seen AS (
+  SELECT k.contig, k.start, a.base, a.q, a.mapq, a.is_rev, coalesce(a.base = substring(k.ref, 1, 1), false) AS r, coalesce(a.base = substring(k.alts[1], 1, 1) AND a.base <> substring(k.ref, 1, 1), false) AS t
+  FROM cands k LEFT JOIN aligned a ON a.contig = k.contig AND a.pos = k.start),
+own AS (SELECT contig, start, count(*) FILTER (WHERE r) AS n_ref, count(*) FILTER (WHERE t) AS n_alt, count(base) AS depth, {_KIND("r", "sum(mapq)")} AS mapq_ref, {_KIND("t", "sum(mapq)")} AS mapq_alt, {_KIND("r", "sum(q)")} AS bq_ref, {_KIND("t", "sum(q)")} AS bq_alt,
+  coalesce(100 * count(*) FILTER (WHERE r AND is_rev) // nullif(count(*) FILTER (WHERE r), 0), 0) AS rev_ref, coalesce(100 * count(*) FILTER (WHERE t AND is_rev) // nullif(count(*) FILTER (WHERE t), 0), 0) AS rev_alt FROM seen GROUP BY contig, start),
+around AS (SELECT w.contig, w.start, list(coalesce(alt_count * 100 // nullif(ref_count + alt_count, 0), 0) ORDER BY w.p) AS context FROM (SELECT contig, start, unnest(range(start - 25, start + 26)) AS p FROM cands) w LEFT JOIN counts c ON c.contig = w.contig AND c.pos = w.p GROUP BY ALL)
+SELECT contig, start, ref, alts, [0] AS alt_idx, list_concat([n_ref, n_alt, n_ref + n_alt, depth, CASE WHEN depth > 0 THEN n_alt * 100 // depth ELSE 0 END, CASE WHEN n_ref + n_alt > 0 THEN n_alt * 100 // (n_ref + n_alt) ELSE 0 END, mapq_ref, mapq_alt, bq_ref, bq_alt, rev_ref, rev_alt,
+  (length(ref) = 1 AND length(alts[1]) = 1 AND alts[1] <> ref)::INT, (length(alts[1]) > length(ref))::INT, (length(alts[1]) < length(ref))::INT, greatest(length(alts[1]) - length(ref), 0), greatest(length(ref) - length(alts[1]), 0), (length(alts) > 1)::INT, 0]::FLOAT[], context::FLOAT[]) AS features
+FROM cands JOIN own USING (contig, start) JOIN around USING (contig, start)""")
 def q_small_model_features(spark, sf_dir):
     """Vectors of 70."""
     at = _sites(spark, sf_dir)
@@ -457,7 +509,7 @@ def q_homopolymers(spark, sf_dir):
   {_SCALE(_PCT('least(a, b)', 'b'), 100)} AS mapped, {_SCALE('a', 60)} AS coverage, {_SCALE('m', 255)} AS methylation, CASE m % 12 WHEN 0 THEN 152 WHEN 1 THEN 254 WHEN 10 THEN 228 WHEN 9 THEN 203 WHEN 8 THEN 177 ELSE 152 END AS fuzzy,
   CASE WHEN m % 2 = 1 THEN 254 ELSE 152 END AS supplementary, {_PIXEL(f"sqrt({_F32('least(a, b) / b::DOUBLE')})")} AS sample_probability FROM v""")
 def q_value_channels(spark, sf_dir):
-    """C8, C10, C17, C19 to C23."""
+    """C8, C10, C19 to C23."""
     k, c = F.col("o_orderkey"), F.col
     v = table(spark, sf_dir, "orders").select(k.alias("k"), (k % 101).cast("int").alias("a"), (1 + F.col("o_custkey") % 100).cast("int").alias("b"), (k % 256).cast("int").alias("m"))
     return v.select(
@@ -716,3 +768,41 @@ def q_small_model_calls(spark, sf_dir):
     vectors = small_model.features(sites, fx.reads(spark, sf_dir).where("mapq >= 10"), pileup.allele_counts(at))
     scaled = vectors.withColumn("features", F.transform("features", lambda x: x / 100.0))
     return small_model.gate(inference.predict_features(scaled, _toy_model)).select("contig", "start", "alt_idx", F.round("gq", 6).alias("gq"), "passes")
+
+
+@query()
+def q_ranked_haplotypes(spark, sf_dir):
+    """Haplotypes of windows of 60 bases around candidates, ranked by their reads' alignments."""
+    windows = pileup.candidates(_sites(spark, sf_dir)).select("contig", F.greatest(F.col("start") - 30, F.lit(0)).alias("start"), (F.col("start") + 30).alias("end"))
+    reads = fx.reads(spark, sf_dir).select("contig", F.col("ref_start").alias("start"), F.col("ref_end").alias("end"), "seq", "bq", "mapq")
+    return assembly.rank_haplotypes(windows, reads, pileup.reference_windows(windows, fx.reference(spark, sf_dir)), bin_width=64)
+
+
+def calling_stages(reference, contigs: list[str]) -> list[Stage]:
+    """From reads to VCF lines: candidates of counted alleles, vectors of each alternate, outputs, calls in file order."""
+
+    def counted(reads):
+        return pileup.sites(pileup.allele_facts(pileup.passing_reads(reads), reference))
+
+    def vectors(at, reads):
+        called = pileup.candidates(at)
+        each = called.select("*", F.explode(F.transform("alts", lambda a, i: F.array(i))).alias("alt_idx"))
+        return small_model.features(each, pileup.passing_reads(reads), pileup.allele_counts(at))
+
+    def outputs(examples_):
+        scaled = examples_.withColumn("features", F.transform("features", lambda x: x / 100.0))
+        return inference.predict_features(scaled, _toy_model).drop("mid")
+
+    def lines(made):
+        called = genotyping.call_variants(made)
+        ordered = genotyping.in_file_order(called, contigs)
+        return ordered.select("contig", "start", vcf_text.record_text(("GT", "GQ", "DP", "AD", "VAF", "PL"), set(called.columns)).alias("line"))
+
+    return [Stage("sites", ("reads",), counted), Stage("vectors", ("sites", "reads"), vectors), Stage("outputs", ("vectors",), outputs, ("toy",)), Stage("lines", ("outputs",), lines, ("GT", "GQ", "DP", "AD", "VAF", "PL"))]
+
+
+@query()
+def q_reads_to_vcf(spark, sf_dir):
+    """X19 and the three commands in one resumable run: reads to VCF lines, with the toy model."""
+    stages = calling_stages(fx.reference(spark, sf_dir), [name for name, _ in _FILE_CONTIGS])
+    return run_stages(spark, scratch(spark, "run"), stages, {"reads": fx.reads(spark, sf_dir)})["lines"]

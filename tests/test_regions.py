@@ -207,3 +207,20 @@ def test_graph_of_stretches_is_that_of_reads():
     one, two = assembly.build_graph(ref, reads), assembly.build_graph(ref, [], stretches=sorted(stretches.items()))
     assert one.k == two.k and one.weight == two.weight
     assert assembly.haplotypes(one) == assembly.haplotypes(two)
+
+
+def test_ranked_haplotypes(spark):
+    """Scores, order and alignments of whole windows, reads one by one."""
+    rng = random.Random(12)
+    ref = "".join(rng.choices("ACGT", k=300))
+    texts = [ref, ref[:120] + "T" + ref[121:], ref[:150] + ref[156:] + "ACGTAC", ref[:170] + "GGA" + ref[170:]]
+    rows = [("c", s, s + 60, texts[k][s : s + 60], [30] * 59 + [rng.choice([5, 30])], rng.choice([60, 3])) for k in (0, 0, 1, 2, 3) for s in range(80, 200, 3) for _ in range(2)]
+    df, chunks = windows_and_reads(spark, ref, rows)
+    windows = spark.createDataFrame([("c", 90, 210), ("c", 100, 160)], "contig string, start long, end long")
+    got = assembly.rank_haplotypes(windows, df, pileup.reference_windows(windows, chunks), bin_width=32).collect()
+    for lo, hi in ((90, 210), (100, 160)):
+        own = [(seq, bq, mapq) for _, s, e, seq, bq, mapq in rows if s < hi and e > lo]
+        want = assembly.realign_window(ref[lo:hi], own)
+        mine = sorted((r for r in got if r.start == lo), key=lambda r: r["rank"])
+        assert [(r.haplotype, r.score, r.is_reference, r.n_aligned) for r in mine] == [(h.haplotype, h.score, h.is_reference, sum(a is not None for a in h.alignments)) for h in want]
+        assert [r.to_reference for r in mine] == [assembly.cigar_text(h.to_reference.cigar) for h in want] and len(mine) > 1
