@@ -2,18 +2,21 @@
 
 Documents labelled good are trusted positives; a plain sample of all documents,
 whatever their label, is the unlabelled set. The class prior is estimated from
-the labelled share. A small network is trained in numpy by the non-negative
-unbiased risk: prior * R+(positives) + max(0, R-(unlabelled) - prior *
-R-(positives)); where the second part falls below zero the step goes back. A
-logistic curve fitted on labelled training rows turns its output into a
-probability. Features are byte frequencies and counts over whole texts.
+these two alone: a network tells positives from unlabelled rows, and on rows kept
+back from it, the least ratio of the unlabelled share to the positive share above any
+score (with a margin for small shares) is the share of good ones. A small network is then trained in numpy by the
+non-negative unbiased risk: prior * R+(positives) + max(0, R-(unlabelled) - prior *
+R-(positives)); where the second part falls below zero the step goes back. Only the last
+step reads labels of both kinds: a logistic curve of two numbers, fitted on labelled training
+rows, turns the network's output into a probability. Features are byte frequencies and counts over whole texts.
 
 The fit reads a bounded sample (sample_rows of each kind, chosen by a hash of
 doc_id); scores are for all rows.
 
 Defined cases: a null text is the empty text and gets a score like any other;
 labels that contradict each other count as bad; without a positive in the
-training rows nothing can be learned and every score is 1.
+training rows nothing can be learned, and every score is the share of good labels,
+(good + 1) / (labels + 2).
 """
 
 from __future__ import annotations
@@ -97,37 +100,64 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, labelled: np.ndarray, labels: np.ndarray, hidden: int = 24, steps: int = 600, batch: int = 512, rate: float = 3e-3, seed: int = 7) -> Model:
-    """The network of least non-negative risk on these features; labelled and labels give the prior and the curve."""
+def _trained(xp: np.ndarray, xu: np.ndarray, prior: float | None, hidden: int, steps: int, batch: int, rate: float, seed: int) -> list[np.ndarray]:
+    """A network's weights: of the least non-negative risk under the prior, or without one, of the least loss in telling positives from unlabelled rows."""
     rng = np.random.default_rng(seed)
-    prior = float(np.clip(labels.mean(), 0.05, 0.95))
-    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-    xp, xu = (positive - mean) / scale, (unlabelled - mean) / scale
     params = [rng.normal(0, 1 / np.sqrt(xp.shape[1]), (xp.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 0.3, hidden)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        a = xp[rng.integers(len(xp), size=batch)]
-        u = xu[rng.integers(len(xu), size=batch)]
-        x = np.concatenate([a, u])
+        x = np.concatenate([xp[rng.integers(len(xp), size=batch)], xu[rng.integers(len(xu), size=batch)]])
         h = np.tanh(x @ params[0] + params[1])
-        z = h @ params[2]
-        p = _sigmoid(z)
-        za, pa_, pu = z[:batch], p[:batch], p[batch:]
-        # logistic losses: l(z) = log(1 + exp(-z)) for good, l(-z) for bad
-        rest = np.logaddexp(0, z[batch:]).mean() - prior * np.logaddexp(0, za).mean()
-        dz = np.empty_like(z)
-        if rest >= 0:
-            dz[:batch] = (prior * (pa_ - 1) - prior * pa_) / batch
-            dz[batch:] = pu / batch
-        else:  # the negative part overfits: go up on it alone
-            dz[:batch] = prior * pa_ / batch
-            dz[batch:] = -pu / batch
+        dz = risk_gradient(h @ params[2], batch, prior)[1]
         dh = dz[:, None] * params[2] * (1 - h * h)
         grads = [x.T @ dh + 1e-4 * params[0], dh.sum(0), h.T @ dz + 1e-4 * params[2]]
         for k, g in enumerate(grads):
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
             params[k] = params[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    return params
+
+
+def risk_gradient(z: np.ndarray, n: int, prior: float | None) -> tuple[float, np.ndarray]:
+    """The risk of outputs z, positives' n first, and the step's direction.
+
+    Logistic losses: log(1 + exp(-z)) for good, log(1 + exp(z)) for bad. Where the part of
+    the bad falls below zero it overfits, and the step goes up on it alone.
+    """
+    p, m = _sigmoid(z), len(z) - n
+    good, bad = np.logaddexp(0, -z[:n]).mean(), np.logaddexp(0, z[n:]).mean()
+    if prior is None:
+        return float(good + bad), np.concatenate([(p[:n] - 1) / n, p[n:] / m])
+    rest = bad - prior * np.logaddexp(0, z[:n]).mean()
+    if rest < 0:
+        return float(prior * good), np.concatenate([prior * p[:n] / n, -p[n:] / m])
+    return float(prior * good + rest), np.concatenate([(prior * (p[:n] - 1) - prior * p[:n]) / n, p[n:] / m])
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The share of positives among unlabelled rows, from scores of both that grow with being positive.
+
+    Above any score there are at least that share of the positives; where few others are, the ratio of shares is near it.
+    """
+    cuts = np.sort(positive)
+    own = 1 - np.arange(len(cuts)) / len(cuts)
+    every = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    margin = (1 + gamma) * sum(np.sqrt(np.log(4 / delta) / 2 / n) for n in (len(positive), len(unlabelled)))
+    best = int(np.argmin((every + margin) / own))
+    return float(np.clip(every[best] / own[best], 0.05, 0.95))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, labelled: np.ndarray, labels: np.ndarray, hidden: int = 24, steps: int = 600, batch: int = 512, rate: float = 3e-3, seed: int = 7) -> Model:
+    """The network of least non-negative risk on these features; labelled and labels give the curve alone."""
+    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
+    xp, xu = (positive - mean) / scale, (unlabelled - mean) / scale
+    # every fifth row is kept back for the prior, all of few
+    back_p, back_u = (np.arange(len(x)) % 5 == 0 for x in (xp, xu))
+    some_p, some_u = (x[~b] if (~b).any() else x for x, b in ((xp, back_p), (xu, back_u)))
+    apart = _trained(some_p, some_u, None, hidden, steps // 2, batch, rate, seed)
+    told = lambda x: np.tanh(x @ apart[0] + apart[1]) @ apart[2]
+    prior = class_prior(told(xp[back_p]), told(xu[back_u]))
+    params = _trained(xp, xu, prior, hidden, steps, batch, rate, seed)
     model = Model(mean, scale, *params, 1.0, 0.0)
     return Model(mean, scale, *params, *_platt(model.raw(labelled), labels))
 
@@ -136,8 +166,8 @@ def _held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> Model | None:
-    """The model from at most about sample_rows labelled and as many unlabelled rows; None without a positive.
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> Model | float:
+    """The model from at most about sample_rows labelled and as many unlabelled rows; without a positive one score for all.
 
     labels: doc_id, quality (0 or 1); only those with crc32(doc_id) mod 4 other than 2 are read.
     """
@@ -146,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> Model
     sampled = lambda share, salt: F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(salt)), F.lit(wheel)) < int(share * wheel)
     n_known, n_docs = known.count(), docs.count()
     if not n_known or not n_docs:
-        return None
+        return 0.5
     some = known.where(sampled(min(1.0, sample_rows / n_known), 1)).groupBy(F.col("doc_id").alias("__lf_id")).agg(F.min("quality").alias("quality"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # the sample is about sample_rows rows, whatever the size of labels
@@ -163,9 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> Model
     x = np.array([np.frombuffer(r.x, np.float32) for r in rows], float).reshape(-1, _N)
     quality = np.array([-1 if r.quality is None else r.quality for r in rows], int)
     plain = np.array([r.plain for r in rows], bool)
-    if not (quality == 1).any() or not plain.any():
-        return None
     labelled = quality >= 0
+    if not (quality == 1).any() or not plain.any():
+        return float(((quality == 1).sum() + 1) / (labelled.sum() + 2))
     return fit(x[quality == 1], x[plain], x[labelled], quality[labelled].astype(float))
 
 
@@ -173,8 +203,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, t
     """docs with score (0 to 1) and predicted (1 if score >= threshold), replacing columns so named."""
     model = train(docs, labels, sample_rows)
     base = docs.drop("score", "predicted")
-    if model is None:
-        return base.withColumn("score", F.lit(1.0)).withColumn("predicted", F.lit(1))
+    if isinstance(model, float):
+        return base.withColumn("score", F.lit(model)).withColumn("predicted", F.lit(int(model >= threshold)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
