@@ -4,11 +4,11 @@ Documents labelled good are trusted positives; a plain sample of all documents,
 whatever their label, is the unlabelled set. The class prior is estimated from
 these two alone: a network tells positives from unlabelled rows, and on rows kept
 back from it, the least ratio of the unlabelled share to the positive share above any
-score (with a margin for small shares) is the share of good ones. A small network is then trained in numpy by the
+score (with a margin for small shares) is the share of good ones. A few small networks are then trained in numpy by the
 non-negative unbiased risk: prior * R+(positives) + max(0, R-(unlabelled) - prior *
 R-(positives)); where the second part falls below zero the step goes back. Only the last
 step reads labels of both kinds: a logistic curve of two numbers, fitted on labelled training
-rows, turns the network's output into a probability. Features are byte frequencies and counts over whole texts.
+rows, turns the networks' mean output into a probability. Features are byte frequencies and counts over whole texts.
 
 The fit reads a bounded sample (sample_rows of each kind, chosen by a hash of
 doc_id); scores are for all rows.
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from operator import eq
 
 import numpy as np
@@ -72,14 +72,12 @@ def features(text: str) -> np.ndarray:
 class Model:
     mean: np.ndarray
     scale: np.ndarray
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
+    networks: list[list[np.ndarray]]
     slope: float
     offset: float
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2
+        return outputs(self.networks, (x - self.mean) / self.scale)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return _sigmoid(self.slope * self.raw(x) + self.offset)
@@ -100,6 +98,11 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
+def outputs(networks: list[list[np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """The mean output of networks, which differ in their random start and batches."""
+    return sum(np.tanh(x @ w1 + b1) @ w2 for w1, b1, w2 in networks) / len(networks)
+
+
 def _trained(xp: np.ndarray, xu: np.ndarray, prior: float | None, hidden: int, steps: int, batch: int, rate: float, seed: int) -> list[np.ndarray]:
     """A network's weights: of the least non-negative risk under the prior, or without one, of the least loss in telling positives from unlabelled rows."""
     rng = np.random.default_rng(seed)
@@ -147,19 +150,17 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1
     return float(np.clip(every[best] / own[best], 0.05, 0.95))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, labelled: np.ndarray, labels: np.ndarray, hidden: int = 24, steps: int = 600, batch: int = 512, rate: float = 3e-3, seed: int = 7) -> Model:
-    """The network of least non-negative risk on these features; labelled and labels give the curve alone."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, labelled: np.ndarray, labels: np.ndarray, hidden: int = 24, steps: int = 600, batch: int = 512, rate: float = 3e-3, seed: int = 7, networks: int = 3) -> Model:
+    """Networks of least non-negative risk on these features; labelled and labels give the curve alone."""
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
     xp, xu = (positive - mean) / scale, (unlabelled - mean) / scale
     # every fifth row is kept back for the prior, all of few
     back_p, back_u = (np.arange(len(x)) % 5 == 0 for x in (xp, xu))
     some_p, some_u = (x[~b] if (~b).any() else x for x, b in ((xp, back_p), (xu, back_u)))
-    apart = _trained(some_p, some_u, None, hidden, steps // 2, batch, rate, seed)
-    told = lambda x: np.tanh(x @ apart[0] + apart[1]) @ apart[2]
-    prior = class_prior(told(xp[back_p]), told(xu[back_u]))
-    params = _trained(xp, xu, prior, hidden, steps, batch, rate, seed)
-    model = Model(mean, scale, *params, 1.0, 0.0)
-    return Model(mean, scale, *params, *_platt(model.raw(labelled), labels))
+    apart = [_trained(some_p, some_u, None, hidden, steps // 2, batch, rate, seed + k) for k in range(networks)]
+    prior = class_prior(outputs(apart, xp[back_p]), outputs(apart, xu[back_u]))
+    model = Model(mean, scale, [_trained(xp, xu, prior, hidden, steps, batch, rate, seed + k) for k in range(networks)], 1.0, 0.0)
+    return replace(model, **dict(zip(("slope", "offset"), _platt(model.raw(labelled), labels), strict=True)))
 
 
 def _held_out(doc_id: str = "doc_id"):
