@@ -52,6 +52,18 @@ def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return table
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run meanwhile sends batches of so many rows at most to Python, so that little of long texts is held at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    had = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(had)) if int(had) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, had)
+
+
 def is_small(table: DataFrame, rows: int = SMALL) -> bool:
     """Whether a written table has so many rows at most (the files' footers tell)."""
     return table.count() <= rows

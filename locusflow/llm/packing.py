@@ -30,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, materialise, spread
+from .common import BoundedCache, batches_of, materialise, spread
 
 CAPACITY = 2048
+#: Rows that are tokenised at a time.
+ROWS = 256
 END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
@@ -40,7 +42,7 @@ _tokenizers: dict[str, ChunkTokenizer] = {}
 
 
 class ChunkTokenizer:
-    """The tokenizer's ids of a text, remembering those of chunks between white space.
+    """The tokenizer's ids of a text, remembering those of chunks between white space and of their words.
 
     The vocabulary's pre-tokenizer drops white space and its pieces never cross
     it, so a text's ids are those of its chunks, one after the other. Texts with
@@ -51,7 +53,7 @@ class ChunkTokenizer:
     _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-į"
     _DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 200_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -60,30 +62,31 @@ class ChunkTokenizer:
         self.parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{self._LETTERS}]+|[{self._DIGITS}]|[^\s{self._LETTERS}{self._DIGITS}]+").findall
         pre = self.whole.pre_tokenizer
         self.bytes = {c: "".join(s for s, _ in pre.pre_tokenize_str(chr(c))) for c in range(0x21, 0x130) if not chr(c).isspace()}
-        self.chunks = BoundedCache(cache)
-        self.words = BoundedCache(cache // 2)
+        self.packed = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
+        self.known = BoundedCache(cache)
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.young.get(word) or self.words.old.get(word)
+        ids = self.known.young.get(word)
         if ids is None:
-            ids = np.array([t.id for t in self.model.tokenize(word.translate(self.bytes))], "<u4").tobytes()
-        self.words.young[word] = ids
+            ids = self.known.old.get(word)
+            if ids is None:
+                ids = b"".join([self.packed[t.id] for t in self.model.tokenize(word.translate(self.bytes))])
+            self.known.young[word] = ids
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        ids = self.chunks.old.get(chunk)
+        ids = self.known.old.get(chunk)
         return b"".join(map(self._word, self.parts(chunk))) if ids is None else ids
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not self.plain(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks, known = text.lower().split(), self.chunks.young
+        chunks, known = text.lower().split(), self.known.young
         for chunk in set(chunks).difference(known):
             known[chunk] = self._chunk(chunk)
         out = b"".join(map(known.__getitem__, chunks))
-        self.chunks.age()
-        self.words.age()
+        self.known.age()
         return out
 
 
@@ -101,8 +104,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokenizer_at(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 rows: list[list] = [[], [], [], [], [], []]
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = tokens.ids(text or "") + tail
@@ -175,7 +178,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     """
     spark = docs.sparkSession
     salts = salts or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = materialise(cut_pieces(docs, tokenizer_path, capacity, end_id, with_ids), "pack")
+    with batches_of(spark, ROWS):
+        pieces = materialise(cut_pieces(docs, tokenizer_path, capacity, end_id, with_ids), "pack")
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
     sizes = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     # at most capacity * salts rows

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from locusflow.llm import bm25, components, fingerprints, langid, licenses, line_dedup, ngram_join, packing, quality, sp_nbest, substring_dedup
+from locusflow.llm import bm25, common, components, fingerprints, langid, licenses, line_dedup, ngram_join, packing, quality, sp_nbest, substring_dedup
 
 DATA = "/root/testdata/sf0.01"
 WORDS = [f"w{i}" for i in range(400)]
@@ -121,6 +121,19 @@ def test_chunks_are_the_tokenizer():
         assert np.frombuffer(tokens.ids(text), "<u4").tolist() == tokens.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_holds_little(spark, monkeypatch):
+    tokens = packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"), 500)
+    for at in range(0, 6000, 100):
+        tokens.ids(" ".join(f"{''.join('abcdefghij'[int(c)] for c in str(n))}!" for n in range(at, at + 100)))
+    caches = [x for x in vars(tokens).values() if isinstance(x, common.BoundedCache)]
+    assert sum(len(x.young) + len(x.old) for x in caches) <= 2 * (500 + 300)  # a text adds its 100 chunks and their words
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(packing, "materialise", lambda *x: seen.append(int(spark.conf.get(name))) or common.materialise(*x))
+    assert packing.pack(documents(spark), public_tokenizers.path("word_bpe_49k.json")).count() > 0
+    assert seen == [256] and spark.conf.get(name) == before
+
+
 # near duplicates
 
 
