@@ -26,7 +26,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from heapq import heappop, heappush, nsmallest
+from heapq import heappop, heappush
 from operator import itemgetter
 
 import numpy as np
@@ -53,7 +53,7 @@ def _joined(parts: list[tuple[float, bytes, float]]) -> tuple[float, bytes, floa
 class Segmenter:
     """The n best segmentations of texts by a sentencepiece model's pieces and scores."""
 
-    def __init__(self, path: str, n: int, cache: int = 300_000):
+    def __init__(self, path: str, n: int, cache: int = 500_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -67,31 +67,42 @@ class Segmenter:
             self.spoken[i] = model.id_to_piece(i).replace(BLANK, " ").encode()
         for b, i in self.bytes.items():
             self.spoken[i] = bytes([b])
-        #: What begins a piece, with the piece's score and ids if it is one.
-        self.heads = {p[:k]: self.pieces.get(p[:k]) for p in self.pieces for k in range(1, len(p) + 1)}
-        self.pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        #: The pieces as a tree of characters: by character, what may follow, and score and ids if a piece ends there.
+        self.tree: dict[str, list] = {}
+        for p, own in self.pieces.items():
+            follow = self.tree
+            for char in p:
+                node = follow.setdefault(char, [{}, None])
+                follow = node[0]
+            node[1] = own
+        #: By character, those that stand after it in some piece.
+        self.after: dict[str, set[str]] = {}
+        for p in self.pieces:
+            for a, b in zip(p, p[1:]):
+                self.after.setdefault(a, set()).add(b)
         # words with the blanks before them, unless a piece has a blank after something else
-        crossing = any(b == BLANK != a for a, b in self.pairs)
+        crossing = any(a != BLANK and BLANK in follow for a, follow in self.after.items())
         self.chunks = re.compile(".+" if crossing else f"{BLANK}+[^{BLANK}]*", re.DOTALL).findall
-        self.n, self.cache, self.small = n, BoundedCache(cache), BoundedCache(cache)
+        self.n, self.cache = n, BoundedCache(cache)
 
     def spell(self, char: str) -> bytes:
         return np.array([self.bytes[b] for b in char.encode("utf-8", "surrogatepass")], "<u4").tobytes()
 
     def search(self, part: str) -> tuple[tuple[float, bytes], ...]:
         """The n best (score, ids) of a part, best first."""
-        size, heads = len(part), self.heads
+        size, tree = len(part), self.tree
         best = [0.0] + [-np.inf] * size
         into: list[list[tuple[float, int, float, bytes]]] = [[] for _ in range(size + 1)]
         for i in range(size):
-            up_to, known = best[i], False
+            up_to, known, follow = best[i], False, tree
             for j in range(i + 1, size + 1):
-                piece = heads.get(part[i:j], False)
-                if piece is False:
+                node = follow.get(part[j - 1])
+                if node is None:
                     break
-                if piece is not None:
+                follow, own = node
+                if own is not None:
                     known = known or j == i + 1
-                    score, ids = piece
+                    score, ids = own
                     total = up_to + score
                     into[j].append((total, i, score, ids))
                     if total > best[j]:
@@ -127,28 +138,35 @@ class Segmenter:
 
     def parts(self, marked: str) -> list[str]:
         """Cut where no piece reaches across."""
-        cuts = [0, *(i for i in range(1, len(marked)) if marked[i - 1 : i + 1] not in self.pairs), len(marked)]
-        return [marked[i:j] for i, j in zip(cuts, cuts[1:])]
+        after, none = self.after, ()
+        cuts = [i for i, (a, b) in enumerate(zip(marked, marked[1:]), 1) if b not in after.get(a, none)]
+        return [marked[i:j] for i, j in zip([0, *cuts], [*cuts, len(marked)])] if cuts else [marked]
 
     def scan(self, part: str) -> tuple[float, bytes, float]:
         """The Viterbi pass alone: the best score and ids, and how far below the second best is."""
-        size, heads = len(part), self.heads
+        size, tree = len(part), self.tree
         first, second = [0.0] + [-np.inf] * size, [-np.inf] * (size + 1)
         back: list = [None] * (size + 1)
         for i in range(size):
-            up_to, other, known = first[i], second[i], False
-            for j in range(i + 1, size + 1):
-                piece = heads.get(part[i:j], False)
-                if piece is False:
+            up_to, other, follow, j = first[i], second[i], tree, i
+            for char in part[i:]:
+                node = follow.get(char)
+                if node is None:
                     break
-                if piece is not None:
-                    known = known or j == i + 1
-                    total = up_to + piece[0]
+                j += 1
+                follow, own = node
+                if own is not None:
+                    score, ids = own
+                    total = up_to + score
                     if total > first[j]:
-                        second[j] = max(first[j], other + piece[0])
-                        first[j], back[j] = total, (i, piece[1])
+                        rest = other + score
+                        second[j] = first[j] if first[j] > rest else rest
+                        first[j], back[j] = total, (i, ids)
                     elif total > second[j]:
                         second[j] = total
+                if not follow:
+                    break
+            known = part[i] in tree and tree[part[i]][1] is not None
             if not known:
                 total, j = up_to + self.spelled, i + 1
                 if total > first[j]:
@@ -170,8 +188,10 @@ class Segmenter:
         return known
 
     def part(self, marked: str) -> tuple[float, bytes, float]:
-        known = self.small.young.get(marked) or self.small.old.get(marked) or self.scan(marked)
-        self.small.young[marked] = known
+        """scan() of a part, which may be a word of its own elsewhere."""
+        known = self.cache.young.get(marked)
+        if known is None:
+            known = self.cache.young[marked] = self.cache.old.get(marked) or self.scan(marked)
         return known
 
     def best_of(self, marked: str) -> list[tuple[float, bytes]]:
@@ -182,13 +202,14 @@ class Segmenter:
 
     def changed(self, total: float, ids: list[bytes], choices: list[tuple[int, list[tuple[float, bytes]]]]) -> list[tuple[float, bytes]]:
         """The n best that put alternatives in the places of choices."""
-        ids = list(ids)
+        ends = [-1, *(k for k, _ in choices), len(ids)]
+        # what stays, before, between and after the places of choices, is joined once
+        kept = [b"".join(ids[a + 1 : b]) for a, b in zip(ends, ends[1:])]
         queue, seen, out = [(0.0, (0,) * len(choices))], set(), []
         while queue and len(out) < self.n:
             lost, picks = heappop(queue)
-            for (k, ways), a in zip(choices, picks, strict=True):
-                ids[k] = ways[a][1]
-            out.append((total - lost, b"".join(ids)))
+            own = [x for stays, (_, ways), a in zip(kept, choices, picks) for x in (stays, ways[a][1])]
+            out.append((total - lost, b"".join([*own, kept[-1]])))
             for place, (_, ways) in enumerate(choices):
                 a = picks[place] + 1
                 other = (*picks[:place], a, *picks[place + 1 :])
@@ -203,13 +224,16 @@ class Segmenter:
             return [(0.0, b"")]
         chunks, known = self.chunks(BLANK + text.replace(" ", BLANK)), self.cache.young
         for c in set(chunks).difference(known):
-            known[c] = self.chunk(c)
+            if c not in known:  # another word's part by now
+                known[c] = self.chunk(c)
         found = [known[c] for c in chunks]
-        gaps = list(map(_GAP, found))
-        cheap = sorted(k for k in nsmallest(self.n - 1, range(len(gaps)), key=gaps.__getitem__) if gaps[k] < np.inf)
+        gaps, cheap = list(map(_GAP, found)), []
+        while len(cheap) < self.n - 1 and (least := min(gaps)) < np.inf:
+            cheap.append(gaps.index(least))
+            gaps[cheap[-1]] = np.inf
+        cheap.sort()
         out = self.changed(sum(map(_SCORE, found)), list(map(_IDS, found)), [(k, self.best_of(chunks[k])) for k in cheap])
         self.cache.age()
-        self.small.age()
         return out
 
     def decode(self, ids: bytes) -> str:

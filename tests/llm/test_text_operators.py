@@ -633,6 +633,16 @@ def test_nbest_against_enumeration(segmenter, text):
     assert m.decode(got[0][1]) == text
 
 
+def test_parts_are_scanned_once():
+    m, seen = sp_nbest.Segmenter(public_tokenizers.path("piece_bpe_32k.model"), 4), []
+    scan, text = m.scan, "boos 梦 boos☃ boos☃☃ reads reads☃boos 梦☃ boos"
+    m.scan = lambda part: seen.append(part) or scan(part)
+    got = [m.encode(text), m.encode(text), m.encode(text[::-1])]
+    assert "▁boos" in seen and len(m.parts("▁boos☃")) > 1
+    assert len(seen) == len(set(seen))
+    assert got == [sp_nbest.Segmenter(public_tokenizers.path("piece_bpe_32k.model"), 4).encode(t) for t in (text, text, text[::-1])]
+
+
 def test_segmentation_round_trip(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     done = sp_nbest.segmentation_digests(documents(spark, "/root/testdata/sf0.001"), path)
