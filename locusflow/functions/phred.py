@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +49,24 @@ def bounded_log10(p: Column) -> Column:
     return F.log10(F.greatest(p, F.lit(MIN_ERROR)))
 
 
+def bounded_log10s(probs: Column) -> Column:
+    """bounded_log10 of each by the C library's logarithm.
+
+    Where a probability is a tenth of the greatest, what truncation gives depends on a logarithm's last bit, and Spark's differs there.
+    """
+
+    @F.arrow_udf("array<double>")
+    def logs(lists: pa.Array) -> pa.Array:
+        # offsets of a list that isn't there are empty, so its place is enough
+        ends = [0]
+        for n in lists.value_lengths().to_pylist():
+            ends.append(ends[-1] + (n or 0))
+        found = pa.array([None if x is None else math.log10(x) for x in lists.flatten().to_pylist()], pa.float64())
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found, mask=lists.is_null())
+
+    return logs(F.transform(probs, lambda p: F.greatest(p, F.lit(MIN_ERROR))))
+
+
 def zero_shifted(likelihoods: Column) -> Column:
     """Likelihoods less their greatest."""
     return F.transform(likelihoods, lambda x: x - F.array_max(likelihoods))
@@ -57,7 +78,7 @@ def pl_of_likelihoods(likelihoods: Column) -> Column:
 
 
 def pl_of(probs: Column) -> Column:
-    return pl_of_likelihoods(F.transform(probs, bounded_log10))
+    return F.get(F.transform(F.array(bounded_log10s(probs)), pl_of_likelihoods), 0)
 
 
 def genotype_quality(probs: Column, index: Column) -> Column:

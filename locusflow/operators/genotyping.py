@@ -100,7 +100,7 @@ def call_genotypes(fused: DataFrame, options: CallOptions = CallOptions(), model
     n_alts = F.size("alts")
     c = fused.withColumn("likeliest", genotype.argmax(F.col("probs"))).withColumn("gt", genotype.likeliest(F.col("probs"), n_alts))
     c = c.withColumn("gq", phred.genotype_quality(F.col("probs"), F.col("likeliest"))).withColumn("qual", phred.variant_quality(F.col("probs"), options.quality_digits))
-    c = c.withColumn("gl", F.transform("probs", phred.bounded_log10)).withColumn("pl", phred.pl_of(F.col("probs")))
+    c = c.withColumn("gl", phred.bounded_log10s(F.col("probs"))).withColumn("pl", phred.pl_of_likelihoods(F.col("gl")))
     uncalled = F.array(F.lit(-1), F.lit(-1))
     bare = ad_sum(F.col("ad")) == 0
     c = c.withColumn("gt", F.when(bare, uncalled).otherwise(F.col("gt"))).withColumn("gl", F.when(bare, F.array(F.lit(0.0), F.lit(0.0))).otherwise(F.col("gl"))).withColumn("gq", F.when(bare, 0).otherwise(F.col("gq")))

@@ -84,3 +84,9 @@ def test_shards():
     assert shards.shard_name("x@1234567", 3) == "x-0000003-of-1234567"
     with pytest.raises(ValueError):
         shards.parse_spec("x")
+
+
+def test_a_tenth_of_the_greatest_is_ten(spark):
+    rows = [([6 / 94, 28 / 94, 60 / 94],), (None,), ([1.0, 0.0],), ([],)]
+    found = spark.createDataFrame(rows, "probs array<double>").select("probs", phred.pl_of(F.col("probs")).alias("pl")).collect()
+    assert {str(r.probs): r.pl for r in found} == {str(rows[0][0]): [10, 3, 0], "None": None, "[1.0, 0.0]": [0, 99], "[]": []}
