@@ -217,3 +217,25 @@ def test_phase_sets_and_apply(spark):
     assert exact == {5: ([1, 2], True, 5), 9: ([0, 1], False, None)}
     resolved = {r.start: (r.gt, r.phased, r.ps) for r in phasing.apply_phasing(called, sets, resolve_ref=True).select(*called.columns, "phased", "ps").collect()}
     assert resolved[9] == ([0, 1], True, 5)
+
+
+def test_sites_counted_by_batches_are_those_of_facts(spark):
+    import random
+
+    rng, bases = random.Random(5), "".join(random.Random(4).choices("ACGT", k=2300))
+    reference = pileup.reference_chunks(spark.createDataFrame([("c", bases), ("d", bases[::-1])], "contig string, bases string"))
+    units = [[("M", 30)], [("S", 2), ("M", 20)], [("M", 8), ("D", 3), ("M", 12)], [("M", 8), ("I", 2), ("M", 10)], [("M", 5), ("N", 40), ("M", 5)], [("I", 2), ("M", 9)], [("M", 1200)], [("H", 1), ("M", 6), ("D", 9)]]
+    rows = []
+    for i in range(900):
+        cigar = rng.choice(units)
+        n = sum(k for op, k in cigar if op in "MIS")
+        start = rng.randrange(0, 2310)
+        seq = "".join(rng.choice("ACGTN") if rng.random() < 0.2 else bases[(start + j) % 2300] for j in range(n))
+        kind = i % 50
+        quals = None if kind in (1, 2) else [rng.randrange(0, 40) for _ in range(n)]
+        rows.append(("cd"[i % 2], start, cigar, None if kind == 2 else seq[: n // 2] if kind == 3 else seq.lower() if kind == 4 else seq, quals, rng.randrange(0, 30), bool(i % 2), f"r{i % 700}", 1))
+    reads = spark.createDataFrame(rows, "contig string, ref_start long, cigar array<struct<op:string,len:int>>, seq string, bq array<int>, mapq int, is_rev boolean, name string, mate int")
+    want, got = pileup.sites(pileup.allele_facts(reads, reference)), pileup.counted_sites(reads, reference)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert want.count() > 4000
