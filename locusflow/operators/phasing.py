@@ -348,13 +348,18 @@ def allele_type_counts(support: DataFrame) -> DataFrame:
     return support.select("contig", "start", "end").distinct().join(counts, ["contig", "start", "end"], "left").na.fill(0, ["n_substitutions", "n_indels", "substitution_depth"])
 
 
+def phasable(variants: DataFrame) -> DataFrame:
+    """Those whose reference and alternates have one base."""
+    return variants.where((F.length("ref") == 1) & (F.size("alts") > 0) & F.forall("alts", lambda a: F.length(a) == 1))
+
+
 def phasing_support(variants: DataFrame, bases: DataFrame) -> DataFrame:
     """Which allele reads support at phasable variants: contig, start, end, allele, read_key, is_low_quality.
 
     variants whose reference and alternates have one base; bases: contig, pos,
     read_key, base. Reads with another base are left out.
     """
-    sites = variants.where((F.length("ref") == 1) & (F.size("alts") > 0) & F.forall("alts", lambda a: F.length(a) == 1)).select("contig", "start", "end", "ref", "alts")
+    sites = phasable(variants).select("contig", "start", "end", "ref", "alts")
     at = bases.select(F.col("contig").alias("__c"), F.col("pos").alias("__p"), "read_key", "base")
     joined = sites.join(at, (F.col("contig") == F.col("__c")) & (F.col("start") == F.col("__p")))
     allele = F.when(F.col("base") == F.col("ref"), REF).when(F.array_contains("alts", F.col("base")), F.col("base"))

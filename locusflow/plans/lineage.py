@@ -44,6 +44,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def stored(df: DataFrame, label: str = "table") -> DataFrame:
+    """df, written once as Parquet in the shared folder and read from there by all that use it."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @atexit.register
 def _delete_folders() -> None:
     for spark, path in _folders:

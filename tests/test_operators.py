@@ -239,3 +239,21 @@ def test_sites_counted_by_batches_are_those_of_facts(spark):
     assert got.columns == want.columns
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     assert want.count() > 4000
+
+
+def test_context_from_two_bins(spark):
+    import random
+
+    rng = random.Random(6)
+    counts = [("c", p, rng.choice([0, 3]), rng.choice([0, 1, 5])) for p in range(0, 400) if p % 128 < 70]
+    points = [("c", p) for p in (0, 3, 25, 63, 64, 70, 89, 130, 255, 399, 420, 900)] + [("d", 5)]
+    known = {p: n * 100 // (r + n) for _, p, r, n in counts if r + n}
+    made = pileup.vaf_context(spark.createDataFrame(counts, "contig string, pos long, ref_count long, alt_count long"), spark.createDataFrame(points, "contig string, pos long"))
+    assert {(r.contig, r.pos): r.context for r in made.collect()} == {(c, p): [known.get(q, 0) if c == "c" else 0 for q in range(p - 25, p + 26)] for c, p in points}
+
+
+def test_bases_at_sites_name_their_reads(spark):
+    rows = [("c", 5, [("M", 4)], "ACGT", [30, 31, 32, 33], 40, True, "r", 1)]
+    own = spark.createDataFrame(rows, "contig string, ref_start long, cigar array<struct<op:string,len:int>>, seq string, bq array<int>, mapq int, is_rev boolean, name string, mate int")
+    sites = spark.createDataFrame([("c", 6), ("c", 20)], "contig string, pos long")
+    assert [(r.pos, r.base, r.bq, r.read_key) for r in pileup.bases_at(sites, own).collect()] == [(6, "C", 31, "r/1")]
