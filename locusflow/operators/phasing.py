@@ -232,11 +232,16 @@ class Phaser:
 
 
 def _candidates(group: pd.DataFrame) -> list[Candidate]:
-    out = []
-    for (start, end), own in group.groupby(["start", "end"], sort=True):
-        own = own[~own["is_low_quality"].astype(bool)]
-        reads = {a: list(rows["read_key"]) for a, rows in own.sort_values("read_key").groupby("allele", sort=True)}
-        out.append(Candidate(int(start), int(end), reads.pop(REF, []), reads))
+    """One pass over the rows in order; a candidate of low-quality rows alone is there, without reads."""
+    rows = group.sort_values(["start", "end", "allele", "read_key"], kind="stable")
+    out: list[Candidate] = []
+    for start, end, allele, key, low in zip(*(rows[c].tolist() for c in ("start", "end", "allele", "read_key", "is_low_quality")), strict=True):
+        if not out or (out[-1].start, out[-1].end) != (start, end):
+            out.append(Candidate(int(start), int(end), [], {}))
+        if low or allele is None:
+            continue
+        own = out[-1].ref_reads if allele == REF else out[-1].allele_reads.setdefault(allele, [])
+        own.append(key)
     return out
 
 

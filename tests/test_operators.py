@@ -257,3 +257,17 @@ def test_bases_at_sites_name_their_reads(spark):
     own = spark.createDataFrame(rows, "contig string, ref_start long, cigar array<struct<op:string,len:int>>, seq string, bq array<int>, mapq int, is_rev boolean, name string, mate int")
     sites = spark.createDataFrame([("c", 6), ("c", 20)], "contig string, pos long")
     assert [(r.pos, r.base, r.bq, r.read_key) for r in pileup.bases_at(sites, own).collect()] == [(6, "C", 31, "r/1")]
+
+
+def test_candidates_of_shuffled_rows_and_of_many():
+    import time
+
+    import pandas as pd
+
+    rows = [(p, p + 1, a, f"r{p + i}", False) for p in range(0, 40000, 2) for a in ("REF", "C") for i in (2, 0, 1)] + [(40001, 40002, "G", "x", True), (4, 5, "T", "y", True), (4, 5, None, "z", False)]
+    group = pd.DataFrame(rows, columns=["start", "end", "allele", "read_key", "is_low_quality"]).sample(frac=1, random_state=2)
+    began = time.process_time()
+    made = phasing._candidates(group)
+    assert time.process_time() - began < 10  # a group of rows for each candidate took some 2 ms
+    assert len(made) == 20001 and made[-1] == phasing.Candidate(40001, 40002, [], {})
+    assert made[2] == phasing.Candidate(4, 5, ["r4", "r5", "r6"], {"C": ["r4", "r5", "r6"]})
